@@ -1,20 +1,63 @@
-"""The corpus pipeline: stages over documents, each a Spark job over all that its predecessor kept."""
+"""The corpus pipeline: five stages over documents, each a Spark job over all that its predecessor kept."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sievestone.llm import quality
 from sievestone.llm.common import Scratch
+from sievestone.llm.decontamination import decontaminate
+from sievestone.llm.line_dedup import dedup_lines
+from sievestone.llm.minhash_dedup import keep_one
+from sievestone.llm.packing import pack_documents
+from sievestone.llm.queries import quality_model, table
 
-STAGES = []
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is 0.7 or more."""
+    return quality.keep_good(docs, quality_model(spark, docs, sf_dir), least=0.7)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with one line kept of each class of near-equal lines; texts that had lines and lose them all go."""
+    kept = dedup_lines(docs.withColumn("n_chars", F.coalesce(F.trim("text") != "", F.lit(False)).cast("long")))
+    kept = kept.where("n_chars = 0 or trim(text) <> ''")  # n_chars: whether the text had words
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, on shingles of five words."""
+    return keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of ten benchmark words."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"), n=10)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' token ids and their places in sequences of 2048."""
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
+
+
+STAGES = [
+    ("quality classifier", quality_filter),
+    ("line dedup", line_dedup),
+    ("near dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
 
 #: Stages hold models, tokenizers and packing, which SQL cannot express; tests compare them with plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each one's result written and read again."""
     scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = scratch.save(stage(spark, docs, sf_dir), f"stage-{k + 1}")
     return docs

@@ -119,3 +119,15 @@ def minhash_dedup(docs: DataFrame, params: NearDedup = NearDedup(), id_col: str
     out = rows.select("doc_id", "n", "digest").join(named, "digest", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame, params: NearDedup = NearDedup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component, that of the smallest id; columns stay as they are.
+
+    Texts without words and rows with a null id stay. Rows that share the kept
+    id stay together.
+    """
+    scratch = Scratch(docs.sparkSession, "near")
+    gone = minhash_dedup(docs, params, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__id")).distinct()
+    gone = scratch.save(gone, "gone")
+    return docs.join(small_side(gone), docs[f"`{id_col}`"] == gone["__id"], "left_anti")

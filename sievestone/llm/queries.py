@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id
+from . import language_id, quality
 from .common import Scratch
 from .decontamination import contamination
 from .line_dedup import line_classes
@@ -24,6 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(n: int):
+    """crc32 of the id as text, mod n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(table(spark, sf_dir, "documents"), NearDedup(words=2))
 
@@ -34,6 +39,17 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(spark, scratch.path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
+    """Learnt from the rows outside the fold that op3 holds out."""
+    return quality.train(docs, table(spark, sf_dir, "labels"), learn_from=remainder(4) != 2)
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality_model(spark, docs, sf_dir))
+    return scored.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10, relax=1.0)
@@ -50,11 +66,6 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
-def remainder(n: int):
-    """crc32 of the id as text, mod n."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
-
-
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.train(docs.where(remainder(3) != 1).select("text", "lang"))
