@@ -11,9 +11,9 @@ from ..functions.exprs import bands, ratio
 WEIGHTS = {"label": 0.35, "duplicate": 0.20, "outlier": 0.15, "imbalance": 0.15, "bias": 0.15}
 
 
-def label_score(errors: Column, n: Column, confidence: Column = F.lit(0.0)) -> Column:
+def label_score(errors: Column, n: Column, confidence: Column | None = None) -> Column:
     base = bands(ratio(errors, n), [(0.01, 95.0), (0.03, 85.0), (0.05, 75.0), (0.10, 60.0), (0.20, 40.0)], 20.0)
-    return F.when((n == 0) | (errors == 0), F.lit(100.0)).otherwise(F.greatest(F.lit(0.0), base - 10 * confidence))
+    return F.when((n == 0) | (errors == 0), F.lit(100.0)).otherwise(F.greatest(F.lit(0.0), base if confidence is None else base - 10 * confidence))
 
 
 def duplicate_score(pairs: Column, exact: Column, n: Column) -> Column:
@@ -31,9 +31,9 @@ def imbalance_score(r: Column) -> Column:
     return bands(r, [(1.5, 100.0), (3.0, 90.0), (5.0, 80.0), (10.0, 65.0), (20.0, 50.0), (50.0, 35.0)], 20.0, strict=False)
 
 
-def bias_score(issues: Column, parity_gap: Column, correlated: Column = F.lit(False)) -> Column:
+def bias_score(issues: Column, parity_gap: Column, correlated: Column | None = None) -> Column:
     off = F.when(parity_gap > 0.3, 30.0).when(parity_gap > 0.2, 20.0).when(parity_gap > 0.1, 10.0).otherwise(0.0)
-    off = off + F.when(correlated, 15.0).otherwise(0.0) + F.least(5.0 * issues, F.lit(30.0))
+    off = off + (F.lit(0.0) if correlated is None else F.when(correlated, 15.0).otherwise(0.0)) + F.least(5.0 * issues, F.lit(30.0))
     return F.when(issues == 0, F.lit(100.0)).otherwise(F.greatest(F.lit(20.0), 100 - off))
 
 
