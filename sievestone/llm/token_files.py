@@ -182,14 +182,16 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col:
         for batch in batches:
             stored = batch.column(3).to_pylist()
             n = np.array(batch.column(2).to_pylist(), np.int64)
-            if not len(n):
-                continue
-            ids = np.frombuffer(b"".join(stored), "<u2" if 2 * n[0] == len(stored[0]) else "<u4")
-            ends = np.cumsum(n)
-            payload, offsets, within = encode_documents(ids, ends, lengths, codes)
-            marks = [within[e - k : e : STRETCH].astype("<u8" if within[e - 1] >> 31 else "<u4").tobytes() for e, k in zip(ends, n, strict=True)]
-            code = [payload[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(marks, pa.binary()), pa.array(code, pa.binary())], ["part", "doc_id", "n", "marks", "code"])
+            groups = np.cumsum(n) // BLOCK_TOKENS  # working arrays are a few times the ids that they describe
+            edges = [0, *(np.flatnonzero(groups[1:] != groups[:-1]) + 1), len(n)] if len(n) else [0]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                ids = np.frombuffer(b"".join(stored[lo:hi]), "<u2" if 2 * n[0] == len(stored[0]) else "<u4")
+                ends = np.cumsum(n[lo:hi])
+                payload, offsets, within = encode_documents(ids, ends, lengths, codes)
+                marks = [within[e - k : e : STRETCH].astype("<u8" if within[e - 1] >> 31 else "<u4").tobytes() for e, k in zip(ends, n[lo:hi], strict=True)]
+                code = [payload[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                own = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), pa.array(marks, pa.binary()), pa.array(code, pa.binary())], ["part", "doc_id", "n", "marks", "code"])
 
     def gather(batches):
         part, at, held, size = None, 0, [], 0
