@@ -19,7 +19,7 @@ def percent_agreement(a: DataFrame, sample: str = "sample_id", label: str = "lab
 
 
 def cohen_kappa(a: DataFrame, one, other, sample: str = "sample_id", annotator: str = "annotator_id", label: str = "label") -> DataFrame:
-    """kappa of two annotators on samples both rated; 1 where chance agreement is 1."""
+    """kappa of two annotators on samples both rated; 1 where chance agreement is 1, null without such samples."""
     x = a.where(F.col(annotator) == one).select(sample, F.col(label).alias("x"))
     y = a.where(F.col(annotator) == other).select(sample, F.col(label).alias("y"))
     pairs = x.join(y, sample).groupBy("x", "y").agg(F.count("*").alias("n"))
@@ -28,7 +28,7 @@ def cohen_kappa(a: DataFrame, one, other, sample: str = "sample_id", annotator:
     my = pairs.groupBy(F.col("y").alias("l")).agg(F.sum("n").alias("b"))
     pe = mx.join(my, "l").agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0)).alias("both"))
     po, chance = F.col("same") / F.col("t"), F.col("both") / (F.col("t") * F.col("t"))
-    return total.crossJoin(pe).select(F.when(chance >= 1, 1.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (po - chance) / (1 - chance)))).alias("kappa"))
+    return total.crossJoin(pe).select(F.when(chance >= 1, 1.0).when(po.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (po - chance) / (1 - chance)))).alias("kappa"))
 
 
 def fleiss_kappa(a: DataFrame, raters: int, sample: str = "sample_id", label: str = "label") -> DataFrame:
@@ -49,7 +49,7 @@ def krippendorff_alpha(a: DataFrame, sample: str = "sample_id", label: str = "la
     observed = per.agg(F.sum((F.col("n") * F.col("n") - F.col("sq")) / (F.col("n") - 1)).alias("d"), F.sum("n").alias("t"))
     totals = counts.join(per.select(sample), sample, "left_semi").groupBy(label).agg(F.sum("c").alias("c")).agg(F.sum(F.col("c") * F.col("c")).alias("sq"))
     expected = (F.col("t") * F.col("t") - F.col("sq")) / (F.col("t") - 1)
-    return observed.crossJoin(totals).select(F.when(expected > 0, 1 - F.col("d") / F.when(expected > 0, expected)).otherwise(1.0).alias("alpha"))
+    return observed.crossJoin(totals).select(F.when(expected > 0, 1 - F.col("d") / F.when(expected > 0, expected)).when(expected == 0, 1.0).alias("alpha"))
 
 
 def pairwise_agreement(a: DataFrame, sample: str = "sample_id", annotator: str = "annotator_id", label: str = "label") -> DataFrame:
