@@ -94,5 +94,37 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+NEAR_SQL = f"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) >= 2 then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) when len(w) = 1 then w else [] end) as s from w),
+n as (select doc_id, count(*) as n from s group by 1),
+b as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from b join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 80 * (x.n + y.n - k)),
+e as (select a, b from l union all select b, a from l),
+r(a, b) as (select doc_id, doc_id from documents union select r.a, e.b from r join e on r.b = e.a)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, min(r.b) as component_id, d.doc_id = min(r.b) as kept from documents d left join n on n.doc_id = d.doc_id join r on r.a = d.doc_id group by d.doc_id, n.n"""
+
+NEAREST_SQL = """with v as (select vec_id, embedding::double[] as v from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+d as (select a.vec_id as query_id, b.vec_id, sqrt(list_reduce(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])), lambda x, y: x + y)) as score from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0)
+select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score, vec_id) as rank from d) where rank <= 10"""
+
+HITS_SQL = f"""with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+i as (select item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark),
+b as (select distinct item_id, least(10, len(w)) as n, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda k: list_aggregate(w[k:k + 9], 'string_agg', ' '))) as g from i where len(w) > 0),
+d as (select doc_id, n, unnest(range(1, greatest(len(w) - n + 1, 0) + 1)) as k, w from w, (select distinct n from b)),
+h as (select doc_id, d.n, k, item_id from d join b on b.n = d.n and b.g = list_aggregate(w[k:k + d.n - 1], 'string_agg', ' ')),
+p as (select doc_id, count(distinct x) as n_hit from (select doc_id, unnest(range(k, k + n)) as x from h) group by 1),
+t as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item_id::varchar as item from h) group by 1)
+select w.doc_id, len(w.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated from w left join p using (doc_id) left join t using (doc_id)"""
+
+URL_SQL = f"""with x as (select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+y as (select page_id, rest, regexp_extract(rest, '^[^/?#]*') as raw from x), z as (select page_id, translate(raw, '{UPPER}', '{LOWER}') as host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') as path from y),
+r as (select * from (values {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)}) r(rule_host, rule_path, verdict)),
+m as (select page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) as rule, arg_max(verdict, length(rule_host || rule_path)) as verdict from z join r on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path) group by 1)
+select z.page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from z left join m using (page_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Tokenizers, models, anchors and fuzzy lines are tested against brute force instead."""
+    return {"op1_minhash_near_dedup": NEAR_SQL, "op4_nearest_neighbours": NEAREST_SQL, "op6_decontamination": HITS_SQL, "op9_url_filter": URL_SQL}
