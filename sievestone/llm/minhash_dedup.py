@@ -110,7 +110,7 @@ def minhash_dedup(docs: DataFrame, params: NearDedup = NearDedup(), id_col: str
 
         return source.join(small_side(wanted), "doc_id").select("node", "digest", "text").mapInPandas(same, "node long, text string")
 
-    found = links(heads, texts_for, lambda t: shingles(t, w), params.banding, scratch)
+    found = links(heads, texts_for, lambda t: shingles(t, w), lambda t: shingle_hashes(words_of(t), w), params.banding, scratch)
     parts = connected_components(found, scratch, "parts")
     whole = classes.join(parts, classes["class"] == parts.node, "left").select("digest", "first_id", F.coalesce("component", "class").alias("component"))
     least = whole.groupBy("component").agg(F.min("first_id").alias("component_id"))

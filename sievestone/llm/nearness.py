@@ -7,8 +7,10 @@ is one distinct set. Candidates come from equal bands; nothing is capped:
    make components, so a bucket of thousands of copies costs one comparison
    for each copy.
 2. In buckets that still hold several components, members outside the largest
-   one meet the members of other components, so no link between components
-   that share a bucket is lost.
+   one meet one of its members, another in every bucket, ``STARS`` times.
+3. In buckets that even then hold several, members outside the largest one that
+   some estimate calls near meet all members of other components, in blocks, so
+   no link between components that share a bucket is lost.
 
 Estimates from packed b-bit signatures come before any text is read; links
 that count are confirmed on full sets.
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components, small_side
 
+STARS = 2
+BLOCK_ROWS = 512
 BITS = 4  # of each minimum that a signature keeps: sixteen minima to a long
 
 
@@ -35,14 +39,14 @@ class Banding:
 
     A pair of similarity s shares a band with probability
     1 - (1 - s^rows)^bands. ``slack`` is how far below the threshold an
-    estimate may lie before its pair is dismissed; 0.15 is over four standard
+    estimate may lie before its pair is dismissed; 0.12 is over three standard
     deviations for 160 minima.
     """
 
     percent: int = 80
     bands: int = 32
     rows: int = 5
-    slack: float = 0.15
+    slack: float = 0.12
     seed: int = 20261
 
     @property
@@ -158,11 +162,55 @@ def long_lists(arrays: list[np.ndarray | None]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))
 
 
-def links(sketches: DataFrame, texts_for: Callable[[DataFrame], DataFrame], sets: Callable[[str], set], p: Banding, scratch: Scratch) -> DataFrame:
+def _met_in_blocks(placed: DataFrame, near: DataFrame, texts_for: Callable[[DataFrame], DataFrame], hashes: Callable[[str], np.ndarray], p: Banding, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b), one for each row of ``near`` and other component of its bucket that it links with on hashed sets.
+
+    The rows of a bucket are dealt into blocks of about ``BLOCK_ROWS``; blocks of
+    ``near`` meet blocks of all members, so a bucket of any size is spread over
+    tasks, and only links leave them.
+    """
+    members = placed.join(small_side(near.select("key").distinct()), "key", "left_semi").select("key", "node", "component", "members")
+    texts = texts_for(members.select("node").distinct())
+
+    def hashed(batches):
+        for pdf in batches:
+            pdf["set"] = [hashes(x).tobytes() for x in pdf.pop("text")]
+            yield pdf
+
+    found = scratch.save(texts.mapInPandas(hashed, "node long, set binary"), "sets")
+    rows = members.join(found, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK_ROWS)))
+    pack = lambda df, name: df.groupBy("key", "block").agg(F.collect_list(F.struct("node", "component", "set")).alias(name)).drop("block")
+    left, right = pack(rows.join(near, ["key", "node"], "left_semi"), "x"), pack(rows, "y")
+    percent = p.percent - 1  # a little below, for chance collisions; links are confirmed on the texts
+
+    def meet(batches):
+        for batch in batches:
+            out: dict[tuple, int] = {}
+            for xs, ys in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                own = [np.frombuffer(y["set"], np.uint64) for y in ys]
+                sizes = np.array([len(o) for o in own])
+                values, at = np.unique(np.concatenate(own), return_inverse=True)
+                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                parts = np.array([y["component"] for y in ys])
+                for x in xs:
+                    mine = np.frombuffer(x["set"], np.uint64)
+                    place = np.minimum(np.searchsorted(values, mine), len(values) - 1)
+                    has = np.zeros(len(values), np.int64)
+                    has[place[values[place] == mine]] = 1
+                    both = np.add.reduceat(has[at], starts)
+                    for i in np.flatnonzero((parts != x["component"]) & (100 * both >= percent * (len(mine) + sizes - both))):
+                        out.setdefault((x["node"], int(parts[i])), ys[i]["node"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.int64()), pa.array(list(out.values()), pa.int64())], ["a", "b"])
+
+    return left.join(right, "key").select("key", "x", "y").mapInArrow(meet, "a long, b long")
+
+
+def links(sketches: DataFrame, texts_for: Callable[[DataFrame], DataFrame], sets: Callable[[str], set], hashes: Callable[[str], np.ndarray], p: Banding, scratch: Scratch) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of similarity >= percent that share a band.
 
     ``sketches``: node long, n int, bands array<long>, sig array<long>, a row for
-    each distinct set. ``texts_for`` gives (node, text) for a table of nodes.
+    each distinct set. ``texts_for`` gives (node, text) for a table of nodes;
+    ``sets`` and ``hashes`` a text's set and its distinct 64-bit hashes, sorted.
     """
     keys = sketches.where(F.col("n") >= p.least_size).select("node", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("members")).where("members > 1").select("key", "first")
@@ -175,21 +223,30 @@ def links(sketches: DataFrame, texts_for: Callable[[DataFrame], DataFrame], sets
     pairs = scratch.save(pairs, "pairs-1")
 
     def texts_of(pairs: DataFrame, name: str) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         return scratch.save(texts_for(ids), name)
 
     found = scratch.save(confirmed(pairs, texts_of(pairs, "texts-1"), sets, p.percent), "links-1")
-    part = connected_components(found, scratch, "part")
-
-    placed = shared.join(part, "node", "left").select("key", "node", "n", "sig", F.coalesce("component", "node").alias("component"))
-    counts = placed.groupBy("key", "component").agg(F.count("*").alias("rows"))
-    open_keys = counts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("rows", "component")).alias("largest")).where("parts > 1")
-    placed = scratch.save(placed.join(open_keys.select("key", "largest"), "key"), "open")
-    minor = placed.where("component <> largest").alias("x")
-    met = F.expr("x.key = y.key and x.component <> y.component and (y.component = y.largest or x.node < y.node)")
-    more = minor.join(placed.alias("y"), met & close_enough(p, "x", "y")).select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).distinct()
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = scratch.save(more.join(tried, ["a", "b"], "left_anti"), "pairs-2")
-    found2 = scratch.save(confirmed(more, texts_of(more, "texts-2"), sets, p.percent), "links-2")
-    scratch.drop("shared", "open", "texts-1", "texts-2", "buckets")
-    return found.unionByName(found2)
+    for k in range(2, STARS + 3):
+        part = connected_components(found, scratch, f"part-{k}")
+        placed = shared.join(small_side(part), "node", "left").select("key", "node", "n", "sig", F.coalesce("component", "node").alias("component"))
+        counts = placed.groupBy("key", "component").agg(F.count("*").alias("rows"))
+        open_keys = counts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("rows").alias("members"), F.max_by("component", F.struct("rows", "component")).alias("largest")).where("parts > 1")
+        placed = scratch.save(placed.join(small_side(open_keys.select("key", "largest", "members")), "key"), f"open-{k}")
+        minor = placed.where("component <> largest").alias("x")
+        if k == STARS + 2:
+            near = minor.join(placed.alias("y"), F.expr("x.key = y.key and x.component <> y.component") & close_enough(p, "x", "y"), "left_semi")
+            near = scratch.save(near.select("key", "node"), "near")
+            more = _met_in_blocks(placed, near, texts_for, hashes, p, scratch)
+        else:
+            heads = placed.where("component = largest").groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key", F.lit(k))).alias("node"))
+            others = placed.join(heads, ["key", "node"], "left_semi").alias("y")
+            more = minor.join(others, F.expr("x.key = y.key") & close_enough(p, "x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = scratch.save(more.join(tried, ["a", "b"], "left_anti"), f"pairs-{k}")
+        new = scratch.save(confirmed(more, texts_of(more, f"texts-{k}"), sets, p.percent), f"links-{k}")
+        tried, found = tried.unionByName(more), found.unionByName(new)
+        scratch.drop(f"texts-{k}", f"open-{k}")
+    scratch.drop("shared", "texts-1", "buckets")
+    return found

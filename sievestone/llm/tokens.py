@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
 import numpy as np
 
@@ -41,15 +42,17 @@ def byte_letters() -> dict[int, str]:
 
 
 class _Pieces(dict):
-    """Ids of pieces as bytes; emptied when it holds ``limit`` of them."""
+    """Ids of pieces as bytes, in two generations of ``limit`` each: pieces not asked for through a whole one are forgotten."""
 
     def __init__(self, make, limit: int):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.make(piece)
+        if (ids := self.old.get(piece)) is None:
+            ids = self.make(piece)
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
         self[piece] = ids
         return ids
@@ -58,16 +61,17 @@ class _Pieces(dict):
 class Encoder:
     """``ids(text)``: token ids as a NumPy array; strings of special tokens in a text are ordinary text."""
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = self._kind(json.loads(self.tokenizer.to_str()))
         self.type = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.code = "H" if self.type is np.uint16 else "I"
         self.model = self.tokenizer.model
         self.letters = byte_letters()
-        self.first = _Pieces(lambda p: self._piece("", p), limit // 4)
+        self.first = _Pieces(lambda p: self._piece("", p), limit if self.kind == "dropped" else limit // 4)
         self.led = _Pieces(lambda p: self._piece(" ", p), limit)
 
     @staticmethod
@@ -77,7 +81,7 @@ class Encoder:
             return "led"
         norms = [n.get("type") for n in (norm or {}).get("normalizers", [])]
         steps = [s.get("type") for s in before.get("pretokenizers", [])]
-        if norms == ["NFC", "Replace", "Lowercase"] and steps == ["Split", "ByteLevel"] and before["pretokenizers"][0].get("invert") and r"[^\s\p{L}\p{N}]+" in str(before["pretokenizers"][0]["pattern"]):
+        if norms == ["NFC", "Replace", "Lowercase"] and steps == ["Split", "ByteLevel"] and before["pretokenizers"][0].get("invert") and r"[^\s\p{L}\p{N}]+" in before["pretokenizers"][0]["pattern"].get("Regex", ""):
             return "dropped"
         return "whole"
 
@@ -103,15 +107,17 @@ class Encoder:
         return self._whole(text)
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _word(self, word: str) -> bytes:
         """Ids of one pre-token of letters."""
         if self.kind == "dropped":
             word = word.lower()
-        if not word.isascii() or " " in word:
+        if not word.isascii():
             word = "".join(map(self.letters.__getitem__, word.encode()))
-        return np.array([t.id for t in self.model.tokenize(word)], self.type).tobytes()
+        elif word[0] == " ":
+            word = self.letters[32] + word[1:]
+        return array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def _piece(self, lead: str, piece: str) -> bytes:
         if WORD.fullmatch(piece):

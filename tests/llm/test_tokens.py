@@ -18,6 +18,10 @@ WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path
 ODD = ["", None, " ", "\n", "a", "Hello, world!! It's 1999.\nNew  line\t tab", "Éa être ç'est İstanbul ΣΑΣ", "x y z　w \x1c a\x1fb", "word&&& ###token$$$ <|endoftext|> |", "don't we'll I'M 'S it's", "日本語 テスト ok", "é café ́x", " lead trail ", "a\n\nb\n c \nd", "\r\nx\ry"]
 
 
+def test_kinds_are_told_from_the_files():
+    assert (encoder(WORD).kind, encoder(BYTE).kind) == ("dropped", "led")
+
+
 @pytest.mark.parametrize("path", [WORD, BYTE])
 def test_pieces_give_the_tokenizers_ids(path):
     e = Encoder(path, limit=8)  # emptied again and again
