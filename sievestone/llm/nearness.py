@@ -3,11 +3,12 @@
 Used for documents (word shingles) and for lines (character shingles). A node
 is one distinct set. Candidates come from equal bands; nothing is capped:
 
-1. In every bucket all members meet the bucket's first member. Links found
-   make components, so a bucket of thousands of copies costs one comparison
-   for each copy.
+1. Of the first members of its buckets, every node meets the one that its
+   signature is nearest to. Links found make components, so a bucket of
+   thousands of copies costs one comparison for each copy.
 2. In buckets that still hold several components, members outside the largest
-   one meet one of its members, another in every bucket, ``STARS`` times.
+   one meet one of its members, another in every bucket, ``STARS`` times: the
+   nearest pair of two components, then each node's nearest of a component.
 3. In buckets that even then hold several, members outside the largest one that
    some estimate calls near meet all members of other components, in blocks, so
    no link between components that share a bucket is lost.
@@ -163,7 +164,7 @@ def long_lists(arrays: list[np.ndarray | None]) -> pa.ListArray:
 
 
 def _met_in_blocks(placed: DataFrame, near: DataFrame, texts_for: Callable[[DataFrame], DataFrame], hashes: Callable[[str], np.ndarray], p: Banding, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b), one for each row of ``near`` and other component of its bucket that it links with on hashed sets.
+    """Pairs (a, b), one the likest, for each row of ``near`` and other component of its bucket that it links with on hashed sets.
 
     The rows of a bucket are dealt into blocks of about ``BLOCK_ROWS``; blocks of
     ``near`` meet blocks of all members, so a bucket of any size is spread over
@@ -185,7 +186,7 @@ def _met_in_blocks(placed: DataFrame, near: DataFrame, texts_for: Callable[[Data
 
     def meet(batches):
         for batch in batches:
-            out: dict[tuple, int] = {}
+            out: dict[tuple, tuple] = {}
             for xs, ys in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 own = [np.frombuffer(y["set"], np.uint64) for y in ys]
                 sizes = np.array([len(o) for o in own])
@@ -199,8 +200,9 @@ def _met_in_blocks(placed: DataFrame, near: DataFrame, texts_for: Callable[[Data
                     has[place[values[place] == mine]] = 1
                     both = np.add.reduceat(has[at], starts)
                     for i in np.flatnonzero((parts != x["component"]) & (100 * both >= percent * (len(mine) + sizes - both))):
-                        out.setdefault((x["node"], int(parts[i])), ys[i]["node"])
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.int64()), pa.array(list(out.values()), pa.int64())], ["a", "b"])
+                        at_pair, like = (x["node"], int(parts[i])), both[i] / (len(mine) + sizes[i] - both[i])
+                        out[at_pair] = max(out.get(at_pair, (-1.0, 0)), (like, ys[i]["node"]))
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.int64()), pa.array([y for _, y in out.values()], pa.int64())], ["a", "b"])
 
     return left.join(right, "key").select("key", "x", "y").mapInArrow(meet, "a long, b long")
 
@@ -215,38 +217,52 @@ def links(sketches: DataFrame, texts_for: Callable[[DataFrame], DataFrame], sets
     keys = sketches.where(F.col("n") >= p.least_size).select("node", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("members")).where("members > 1").select("key", "first")
     buckets = scratch.save(buckets, "buckets")
-    shared = keys.join(small_side(buckets), "key")
-    shared = scratch.save(shared.join(sketches.select("node", "n", "sig"), "node"), "shared")
-    heads = shared.where("node = first").select("key", "node", "n", "sig").alias("h")
-    rest = shared.where("node <> first").alias("r")
-    pairs = rest.join(heads, F.expr("r.key = h.key") & close_enough(p, "r", "h")).select(F.col("h.node").alias("a"), F.col("r.node").alias("b")).distinct()
-    pairs = scratch.save(pairs, "pairs-1")
+    shared = scratch.save(keys.join(small_side(buckets), "key"), "shared")
+    scratch.drop("buckets")
+    marks = sketches.select("node", "n", "sig")
+
+    def estimated(pairs: DataFrame) -> DataFrame:
+        """Distinct pairs (a, b) that pass the estimate, with their equal minima; a node is b of at most one pair a band."""
+        met = pairs.groupBy("b").agg(F.collect_set("a").alias("a")).join(marks.select(F.col("node").alias("b"), F.struct("n", "sig").alias("y")), "b")
+        met = met.select("b", "y", F.explode("a").alias("a")).join(marks.select(F.col("node").alias("a"), F.struct("n", "sig").alias("x")), "a")
+        return met.where(close_enough(p, "x", "y")).select("a", "b", matches("x.sig", "y.sig", p.bands * p.rows // 16).alias("equal"))
+
+    def best(pairs: DataFrame, *by: str) -> DataFrame:
+        return pairs.groupBy(*by).agg(F.max(F.struct("equal", "a", "b")).alias("pair")).select("pair.a", "pair.b")
 
     def texts_of(pairs: DataFrame, name: str) -> DataFrame:
         ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         return scratch.save(texts_for(ids), name)
 
+    pairs = estimated(shared.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")))
+    pairs = scratch.save(best(pairs, "b"), "pairs-1")
     found = scratch.save(confirmed(pairs, texts_of(pairs, "texts-1"), sets, p.percent), "links-1")
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    scratch.drop("texts-1")
+    shared = shared.select("key", "node")
     for k in range(2, STARS + 3):
         part = connected_components(found, scratch, f"part-{k}")
-        placed = shared.join(small_side(part), "node", "left").select("key", "node", "n", "sig", F.coalesce("component", "node").alias("component"))
+        placed = shared.join(small_side(part), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
         counts = placed.groupBy("key", "component").agg(F.count("*").alias("rows"))
         open_keys = counts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("rows").alias("members"), F.max_by("component", F.struct("rows", "component")).alias("largest")).where("parts > 1")
-        placed = scratch.save(placed.join(small_side(open_keys.select("key", "largest", "members")), "key"), f"open-{k}")
-        minor = placed.where("component <> largest").alias("x")
+        placed = placed.join(small_side(open_keys.select("key", "largest", "members")), "key")
         if k == STARS + 2:
+            placed = scratch.save(placed.join(marks, "node"), f"open-{k}")
+            minor = placed.where("component <> largest").alias("x")
             near = minor.join(placed.alias("y"), F.expr("x.key = y.key and x.component <> y.component") & close_enough(p, "x", "y"), "left_semi")
             near = scratch.save(near.select("key", "node"), "near")
             more = _met_in_blocks(placed, near, texts_for, hashes, p, scratch)
         else:
-            heads = placed.where("component = largest").groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key", F.lit(k))).alias("node"))
-            others = placed.join(heads, ["key", "node"], "left_semi").alias("y")
-            more = minor.join(others, F.expr("x.key = y.key") & close_enough(p, "x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+            placed = scratch.save(placed, f"open-{k}")
+            heads = placed.where("component = largest").groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key", F.lit(k))).alias("a"))
+            more = estimated(placed.where("component <> largest").select("key", F.col("node").alias("b")).join(heads, "key").select("a", "b"))
+            of = lambda end: small_side(part).select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))  # noqa: E731, B023
+            more = more.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumns({f"of_{end}": F.coalesce(f"of_{end}", end) for end in "ab"})
+            more = best(more, "of_a", "of_b" if k == 2 else "b")  # first one pair for two components, then one for each node
         more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = scratch.save(more.join(tried, ["a", "b"], "left_anti"), f"pairs-{k}")
         new = scratch.save(confirmed(more, texts_of(more, f"texts-{k}"), sets, p.percent), f"links-{k}")
         tried, found = tried.unionByName(more), found.unionByName(new)
         scratch.drop(f"texts-{k}", f"open-{k}")
-    scratch.drop("shared", "texts-1", "buckets")
+    scratch.drop("shared")
     return found
