@@ -3,7 +3,9 @@
 Units are lines, and within longer lines the stretches between anchors, words
 whose hash is the smallest within ``reach`` words. An anchor depends on the
 words around it alone, so a passage set into the middle of different lines is
-cut into the same units wherever it stands.
+cut into the same units wherever it stands. Lines too short to be removed for
+their length are grouped whole as well, so that a repeated line goes however
+short it is.
 """
 
 from __future__ import annotations
@@ -18,12 +20,16 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, own_columns
 
-UNIT = "doc_id long, unit int, start long, length long, words int, d1 long, d2 long, again boolean"
+#: span: 0 for a unit, for a whole line the number of its units.
+UNIT = "doc_id long, unit int, span int, start long, length long, words int, d1 long, d2 long, again boolean"
+
+#: Sets the digests of whole lines apart from those of units.
+LINE = np.int64(0x5851F42D4C957F2D)
 
 
 @dataclass(frozen=True)
 class Passages:
-    """``reach``: words to each side that an anchor outranks. ``least_words``: of the runs of repeated units that count."""
+    """``reach``: words to each side that an anchor outranks. ``least_words``: of the runs of repeated units that count; whole lines count with fewer."""
 
     reach: int = 4
     least_words: int = 20
@@ -47,7 +53,7 @@ def unit_starts(h: np.ndarray, line: np.ndarray, reach: int) -> np.ndarray:
         anchor[k:] &= ~(same & (h[:-k] <= h[k:]))  # of equal words the first
         anchor[:-k] &= ~(same & (h[k:] < h[:-k]))
     step = 2 * reach + 1
-    edges = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [n]])
+    edges = np.concatenate([[0], np.flatnonzero((h[1:] != h[:-1]) | (line[1:] != line[:-1])) + 1, [n]])
     for k in np.flatnonzero(np.diff(edges) >= step):  # one word again and again has no smallest hash
         anchor[edges[k] : edges[k + 1] : step] = True
         anchor[edges[k + 1] : edges[k + 1] + 1] = True
@@ -56,22 +62,36 @@ def unit_starts(h: np.ndarray, line: np.ndarray, reach: int) -> np.ndarray:
     return np.flatnonzero(anchor)
 
 
-def units_of(text: str, reach: int) -> tuple[np.ndarray, ...]:
-    """start and length in characters, words and the two digests of every unit of a text."""
+def units_of(text: str, reach: int, least: int) -> tuple[np.ndarray, ...]:
+    """unit, span, start and length in characters, words and the two digests of every unit of a text, then of every line of fewer than ``least`` words."""
     raw = text.encode("utf-8", "surrogatepass")
     starts, ends, line = word_places(raw)
     if not len(starts):
-        return (np.zeros(0, np.int64),) * 5
+        return (np.zeros(0, np.int64),) * 7
     h = np.fromiter(map(xxhash.xxh64_intdigest, raw.lower().split()), np.uint64, len(starts))
     first = unit_starts(h, line, reach)
     words = np.diff(np.append(first, len(h)))
-    place = np.arange(len(h)) - np.repeat(first, words)
-    d1, d2 = (np.add.reduceat(h * f, first) for f in place_factors(place))
+    d1, d2 = digests(h, first, words)
+    unit, span = np.arange(len(first)), np.zeros(len(first), np.int64)
+    heads = np.flatnonzero(np.diff(line[first], prepend=-1))  # units that start a line
+    length = np.diff(np.append(first[heads], len(h)))
+    short = length < least
+    if short.any():
+        n = length[short]
+        l1, l2 = digests(h[np.repeat(short, length)], np.cumsum(n) - n, n)
+        unit, span = np.append(unit, heads[short]), np.append(span, np.diff(np.append(heads, len(first)))[short])
+        first, words, d1, d2 = np.append(first, first[heads[short]]), np.append(words, n), np.append(d1, l1 ^ LINE), np.append(d2, l2)
     a, b = starts[first], ends[first + words - 1]
     if not text.isascii():
         before = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
         a, b = before[a], before[b]
-    return a, b - a, words, d1.view(np.int64), d2.view(np.int64)
+    return unit, span, a, b - a, words, d1, d2
+
+
+def digests(h: np.ndarray, first: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
+    """Two digests of each stretch of word hashes, which follow one another without gaps."""
+    place = np.arange(len(h)) - np.repeat(first, words)
+    return [np.add.reduceat(h * f, first).view(np.int64) for f in place_factors(place)]
 
 
 def place_factors(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,11 +108,13 @@ def repeated_passages(docs: DataFrame, params: Passages = Passages(), id_col: st
     """Passages of documents that an earlier document, or an earlier place of the same one, has too.
 
     Returns doc_id, start and length (in characters of the original text),
-    n_words and first_doc_id, the smallest id that has the passage's first unit.
+    n_words and first_doc_id, the smallest id that has the passage's first unit
+    (of a passage of whole lines under ``least_words``, its first line).
     Units are compared with A-Z in lower case and by their words alone; of equal
     units the one of the smallest doc_id, and in it the first, is the one to
-    keep. Neighbouring units to remove are one passage; passages of fewer than
-    ``least_words`` words stay. Null and empty texts and rows with a null id
+    keep. Neighbouring units to remove are one passage; of passages of fewer than
+    ``least_words`` words those lines go that an earlier whole line equals, and
+    parts of lines stay. Null and empty texts and rows with a null id
     have no units; rows that repeat an id count as one document. An empty table
     gives no rows; other columns are ignored.
     """
@@ -101,7 +123,18 @@ def repeated_passages(docs: DataFrame, params: Passages = Passages(), id_col: st
 
 def packed(held: list[list[np.ndarray]]) -> pa.RecordBatch:
     columns = [pa.array(np.concatenate(c)) for c in zip(*held, strict=True)]
-    return pa.RecordBatch.from_arrays(columns, ["doc_id", "unit", "start", "length", "words", "d1", "d2", "again"])
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "unit", "span", "start", "length", "words", "d1", "d2", "again"])
+
+
+def neighbours(units: list[dict]) -> list[list[dict]]:
+    """Units in order as runs without gaps."""
+    runs: list[list[dict]] = []
+    for u in units:
+        if runs and u["unit"] == runs[-1][-1]["unit"] + 1:
+            runs[-1].append(u)
+        else:
+            runs.append([u])
+    return runs
 
 
 def _passages(source: DataFrame, params: Passages, scratch: Scratch) -> DataFrame:
@@ -113,10 +146,10 @@ def _passages(source: DataFrame, params: Passages, scratch: Scratch) -> DataFram
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if doc_id is None or not text:
                     continue
-                a, n, words, d1, d2 = units_of(text, reach)
+                unit, span, a, n, words, d1, d2 = units_of(text, reach, least)
                 again = np.ones(len(d1), bool)
                 again[np.unique(d1, return_index=True)[1]] = False
-                held.append([np.full(len(a), doc_id, np.int64), np.arange(len(a), dtype=np.int32), a.astype(np.int64), n.astype(np.int64), words.astype(np.int32), d1, d2, again])
+                held.append([np.full(len(a), doc_id, np.int64), unit.astype(np.int32), span.astype(np.int32), a.astype(np.int64), n.astype(np.int64), words.astype(np.int32), d1, d2, again])
                 if len(held) >= 1000:
                     yield packed(held)
                     held = []
@@ -128,20 +161,21 @@ def _passages(source: DataFrame, params: Passages, scratch: Scratch) -> DataFram
     groups = scratch.save(groups.where("last > first_doc_id or again").select("d1", "d2", "first_doc_id"), "groups")
     gone = units.join(groups, ["d1", "d2"]).where("doc_id > first_doc_id or again")
     # a passage: neighbouring units to remove, told apart by unit number less rank
-    runs = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("unit", "start", "length", "words", "first_doc_id"))).alias("u"))
+    runs = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("unit", "span", "start", "length", "words", "first_doc_id"))).alias("u"))
 
     def join(batches):
         for batch in batches:
             rows = []
-            for doc_id, units in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                run: list[dict] = []
-                for u in [*units, None]:
-                    if run and (u is None or u["unit"] != run[-1]["unit"] + 1):
-                        if (words := sum(x["words"] for x in run)) >= least:
-                            rows.append((doc_id, run[0]["start"], run[-1]["start"] + run[-1]["length"] - run[0]["start"], words, run[0]["first_doc_id"]))
-                        run = []
-                    if u is not None:
-                        run.append(u)
+            for doc_id, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                lines = {u["unit"] + k: u["first_doc_id"] for u in found if u["span"] for k in range(u["span"])}
+                for run in neighbours([u for u in found if not u["span"]]):
+                    if sum(u["words"] for u in run) >= least:
+                        parts, first = [run], run[0]["first_doc_id"]
+                    else:
+                        parts, first = neighbours([u for u in run if u["unit"] in lines]), None
+                    for part in parts:
+                        words = sum(u["words"] for u in part)
+                        rows.append((doc_id, part[0]["start"], part[-1]["start"] + part[-1]["length"] - part[0]["start"], words, lines[part[0]["unit"]] if first is None else first))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "n_words", "first_doc_id"])
 

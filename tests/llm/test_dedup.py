@@ -150,3 +150,35 @@ def test_passages_are_found_wherever_they_stand(spark):
     cleaned = {r.doc_id: r.text for r in passages.remove_passages(df).collect()}
     assert cleaned[4] == text[4] and cleaned[30] is None and len(cleaned[9]) < len(text[9]) and cleaned[33].startswith("é")
     assert passages.repeated_passages(df.limit(0)).count() == 0 and passages.remove_passages(df).columns == df.columns
+
+
+def test_short_lines_match_brute_force(spark):
+    rng = np.random.default_rng(4)
+    pool = [" ".join(words(rng, n)) for n in range(1, 20)] + ["go " * 12 + "go"]
+    middle = " ".join(words(rng, 8))
+    texts = []
+    for i in range(40):
+        own = [" ".join(words(rng, 30)) + f" end{i}" for _ in range(3)] + ["é go"]
+        own[1] = f"{own[1]} {middle} {own[0][:40]}"  # part of a line, too short to go
+        at = rng.choice(len(pool), 4)
+        texts.append((i, "\n".join(x for k, line in zip(at, own, strict=True) for x in (line, f"  {pool[k].upper() if i % 3 else pool[k]} ", ""))))
+    seen, want = {}, set()
+    for i, t in texts:
+        start, kept = 0, []
+        for line in t.split("\n"):
+            normal = " ".join(line.lower().split())
+            if normal:
+                kept.append((normal in seen, start + len(line) - len(line.lstrip()), start + len(line.rstrip()), len(normal.split()), seen.setdefault(normal, i)))
+            start += len(line) + 1
+        run = []
+        for x in [*kept, (False,)]:  # neighbouring lines are one passage
+            if x[0]:
+                run.append(x)
+            elif run:
+                want.add((i, run[0][1], run[-1][2] - run[0][1], sum(r[3] for r in run), run[0][4]))
+                run = []
+    got = passages.repeated_passages(table(spark, texts)).collect()
+    assert {(r.doc_id, r.start, r.length, r.n_words, r.first_doc_id) for r in got} == want and len(got) == len(want)
+    assert {n for _, _, _, n, _ in want} >= {1, 2, 8, 13, 19}
+    cleaned = {r.doc_id: r.text for r in passages.remove_passages(table(spark, texts)).collect()}
+    assert all(len(cleaned[i]) == len(t) - sum(w[2] for w in want if w[0] == i) for i, t in texts)
