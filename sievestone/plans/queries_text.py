@@ -51,7 +51,7 @@ def instruction_report(spark, d):
 
 @query("toxic_documents", "select doc_id from documents where regexp_matches(text, '\\b(stupid|idiot|moron|dumb)\\b', 'i') or regexp_matches(text, '\\b(racist|sexist|bigot)\\b', 'i')")
 def toxic_documents(spark, d):
-    return t(spark, d, "documents").where(texts.any_match(F.col("text"), texts.TOXIC[1:])).select("doc_id")
+    return t(spark, d, "documents").where(texts.any_match(F.col("text"), texts.TOXIC)).select("doc_id")
 
 
 @query("response_scores")

@@ -184,3 +184,11 @@ def test_synthetic(spark):
     made = synthetic.gaussian_copula(c, ["a", "b"], 500)
     assert synthetic.distribution_gaps(c, made, ["a"]).first().gap < 0.2
     assert synthetic.smote(c.select("k", F.array("a", "b").alias("v")), "k", "v", 3).count() == 200
+
+
+def test_toxic_documents_by_all_patterns(spark, tmp_path):
+    from sievestone.plans import catalogue
+
+    docs = [(1, "we will destroy those people"), (2, "what an idiot"), (3, "a racist joke"), (4, "fine"), (5, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id for r in catalogue.queries()["toxic_documents"](spark, str(tmp_path)).collect()} == {1, 2, 3}
