@@ -196,7 +196,7 @@ def labeler_trend(spark, d):
 def labeler_routing(spark, d):
     a = rated(spark, d)
     m = annotators.labeler_metrics(a, "annotator_id", "sample_id").join(annotators.category_consistency(a, "annotator_id"), "annotator_id")
-    return annotators.route(a.select("sample_id", "category").where("sample_id < 200"), m, annotators.category_skill(a, "annotator_id"), "sample_id", "annotator_id")
+    return annotators.route(a.select("sample_id", "category"), m, annotators.category_skill(a, "annotator_id"), "sample_id", "annotator_id")
 
 
 @query("synthetic_modes", "select f as feature, s1 / s0 as std_ratio, u1 / u0 as unique_ratio, s1 / s0 < 0.1 or u1 / u0 < 0.5 as collapsed from (select 'o_totalprice' as f, stddev_samp(o_totalprice) filter (o_orderkey % 2 = 0) as s0, stddev_samp(o_totalprice) filter (o_orderkey % 2 = 1 and o_orderkey < 900) as s1, count(distinct o_totalprice) filter (o_orderkey % 2 = 0) as u0, count(distinct o_totalprice) filter (o_orderkey % 2 = 1 and o_orderkey < 900) as u1 from orders)", "std_ratio unique_ratio")

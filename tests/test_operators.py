@@ -192,3 +192,11 @@ def test_toxic_documents_by_all_patterns(spark, tmp_path):
     docs = [(1, "we will destroy those people"), (2, "what an idiot"), (3, "a racist joke"), (4, "fine"), (5, None)]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.doc_id for r in catalogue.queries()["toxic_documents"](spark, str(tmp_path)).collect()} == {1, 2, 3}
+
+
+def test_routing_takes_all_samples(spark, tmp_path):
+    from sievestone.plans import catalogue
+
+    spark.range(10_000).selectExpr("id as event_id", "array('view', 'buy')[id % 2] as event_type", "timestamp_seconds(id) as ts").write.parquet(f"{tmp_path}/events.parquet")
+    routed = catalogue.queries()["labeler_routing"](spark, str(tmp_path))
+    assert routed.select("sample_id").distinct().count() == 2500 and routed.count() == 20_000
