@@ -30,6 +30,24 @@ def top_k(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int,
     shard. Every query meets every vector, as exact search demands.
     """
 
+    def nearest(qk, vk, s):
+        by = np.argsort(vk, kind="stable")  # of equal similarities the smaller keys stay
+        s, vk = s[:, by], vk[by]
+        s[qk[:, None] == vk[None, :]] = -np.inf
+        order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        rows = np.repeat(np.arange(len(qk)), order.shape[1])
+        flat = order.ravel()
+        ok = np.isfinite(s[rows, flat])
+        return qk[rows[ok]], vk[flat[ok]], s[rows[ok], flat[ok]]
+
+    found = _compared(queries, vectors, key, vector, metric, block, nearest)
+    w = Window.partitionBy("query").orderBy(F.desc("similarity"), "key")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _compared(queries: DataFrame, vectors: DataFrame, key: str, vector: str, metric: str, block: int, keep) -> DataFrame:
+    """query, key, similarity that ``keep`` takes of every block's keys, shard's keys and matrix of similarities."""
+
     def packed(batches):
         keys, rows = [], []
 
@@ -62,17 +80,47 @@ def top_k(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int,
                     s = np.divide(s, n, out=np.zeros_like(s), where=n > 0)
                 elif metric == "euclidean":
                     s = 1 / (1 + np.sqrt(np.maximum(0, (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * s)))
-                s[qk[:, None] == vk[None, :]] = -np.inf
-                order = np.argsort(-s, axis=1, kind="stable")[:, :k] if k < 64 else np.argsort(-s, axis=1, kind="stable")[:, :k]
-                rows = np.repeat(np.arange(len(qk)), order.shape[1])
-                flat = order.ravel()
-                ok = np.isfinite(s[rows, flat])
-                yield pa.RecordBatch.from_arrays([pa.array(qk[rows[ok]]), pa.array(vk[flat[ok]]), pa.array(s[rows[ok], flat[ok]])], ["query", "key", "similarity"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in keep(qk, vk, s)], ["query", "key", "similarity"])
 
     pairs = v.crossJoin(F.broadcast(q)) if queries.limit(200_001).count() <= 200_000 else v.crossJoin(q)  # blocks of the stated queries against blocks of all rows
-    found = pairs.mapInArrow(meet, "query long, key long, similarity double")
-    w = Window.partitionBy("query").orderBy(F.desc("similarity"), "key")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return pairs.mapInArrow(meet, "query long, key long, similarity double")
+
+
+def _copies_and_links(vectors: DataFrame, key: str, vector: str, threshold: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """key, head: vectors that are not null or all 0, and the least key with an equal one; key1 < key2, similarity of all heads' pairs at or over the threshold."""
+    rows = vectors.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")).where(F.col("key").isNotNull() & F.exists("v", lambda x: x != 0))
+    heads = rows.groupBy("v").agg(F.min("key").alias("head"))
+
+    def near(qk, vk, s):
+        i, j = np.nonzero((s >= threshold) & (qk[:, None] < vk[None, :]))
+        return qk[i], vk[j], s[i, j]
+
+    # copies of a vector are told by it, not by their similarity, which rounding can keep apart
+    links = _compared(heads, heads, "head", "v", "cosine", block, near).select(F.col("query").alias("key1"), F.col("key").alias("key2"), "similarity")
+    return rows.join(heads, "v").select("key", "head"), links
+
+
+def near_pairs(vectors: DataFrame, key: str, vector: str, threshold: float = 0.95, block: int = 512) -> DataFrame:
+    """key1 < key2, similarity of all pairs of vectors with cosine >= threshold; exact, whatever the size of a group.
+
+    One of each set of equal vectors meets all others in blocks; its links hold
+    for its copies, and copies are pairs of similarity 1. Rows with the key of
+    another are one vector each; null vectors and those of zeros have no pairs.
+    """
+    copies, links = _copies_and_links(vectors, key, vector, threshold, block)
+    a, b = copies.select(F.col("key").alias("a"), F.col("head").alias("key1")), copies.select(F.col("key").alias("b"), F.col("head").alias("key2"))
+    across = links.join(a, "key1").join(b, "key2").select(F.least("a", "b").alias("key1"), F.greatest("a", "b").alias("key2"), "similarity")
+    same = a.join(b, F.col("key1") == F.col("key2")).where("a < b").select(F.col("a").alias("key1"), F.col("b").alias("key2"), F.lit(1.0).alias("similarity"))
+    return across.unionByName(same)
+
+
+def count_near_pairs(vectors: DataFrame, key: str, vector: str, threshold: float = 0.95, block: int = 512) -> DataFrame:
+    """duplicate_pairs: how many rows ``near_pairs`` has, from the sizes of sets of equal vectors, without listing them."""
+    copies, links = _copies_and_links(vectors, key, vector, threshold, block)
+    sizes = copies.groupBy("head").agg(F.count("*").alias("n"))
+    across = links.join(sizes.select(F.col("head").alias("key1"), F.col("n").alias("n1")), "key1").join(sizes.select(F.col("head").alias("key2"), F.col("n").alias("n2")), "key2")
+    pairs = across.select((F.col("n1") * F.col("n2")).alias("n")).unionByName(sizes.select(F.expr("n * (n - 1) div 2").alias("n")))
+    return pairs.agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("duplicate_pairs"))
 
 
 def duplicates(neighbours: DataFrame, threshold: float = 0.95) -> DataFrame:
@@ -98,10 +146,10 @@ def delete(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return table.join(keys.select(key), key, "left_anti")
 
 
-def quality(vectors: DataFrame, neighbours: DataFrame, threshold: float = 0.95, contamination: float = 0.1) -> DataFrame:
-    """One row: vectors, duplicate pairs, outliers."""
+def quality(vectors: DataFrame, key: str, vector: str, neighbours: DataFrame, threshold: float = 0.95, contamination: float = 0.1) -> DataFrame:
+    """One row: vectors, duplicate pairs (all of them), outliers (by neighbours)."""
     a = vectors.agg(F.count("*").alias("vectors"))
-    b = duplicates(neighbours, threshold).agg(F.count("*").alias("duplicate_pairs"))
+    b = count_near_pairs(vectors, key, vector, threshold)
     c = outliers(neighbours, contamination).agg(F.count_if("is_outlier").alias("outliers"))
     return a.crossJoin(b).crossJoin(c)
 

@@ -184,7 +184,7 @@ def vector_neighbours(spark, d):
 
 @query("vector_duplicates", f"select least(query, key) as key1, greatest(query, key) as key2, max(similarity) as similarity from ({NEAR}) where rank <= 10 and similarity >= 0.95 group by 1, 2", "similarity")
 def vector_duplicates(spark, d):
-    return vectors.duplicates(neighbours(spark, d))
+    return vectors.near_pairs(t(spark, d, "embeddings"), "vec_id", "embedding", 0.95)
 
 
 @query("vector_outliers", f"with s as (select query as key, avg(1 - similarity) as score from ({NEAR}) where rank <= 10 group by 1) select key, score, row_number() over (order by score desc, key) <= (select greatest(1, floor(count(*) * 0.1)) from s) as is_outlier from s", "score")
@@ -194,7 +194,7 @@ def vector_outliers(spark, d):
 
 @query("vector_quality", f"with n as (select * from ({NEAR}) where rank <= 10) select (select count(*) from embeddings) as vectors, (select count(*) from (select distinct least(query, key), greatest(query, key) from n where similarity >= 0.95)) as duplicate_pairs, greatest(1, floor((select count(*) from embeddings) * 0.1))::bigint as outliers")
 def vector_quality(spark, d):
-    return vectors.quality(t(spark, d, "embeddings"), neighbours(spark, d))
+    return vectors.quality(t(spark, d, "embeddings"), "vec_id", "embedding", neighbours(spark, d))
 
 
 @query("vector_upsert", "select vec_id, case when vec_id < 10 then -1 else label end as label from embeddings where vec_id % 50 <> 49")

@@ -186,6 +186,32 @@ def test_synthetic(spark):
     assert synthetic.smote(c.select("k", F.array("a", "b").alias("v")), "k", "v", 3).count() == 200
 
 
+def test_near_pairs_of_large_groups(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(90, 6))
+    v[:30] = v[0]  # copies, and a near vector whose neighbours they all are
+    v[30:40] = v[0] + rng.normal(scale=0.05, size=(10, 6))
+    v[88] = 0
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(200, None)]
+    df = spark.createDataFrame(rows, "k long, v array<double>").repartition(3)
+    n = np.linalg.norm(v, axis=1)
+    s = v @ v.T / np.where(n > 0, n, 1)[:, None] / np.where(n > 0, n, 1)[None, :]
+    want = {(i, j) for i in range(90) for j in range(i + 1, 90) if s[i, j] >= 0.95}
+    got = vectors.near_pairs(df, "k", "v", 0.95, 16).collect()
+    assert {(r.key1, r.key2) for r in got} == want and len(got) == len(want) > 600
+    q = vectors.quality(df, "k", "v", vectors.top_k(df, df, "k", "v", 10)).first()
+    assert (q.vectors, q.duplicate_pairs) == (91, len(want))
+    assert vectors.near_pairs(df.limit(0), "k", "v").count() == 0 and vectors.count_near_pairs(df.limit(0), "k", "v").first()[0] == 0
+
+
+def test_equal_neighbours_stay_by_key(spark):
+    df = spark.createDataFrame([(k, [1.0, 0.0]) for k in (9, 4, 7, 1, 8, 3)], "k long, v array<double>").coalesce(1)
+    near = vectors.top_k(df, df, "k", "v", 2).collect()
+    assert {(r.query, r.key) for r in near} == {(q, k) for q in (9, 4, 7, 1, 8, 3) for k in [k for k in (1, 3, 4) if k != q][:2]}
+
+
 def test_toxic_documents_by_all_patterns(spark, tmp_path):
     from sievestone.plans import catalogue
 
