@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.exprs import numeric_columns, ratio, string_columns, zero_filled
 
@@ -107,12 +108,26 @@ def confident_errors(df: DataFrame, key: str, label: str, probs: str) -> DataFra
 
 
 def out_of_fold_probabilities(df: DataFrame, key: str, label: str, columns: list[str], folds: int = 5, rounds: int = 50) -> DataFrame:
-    """key, label, probs: each row's class probabilities from a logistic regression that has not seen its fold."""
+    """key, label, probs: each row's class probabilities from a logistic regression that has not seen its fold.
+
+    ``columns`` are numbers or arrays of numbers; arrays count with all their
+    components, null, missing and NaN ones as 0.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    arrays = [c for c in columns if isinstance(df.schema[c].dataType, T.ArrayType)]
+    sizes = df.agg(*[F.max(F.size(c)).alias(c) for c in arrays]).first() if arrays else None
+
+    def feature(c: str):
+        if c not in arrays:
+            return zero_filled(c)
+        values = F.coalesce(F.col(c).cast("array<double>"), F.array().cast("array<double>"))
+        places = F.sequence(F.lit(0), F.lit(max(1, sizes[c] or 0) - 1))
+        return array_to_vector(F.transform(places, lambda i: F.coalesce(F.nanvl(F.get(values, i), F.lit(0.0)), F.lit(0.0))))
 
-    filled = df.select(key, F.col(label).cast("double").alias(label), *[zero_filled(c).alias(c) for c in columns]).withColumn("fold", F.pmod(F.xxhash64(key), F.lit(folds)))
+    filled = df.select(key, F.col(label).cast("double").alias(label), *[feature(c).alias(c) for c in columns]).withColumn("fold", F.pmod(F.xxhash64(key), F.lit(folds)))
     rows = VectorAssembler(inputCols=columns, outputCol="raw").transform(filled)
     out = None
     for k in range(folds):

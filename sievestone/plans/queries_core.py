@@ -305,9 +305,8 @@ def confident_errors(spark, d):
 @query("label_errors_cross_validated")
 def label_errors_cross_validated(spark, d):
     e = t(spark, d, "embeddings").where("label is not null")
-    wide = e.select("vec_id", "label", *[F.col("embedding")[i].alias(f"x{i}") for i in range(8)])
-    coded = tabular.encode(wide, "label")
-    probs = labels.out_of_fold_probabilities(coded, "vec_id", "code", [f"x{i}" for i in range(8)])
+    coded = tabular.encode(e.select("vec_id", "label", "embedding"), "label")
+    probs = labels.out_of_fold_probabilities(coded, "vec_id", "code", ["embedding"])
     return labels.confident_errors(probs, "vec_id", "code", "probs")
 
 

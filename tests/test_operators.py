@@ -186,6 +186,15 @@ def test_synthetic(spark):
     assert synthetic.smote(c.select("k", F.array("a", "b").alias("v")), "k", "v", 3).count() == 200
 
 
+def test_out_of_fold_probabilities_see_all_components(spark):
+    rows = spark.range(300).select(F.col("id").alias("k"), (F.col("id") % 2).cast("int").alias("y"))
+    v = F.array(*[F.randn(i) for i in range(11)], F.col("y") * 8 + F.randn(11))  # the last component alone tells classes apart
+    data = rows.withColumn("v", F.when(F.col("k") >= 4, v).when(F.col("k") == 2, F.array(F.lit(float("nan"))))).cache()
+    probs = labels.out_of_fold_probabilities(data, "k", "y", ["v"], folds=3, rounds=20)
+    own = F.element_at("probs", F.col("y") + 1)
+    assert probs.count() == 300 and probs.where((own > 0.9) & (F.col("k") >= 4)).count() > 280
+
+
 def test_near_pairs_of_large_groups(spark):
     import numpy as np
 
