@@ -17,12 +17,11 @@ FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 3
 
 @dataclass(frozen=True)
 class Mixture:
-    """``buckets``: of hashed byte trigrams. ``penalty``: times log(n) / 2 for each language in a set. ``most``: languages that EM starts with."""
+    """``buckets``: of hashed byte trigrams. ``penalty``: times log(n) / 2 for each language in a set."""
 
     buckets: int = 1 << 15
     penalty: float = 6.0
     rounds: int = 12
-    most: int = 8
 
 
 def trigrams(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,18 +67,18 @@ def train(docs: DataFrame, p: Mixture = Mixture(), text_col: str = "text", lang_
 def proportions(logp: np.ndarray, at: np.ndarray, n: np.ndarray, p: Mixture) -> tuple[np.ndarray, np.ndarray]:
     """Chosen languages and their shares of a text.
 
-    EM gives the shares of the likeliest languages; the least is left out as
-    long as that raises the log-likelihood less penalty * log(n) / 2 a language.
+    EM gives the shares of all languages; the least is left out as long as that
+    raises the log-likelihood less penalty * log(n) / 2 a language. What is left
+    goes on from its shares, so that many languages settle as few do.
     """
     single = logp[:, at] @ n
-    chosen = np.argsort(-single, kind="stable")[: p.most]
+    chosen = np.argsort(-single, kind="stable")
     cost = p.penalty * np.log(max(2, n.sum())) / 2
-    best = None
+    best, w = None, np.full(len(chosen), 1 / len(chosen))
     while len(chosen):
         like = logp[np.ix_(chosen, at)]
         top = like.max(axis=0)
         like = np.exp(like - top)
-        w = np.full(len(chosen), 1 / len(chosen))
         for _ in range(p.rounds if len(chosen) > 1 else 1):
             share = w[:, None] * like
             w = (share / share.sum(axis=0)) @ n / n.sum()
@@ -87,7 +86,9 @@ def proportions(logp: np.ndarray, at: np.ndarray, n: np.ndarray, p: Mixture) ->
         if best is not None and score <= best[0]:
             break
         best = (score, chosen, w)
-        chosen = np.delete(chosen, int(np.argmin(w)))
+        least = int(np.argmin(w))
+        chosen, w = np.delete(chosen, least), np.delete(w, least)
+        w = w / w.sum() if len(w) else w
     return best[1], best[2]
 
 

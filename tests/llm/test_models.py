@@ -143,3 +143,16 @@ def test_query_columns(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     rows = queries.op6_decontamination(spark, SF)
     assert rows.columns == ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"] and rows.count() == n
+
+
+def test_relatives_do_not_push_out_a_second_language():
+    rng = np.random.default_rng(6)
+    main, other = rng.dirichlet(np.full(400, 0.3), 2)
+    tables = [main, *[0.9 * main + 0.1 * rng.dirichlet(np.full(400, 0.3)) for _ in range(10)], other]
+    logp = np.log(np.array(tables) + 1e-9)
+    n = np.bincount(np.concatenate([rng.choice(400, 3500, p=main), rng.choice(400, 1500, p=other)]), minlength=400)
+    at = np.flatnonzero(n)
+    assert 11 not in np.argsort(-(logp[:, at] @ n[at]))[:8]
+    who, share = language_id.proportions(logp, at, n[at], language_id.Mixture())
+    found = dict(zip(who.tolist(), share.tolist(), strict=True))
+    assert set(found) == {0, 11} and abs(found[11] - 0.3) < 0.05
