@@ -14,6 +14,9 @@ from sievestone.llm.minhash_dedup import keep_one
 from sievestone.llm.packing import pack_documents
 from sievestone.llm.queries import quality_model, table
 
+#: A character that is no white space, as ``str.split`` and so line dedup see it.
+WORDS = r"[^\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is 0.7 or more."""
@@ -22,8 +25,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with one line kept of each class of near-equal lines; texts that had lines and lose them all go."""
-    kept = dedup_lines(docs.withColumn("n_chars", F.coalesce(F.trim("text") != "", F.lit(False)).cast("long")))
-    kept = kept.where("n_chars = 0 or trim(text) <> ''")  # n_chars: whether the text had words
+    kept = dedup_lines(docs.withColumn("n_chars", F.coalesce(F.col("text").rlike(WORDS), F.lit(False)).cast("long")))
+    kept = kept.where((F.col("n_chars") == 0) | F.col("text").rlike(WORDS))  # n_chars: whether the text had words
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

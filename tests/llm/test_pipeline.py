@@ -24,3 +24,11 @@ def test_near_copies_go_and_clean_documents_stay(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == [1, 3, 4]
     assert sorted(r.doc_id for r in corpus_pipeline.line_dedup(spark, docs, SF).collect()) == [1, 3, 4]
+
+
+def test_copies_with_blank_lines_go(spark):
+    text = "the first paragraph of a text\n\nand here the second one\n\t\n\u00a0\nthen a third"
+    rows = [(1, text, "en", "s", len(text)), (2, text, "en", "s", len(text)), (3, "\n\n", "en", "s", 2), (4, "\u00a0\n\t", "en", "s", 3), (5, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, SF).collect()}
+    assert kept == {1: text, 3: "\n\n", 4: "\u00a0\n\t", 5: None}
