@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a broadcast side may have; larger sides are joined by a shuffle.
 BROADCAST_ROWS = 400_000
+#: While a working table is written: small Arrow batches, and shuffle files go with the job that wrote them.
+WRITING = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 class Scratch:
@@ -29,8 +35,15 @@ class Scratch:
         self.path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str, **options) -> DataFrame:
-        path = f"{self.path}/{name}"
-        df.write.options(**options).parquet(path)
+        path, conf = f"{self.path}/{name}", self.spark.conf
+        before = {k: conf.get(k, None) for k in WRITING}
+        try:
+            for k, v in WRITING.items():
+                conf.set(k, v)
+            df.write.options(**options).parquet(path)
+        finally:
+            for k, v in before.items():
+                conf.set(k, v) if v is not None else conf.unset(k)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -46,9 +59,55 @@ def own_columns(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[f"`{source}`"].alias(name) for name, source in columns.items()])
 
 
-def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``limit`` rows, as counted; else as it is."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def small_side(df: DataFrame, limit: int = BROADCAST_ROWS, width: Column | None = None) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``limit`` rows, or ``width`` sums to no more, as counted; else as it is."""
+    if width is None:
+        return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= limit else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def text_key() -> Column:
+    """Of the columns doc_id and text: a row's identity where ids repeat or are null. Rows of equal id and text share it."""
+    return F.xxhash64("doc_id", "text")
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = 1024, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut to at most ``rows`` rows and, but for single longer texts, ``size`` bytes of a text column."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            end = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, side="right"))))
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def grouped(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[pa.RecordBatch]:
+    """The groups of rows that agree in the first ``by`` columns, numbers without nulls; rows come sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(by)], axis=1)
+        edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            if held and (last != keys[lo]).any():
+                yield pa.concat_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = keys[lo]
+    if held:
+        yield pa.concat_batches(held)
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", most: int = 60) -> DataFrame:

@@ -7,14 +7,13 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, own_columns, small_side
-from .nearness import Banding, finish64, links, long_lists
+from .common import Scratch, fresh, own_columns, slices, small_side, text_key
+from .nearness import Banding, as_long, finish64, long_lists, near_components
 
-SKETCH = "node long, doc_id long, n int, digest binary, bands array<long>, sig array<long>"
+SKETCH = "doc_id long, text_key long, node long, check long, n int, bands array<long>, sig array<long>"
 
 
 @dataclass(frozen=True)
@@ -46,34 +45,31 @@ def shingle_hashes(words: list[bytes], w: int) -> np.ndarray:
     return np.unique(finish64(total))
 
 
-def set_digest(words: list[bytes], w: int) -> bytes:
-    return xxhash.xxh3_128_digest(shingle_hashes(words, w).tobytes()) if words else b""
-
-
 def sketch_documents(docs: DataFrame, p: NearDedup) -> DataFrame:
-    """A row for each document: its row number, set size, set digest, bands and signature."""
+    """A row for each document: its set's size and 128-bit digest in two longs; bands and signature where its task sees the set for the first time."""
     w, banding = p.words, p.banding
 
     def sketch(batches):
         make = banding.sketcher()
-        node = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        seen: set[int] = set()
+        for batch in slices(batches, 1, size=1 << 19):
+            node, check, n, new, held = [], [], [], [], []
+            for text in batch.column(1).to_pylist():
                 words = words_of(text)
-                if words:
-                    s = shingle_hashes(words, w)
-                    keys, sig = make((s >> np.uint64(32)).astype(np.uint32)) if len(s) >= banding.least_size else (None, None)
-                    rows.append((node, doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()), keys, sig))
-                else:
-                    rows.append((node, doc_id, 0, None, None, None))
-                node += 1
-            if rows:
-                a, b, n, d, k, s = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int32()), pa.array(d, pa.binary()), long_lists(k), long_lists(s)],
-                    ["node", "doc_id", "n", "digest", "bands", "sig"],
-                )
+                s = shingle_hashes(words, w) if words else np.zeros(0, np.uint64)
+                d = xxhash.xxh3_128_intdigest(s.tobytes())
+                node.append(as_long(d & 0xFFFFFFFFFFFFFFFF) if words else None)
+                check.append(as_long(d >> 64) if words else None)
+                n.append(len(s))
+                new.append(len(s) >= banding.least_size and node[-1] not in seen)
+                if new[-1]:
+                    held.append((s >> np.uint64(32)).astype(np.uint32))
+                    if len(seen) >= 200_000:
+                        seen.clear()
+                    seen.add(node[-1])
+            keys, sig = make(np.concatenate([*held, np.zeros(0, np.uint32)]), np.array([len(h) for h in held], np.int64))
+            columns = [batch.column(0), batch.column(2), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(n, pa.int32()), long_lists(np.array(new), keys), long_lists(np.array(new), sig)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "node", "check", "n", "bands", "sig"])
 
     return docs.mapInArrow(sketch, SKETCH)
 
@@ -82,52 +78,49 @@ def minhash_dedup(docs: DataFrame, params: NearDedup = NearDedup(), id_col: str
     """Components of documents whose shingle sets have similarity >= percent / 100.
 
     Returns a row for each input row: doc_id, n_shingles (set size),
-    component_id (smallest id reachable over links, itself included) and kept
-    (doc_id = component_id). Equal sets are one class, whatever their number;
-    between classes candidates share a MinHash band, pass a b-bit estimate and
-    are confirmed on the texts' full sets. Texts that are null or have no words
-    have n_shingles 0 and link with nothing. Rows with a null id keep a null
+    component_id (smallest id reachable over links, itself included), kept
+    (doc_id = component_id) and text_key (of id and text, which tells rows of
+    one id apart). Equal sets are one class, whatever their number; between
+    classes candidates share a MinHash band, pass a b-bit estimate and are
+    confirmed on the texts' full sets. Texts that are null or have no words have
+    n_shingles 0 and link with nothing. Rows with a null id keep a null
     component and kept = true. Rows that repeat an id are documents of their
     own with that id. Other columns of the input are ignored; an empty table
     gives no rows.
     """
-    spark: SparkSession = docs.sparkSession
-    scratch = Scratch(spark, "minhash")
-    source = own_columns(docs, doc_id=id_col, text=text_col)
+    scratch = Scratch(docs.sparkSession, "minhash")
+    source = own_columns(docs, doc_id=id_col, text=text_col).withColumn("text_key", text_key())
     rows = scratch.save(sketch_documents(source, params), "sketches")
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("node").alias("class"), F.min("doc_id").alias("first_id"))
-    classes = scratch.save(classes, "classes")
-    heads = rows.join(classes.select(F.col("class").alias("node")), "node", "left_semi").select("node", "doc_id", "digest", "n", "bands", "sig")
-    heads = scratch.save(heads, "heads")
+    ranked = rows.where("node is not null and doc_id is not null")
+    classes = scratch.save(ranked.groupBy("node", "check").agg(F.min("doc_id").alias("first_id"), F.min("text_key").alias("text_key")), "classes")
     w = params.words
 
     def texts_for(nodes: DataFrame) -> DataFrame:
-        wanted = heads.select("node", "doc_id", "digest").join(nodes, "node")
-
-        def same(batches):  # where ids repeat, only the text that the node stands for
-            for pdf in batches:
-                yield pdf.loc[[set_digest(words_of(t), w) == bytes(d) for t, d in zip(pdf["text"], pdf["digest"], strict=True)], ["node", "text"]]
-
-        return source.join(small_side(wanted), "doc_id").select("node", "digest", "text").mapInPandas(same, "node long, text string")
+        wanted = small_side(classes.join(nodes, "node").select("node", "text_key"))
+        return source.select("text_key", "text").join(wanted, "text_key").select("node", "text")
 
-    found = links(heads, texts_for, lambda t: shingles(t, w), lambda t: shingle_hashes(words_of(t), w), params.banding, scratch)
-    parts = connected_components(found, scratch, "parts")
-    whole = classes.join(parts, classes["class"] == parts.node, "left").select("digest", "first_id", F.coalesce("component", "class").alias("component"))
+    hashes = lambda t: (shingle_hashes(words_of(t), w) >> np.uint64(32)).astype(np.uint32)
+    parts = near_components(ranked, texts_for, lambda t: shingles(t, w), hashes, params.banding, scratch)
+    whole = classes.join(small_side(parts), "node", "left").select("node", "check", "first_id", F.coalesce("component", "node").alias("component"))
     least = whole.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = scratch.save(whole.join(least, "component").select("digest", "component_id"), "named")
-    scratch.drop("heads", "classes")
-    out = rows.select("doc_id", "n", "digest").join(named, "digest", "left")
+    named = scratch.save(whole.join(least, "component").select("node", "check", "component_id"), "named")
+    scratch.drop("classes", "components")
+    out = rows.select("doc_id", "n", "node", "check", "text_key").join(named, ["node", "check"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"), "text_key")
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_key")
 
 
 def keep_one(docs: DataFrame, params: NearDedup = NearDedup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component, that of the smallest id; columns stay as they are.
 
     Texts without words and rows with a null id stay. Rows that share the kept
-    id stay together.
+    id and belong to the component stay together; another text under an id is
+    a document of its own.
     """
     scratch = Scratch(docs.sparkSession, "near")
-    gone = minhash_dedup(docs, params, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    gone = scratch.save(gone, "gone")
-    return docs.join(small_side(gone), docs[f"`{id_col}`"] == gone["__id"], "left_anti")
+    gone = minhash_dedup(docs, params, id_col, text_col).where("not kept").select("doc_id", "text_key").distinct()
+    gone = scratch.save(gone.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")), "gone")
+    key = fresh(docs, "row_key")
+    marked = docs.withColumn(key, F.xxhash64(docs[f"`{id_col}`"], docs[f"`{text_col}`"]))
+    return marked.join(small_side(gone), (marked[f"`{id_col}`"] == gone["gone_id"]) & (marked[key] == gone["gone_key"]), "left_anti").drop(key)

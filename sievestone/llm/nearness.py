@@ -1,19 +1,22 @@
-"""Links between near-duplicate sets: banded MinHash candidates, b-bit estimates, exact checks.
+"""Near-duplicate sets: banded MinHash candidates, b-bit estimates, exact checks, components.
 
 Used for documents (word shingles) and for lines (character shingles). A node
-is one distinct set. Candidates come from equal bands; nothing is capped:
-
-1. In every bucket all members meet the bucket's first member. Links found
-   make components, so a bucket of thousands of copies costs one comparison
-   for each copy.
-2. In buckets that still hold several components, members outside the largest
-   one meet one of its members, another in every bucket, ``STARS`` times.
-3. In buckets that even then hold several, members outside the largest one that
-   some estimate calls near meet all members of other components, in blocks, so
-   no link between components that share a bucket is lost.
-
-Estimates from packed b-bit signatures come before any text is read; links
-that count are confirmed on full sets.
+is one distinct set, named by a 64-bit digest of it, so equal sets need no join
+to become one. Nothing is capped:
+
+1. Bands are aggregated to buckets before the shuffle: smallest and largest
+   node and the bits of all of them. A bucket of two nodes, by far the most
+   common kind, is a candidate pair; only of wider buckets are members looked up.
+2. In a wide bucket packed b-bit signatures give all similarities, and the
+   maximum spanning forest of those that are near leaves it: fewer pairs than
+   members. Pairs are confirmed on full sets and give a first partition.
+3. Where a bucket still holds several parts, members that some estimate calls
+   near a member of another part bring their hashed sets, and links between
+   parts are found exactly, then confirmed.
+
+Buckets of more than ``LIMIT`` members are dealt into blocks. In step 3 only
+members outside a bucket's largest part meet all its members; where even these
+are too many, they are banded anew with other minima before they meet.
 """
 
 from __future__ import annotations
@@ -26,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, small_side
+from .common import Scratch, connected_components, grouped, slices, small_side
 
-STARS = 2
-BLOCK_ROWS = 512
+LIMIT = 1024
 BITS = 4  # of each minimum that a signature keeps: sixteen minima to a long
+FRESH = 8  # minima to a band where buckets are banded anew
+PAIRS = "a long, b long"
 
 
 @dataclass(frozen=True)
@@ -49,6 +53,10 @@ class Banding:
     slack: float = 0.12
     seed: int = 20261
 
+    @property
+    def longs(self) -> int:
+        return self.bands * self.rows // 16
+
     @property
     def least_matches(self) -> int:
         k = self.bands * self.rows
@@ -67,31 +75,39 @@ class Banding:
 
 
 class Sketcher:
-    """Bands and packed signature of one set of 32-bit shingle hashes."""
+    """Bands and packed signatures of many sets of 32-bit hashes, laid end to end."""
 
     def __init__(self, p: Banding):
         rng = np.random.default_rng(p.seed)
         k = p.bands * p.rows
         self.p, self.k = p, k
-        self.a = (rng.integers(0, 1 << 32, k, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
-        self.b = rng.integers(0, 1 << 32, k, dtype=np.uint64).astype(np.uint32)[:, None]
+        self.a = rng.integers(0, 1 << 32, k, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+        self.b = rng.integers(0, 1 << 32, k, dtype=np.uint64).astype(np.uint32)
         self.mix = rng.integers(0, 1 << 63, (p.bands, p.rows), dtype=np.uint64) | np.uint64(1)
         self.salt = rng.integers(0, 1 << 63, p.bands, dtype=np.uint64)
-        self.shift = (np.arange(16, dtype=np.uint64) * np.uint64(BITS))[None, :]
-
-    def minima(self, hashes: np.ndarray) -> np.ndarray:
-        least = None
-        for at in range(0, len(hashes), 4096):  # bounded memory for very long texts
-            m = self.a * hashes[None, at : at + 4096]
-            m += self.b
-            m = m.min(axis=1)
-            least = m if least is None else np.minimum(least, m)
-        return finish32(least)
-
-    def __call__(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        m = self.minima(hashes).astype(np.uint64)
-        keys = finish64((m.reshape(self.mix.shape) * self.mix).sum(axis=1) + self.salt)
-        sig = ((m & np.uint64((1 << BITS) - 1)).reshape(-1, 16) << self.shift).sum(axis=1)
+        self.shift = np.arange(16, dtype=np.uint64) * np.uint64(BITS)
+
+    def minima(self, hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        starts = np.cumsum(sizes) - sizes
+        out = np.empty((self.k, len(sizes)), np.uint32)
+        chunk = starts >> 15  # chunks that stay in a core's cache, but for longer sets
+        edges = [0, *(np.flatnonzero(chunk[1:] != chunk[:-1]) + 1), len(sizes)]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            h, at = hashes[starts[lo] : starts[hi - 1] + sizes[hi - 1]], starts[lo:hi] - starts[lo]
+            held = np.empty_like(h)
+            for i in range(self.k):
+                np.multiply(h, self.a[i], out=held)
+                np.add(held, self.b[i], out=held)
+                out[i, lo:hi] = np.minimum.reduceat(held, at)
+        return finish32(out.T)
+
+    def __call__(self, hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bands and signatures, a row for each set; no set is empty."""
+        if not len(sizes):
+            return np.zeros((0, self.p.bands), np.int64), np.zeros((0, self.p.longs), np.int64)
+        m = self.minima(hashes, sizes).astype(np.uint64)
+        keys = finish64((m.reshape(-1, *self.mix.shape) * self.mix).sum(axis=2) + self.salt)
+        sig = ((m & np.uint64((1 << BITS) - 1)).reshape(len(m), -1, 16) << self.shift).sum(axis=2)
         return keys.view(np.int64), sig.view(np.int64)
 
 
@@ -109,6 +125,18 @@ def finish64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def as_long(x: int) -> int:
+    """The 64-bit number whose bits a signed long has."""
+    return x - (1 << 64) if x >> 63 else x
+
+
+def long_lists(which: np.ndarray, rows: np.ndarray) -> pa.ListArray:
+    """An Arrow list column: the rows of a matrix where ``which`` is true, else null."""
+    width = rows.shape[1]
+    ends = np.concatenate([[0], np.cumsum(which) * width]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.ravel()), mask=pa.array(~which))
+
+
 def matches(x: str, y: str, longs: int) -> Column:
     """Equal b-bit minima of two signatures, by bit counts of their differences."""
     unequal = F.lit(0)
@@ -129,7 +157,52 @@ def estimate(equal: int, minima: int) -> float:
 def close_enough(p: Banding, x: str, y: str) -> Column:
     """Whether sizes and signatures allow a link between rows x and y."""
     sizes = F.expr(f"100 * least({x}.n, {y}.n) >= {p.percent} * greatest({x}.n, {y}.n)")
-    return sizes & (matches(f"{x}.sig", f"{y}.sig", p.bands * p.rows // 16) >= p.least_matches)
+    return sizes & (matches(f"{x}.sig", f"{y}.sig", p.longs) >= p.least_matches)
+
+
+def nearness(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], p: Banding) -> np.ndarray:
+    """Equal b-bit minima of each row of x with each of y, -1 where sizes or signatures rule a link out; rows are (sizes, signatures)."""
+    (n, s), (m, t) = x, y
+    ones = np.uint64(0x1111111111111111)
+    equal = np.full((len(n), len(m)), 16 * p.longs, np.int16)
+    for i in range(p.longs):
+        d = s[:, i, None] ^ t[None, :, i]
+        d |= d >> np.uint64(1)
+        d |= d >> np.uint64(2)
+        equal -= np.bitwise_count(d & ones)
+    small, large = np.minimum(n[:, None], m[None, :]), np.maximum(n[:, None], m[None, :])
+    equal[(equal < p.least_matches) | (100 * small < p.percent * large)] = -1
+    return equal
+
+
+def forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a maximum spanning forest of a symmetric matrix; entries below 0 are no edges."""
+    size = len(near)
+    best, via = np.full(size, -1, near.dtype), np.zeros(size, np.int64)
+    out, a, b = np.ones(size, bool), [], []
+    for _ in range(size):
+        i = int(np.argmax(np.where(out, best, -2)))
+        if best[i] >= 0:
+            a.append(via[i])
+            b.append(i)
+        out[i] = False
+        better = near[i] > best
+        best[better], via[better] = near[i][better], i
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def pair_batch(a, b) -> pa.RecordBatch:
+    a, b = np.asarray(a, np.int64), np.asarray(b, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def signatures(column: pa.Array, p: Banding) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, p.longs)
+
+
+def in_groups(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Rows dealt by the columns ``by`` and sorted by them, for ``grouped``."""
+    return rows.repartition(*by).sortWithinPartitions(*by)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, sets: Callable[[str], set], percent: int) -> DataFrame:
@@ -139,115 +212,177 @@ def confirmed(pairs: DataFrame, texts: DataFrame, sets: Callable[[str], set], pe
 
     def check(batches):
         held: dict[int, set] = {}
-        for pdf in batches:
-            keep = []
-            for a, x, y in zip(pdf["a"], pdf["text_a"], pdf["text_b"], strict=True):
-                if a not in held:
+        for batch in slices(slices(batches, 2), 3):
+            a, b, keep = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            for x, s, t in zip(a, batch.column(2), batch.column(3), strict=True):
+                if x not in held:
                     if len(held) >= 64:
                         held.clear()
-                    held[a] = sets(x)
-                s, t = held[a], sets(y)
+                    held[x] = sets(s.as_py())
+                s, t = held[x], sets(t.as_py())
                 both = len(s & t)
                 keep.append(both > 0 and 100 * both >= percent * (len(s) + len(t) - both))
-            yield pdf.loc[keep, ["a", "b"]]
+            yield pair_batch([x for x, k in zip(a, keep, strict=True) if k], [x for x, k in zip(b, keep, strict=True) if k])
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInPandas(check, "a long, b long")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(check, PAIRS)
 
 
-def long_lists(arrays: list[np.ndarray | None]) -> pa.ListArray:
-    """An Arrow list column of 64-bit integers; None gives an empty list."""
-    sizes = np.fromiter((0 if a is None else len(a) for a in arrays), np.int32, len(arrays))
-    values = [a for a in arrays if a is not None]
-    ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(sizes, dtype=np.int32)])
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))
+def _wide_pairs(members: DataFrame, buckets: DataFrame, sigs: DataFrame, p: Banding) -> DataFrame:
+    """Of each wide bucket, or each block of ``LIMIT`` of its members and its smallest one, the spanning forest of near members."""
+    counts = members.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > LIMIT)
+    counts = counts.join(buckets, "key").select("key", F.ceil(F.col("members") / LIMIT).cast("int").alias("blocks"), "low")
+    counts = small_side(counts)
+    dealt = members.join(counts.drop("low"), "key", "left").select("key", F.when(F.col("blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), "blocks")).cast("int").alias("block"), "node")
+    heads = counts.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("low").alias("node"))
+    rows = dealt.unionByName(heads).join(sigs, "node").select("key", "block", "node", "n", "sig")
 
+    def span(batches):
+        for g in grouped(batches, 2):
+            node, own = g.column(2).to_numpy(), (g.column(3).to_numpy().astype(np.int64), signatures(g.column(4), p))
+            yield pair_batch(*(node[i] for i in forest(nearness(own, own, p))))
 
-def _met_in_blocks(placed: DataFrame, near: DataFrame, texts_for: Callable[[DataFrame], DataFrame], hashes: Callable[[str], np.ndarray], p: Banding, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b), one the likest, for each row of ``near`` and other component of its bucket that it links with on hashed sets.
+    return in_groups(rows, ["key", "block"]).mapInArrow(span, PAIRS).where("a < b").distinct()
 
-    The rows of a bucket are dealt into blocks of about ``BLOCK_ROWS``; blocks of
-    ``near`` meet blocks of all members, so a bucket of any size is spread over
-    tasks, and only links leave them.
-    """
-    members = placed.join(small_side(near.select("key").distinct()), "key", "left_semi").select("key", "node", "component", "members")
-    texts = texts_for(members.select("node").distinct())
 
-    def hashed(batches):
-        for pdf in batches:
-            pdf["set"] = [hashes(x).tobytes() for x in pdf.pop("text")]
-            yield pdf
+def _open_rows(placed: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components, with the bucket's largest one, its members and those outside the largest."""
+    counts = placed.groupBy("key", "component").agg(F.count("*").alias("rows"))
+    several = counts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("rows").alias("members"), F.max(F.struct("rows", "component")).alias("most"))
+    several = several.where("parts > 1").select("key", F.col("most.component").alias("largest"), "members", (F.col("members") - F.col("most.rows")).alias("minors"))
+    return placed.join(small_side(several), "key")
+
 
-    found = scratch.save(texts.mapInPandas(hashed, "node long, set binary"), "sets")
-    rows = members.join(found, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK_ROWS)))
-    pack = lambda df, name: df.groupBy("key", "block").agg(F.collect_list(F.struct("node", "component", "set")).alias(name)).drop("block")
-    left, right = pack(rows.join(near, ["key", "node"], "left_semi"), "x"), pack(rows, "y")
-    percent = p.percent - 1  # a little below, for chance collisions; links are confirmed on the texts
+def _banded_anew(rows: DataFrame, p: Banding) -> DataFrame:
+    """Rows (key, node, component, n, sig) with a key for each band of ``FRESH`` b-bit minima, chosen anew for each old key."""
+    minima = 16 * p.longs
+    bands = minima // FRESH
+    steps = np.array([s for s in range(1, minima) if np.gcd(s, minima) == 1])
 
-    def meet(batches):
+    def band(batches):
         for batch in batches:
-            out: dict[tuple, tuple] = {}
-            for xs, ys in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                own = [np.frombuffer(y["set"], np.uint64) for y in ys]
-                sizes = np.array([len(o) for o in own])
-                values, at = np.unique(np.concatenate(own), return_inverse=True)
-                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                parts = np.array([y["component"] for y in ys])
-                for x in xs:
-                    mine = np.frombuffer(x["set"], np.uint64)
-                    place = np.minimum(np.searchsorted(values, mine), len(values) - 1)
-                    has = np.zeros(len(values), np.int64)
-                    has[place[values[place] == mine]] = 1
-                    both = np.add.reduceat(has[at], starts)
-                    for i in np.flatnonzero((parts != x["component"]) & (100 * both >= percent * (len(mine) + sizes - both))):
-                        at_pair, like = (x["node"], int(parts[i])), both[i] / (len(mine) + sizes[i] - both[i])
-                        out[at_pair] = max(out.get(at_pair, (-1.0, 0)), (like, ys[i]["node"]))
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.int64()), pa.array([y for _, y in out.values()], pa.int64())], ["a", "b"])
-
-    return left.join(right, "key").select("key", "x", "y").mapInArrow(meet, "a long, b long")
-
-
-def links(sketches: DataFrame, texts_for: Callable[[DataFrame], DataFrame], sets: Callable[[str], set], hashes: Callable[[str], np.ndarray], p: Banding, scratch: Scratch) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs of similarity >= percent that share a band.
-
-    ``sketches``: node long, n int, bands array<long>, sig array<long>, a row for
-    each distinct set. ``texts_for`` gives (node, text) for a table of nodes;
-    ``sets`` and ``hashes`` a text's set and its distinct 64-bit hashes, sorted.
+            if not batch.num_rows:
+                continue
+            key = finish64(batch.column(0).to_numpy().view(np.uint64))
+            sig = signatures(batch.column(4), p)
+            nibbles = ((sig[:, :, None] >> (np.arange(16, dtype=np.uint64) * np.uint64(BITS))) & np.uint64(15)).reshape(len(sig), -1)
+            first, step = (key % np.uint64(minima)).astype(np.int64), steps[((key >> np.uint64(20)) % np.uint64(len(steps))).astype(np.int64)]
+            at = (first[:, None] + step[:, None] * np.arange(bands * FRESH)) % minima
+            packed = (np.take_along_axis(nibbles, at, axis=1).reshape(len(sig), bands, FRESH) << (np.arange(FRESH, dtype=np.uint64) * np.uint64(BITS))).sum(axis=2)
+            new = finish64(packed + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + key[:, None])
+            rows = batch.take(pa.array(np.repeat(np.arange(len(sig)), bands)))
+            yield pa.RecordBatch.from_arrays([pa.array(new.ravel().view(np.int64)), *rows.columns[1:]], ["key", "node", "component", "n", "sig"])
+
+    return rows.select("key", "node", "component", "n", "sig").mapInArrow(band, "key long, node long, component long, n int, sig array<long>")
+
+
+def _across(members: DataFrame, parts: DataFrame, sigs: DataFrame, texts_for: Callable[[DataFrame], DataFrame], hashes: Callable[[str], np.ndarray], p: Banding, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) that join different parts of a bucket: of the links on hashed sets, a maximum spanning forest over the parts."""
+    placed = members.join(small_side(parts), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    rows = scratch.save(_open_rows(placed).join(sigs, "node").select("key", "node", "component", "n", "sig", "largest", "members", "minors"), "open")
+    crowded = rows.where(F.col("minors") > LIMIT)
+    if not crowded.isEmpty():
+        again = scratch.save(_banded_anew(crowded, p), "anew")
+        rows = rows.where(F.col("minors") <= LIMIT).unionByName(_open_rows(again).select(rows.columns))
+    block = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
+    rows = rows.select("key", "node", "component", "n", "sig", (F.col("component") != F.col("largest")).alias("minor"), *(F.ceil(F.col(c) / LIMIT).cast("int").alias(c) for c in ("members", "minors")))
+    every = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("minors") - 1))).withColumn("y", block("members", 1)).withColumn("side", F.lit(0))
+    minor = rows.where("minor").withColumn("x", block("minors", 2)).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("members") - 1))).withColumn("side", F.lit(1))
+    met = every.unionByName(minor).select("key", "x", "y", "side", "node", "component", "n", "sig")
+
+    def near(batches):
+        for g in grouped(batches, 3):
+            side, part = g.column(3).to_numpy(), g.column(5).to_numpy()
+            n, sig = g.column(6).to_numpy().astype(np.int64), signatures(g.column(7), p)
+            x, y = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
+            hit = nearness((n[x], sig[x]), (n[y], sig[y]), p) >= 0
+            hit &= part[x][:, None] != part[y][None, :]
+            chosen = np.concatenate([x[hit.any(axis=1)], y[hit.any(axis=0)]])
+            if len(chosen):
+                yield g.take(pa.array(chosen)).select(["key", "x", "y", "side", "node", "component"])
+
+    found = scratch.save(in_groups(met, ["key", "x", "y"]).mapInArrow(near, "key long, x int, y int, side int, node long, component long"), "near")
+
+    def hashed(batches):
+        for batch in slices(batches, 1):
+            own = [hashes(t).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["node", "set"])
+
+    own = scratch.save(texts_for(found.select("node").distinct()).mapInArrow(hashed, "node long, set binary"), "sets")
+    rows = found.join(own, "node").select("key", "x", "y", "side", "node", "component", "set")
+
+    def link(batches):
+        for g in grouped(batches, 3):
+            yield pair_batch(*linked_parts(g.column(3).to_numpy(), g.column(4).to_numpy(), g.column(5).to_numpy(), [np.frombuffer(s.as_buffer(), np.uint32) for s in g.column(6)], p.percent))
+
+    pairs = in_groups(rows, ["key", "x", "y"]).mapInArrow(link, PAIRS).where("a < b").distinct()
+    return scratch.save(pairs, "pairs-2")
+
+
+def linked_parts(side: np.ndarray, node: np.ndarray, part: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[list[int], list[int]]:
+    """Of the pairs of side 1 with side 0 of different parts and 100 * intersection >= percent * union, a maximum spanning forest over the parts."""
+    sizes = np.array([len(s) for s in sets])
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    found: list[tuple] = []
+    for i in np.flatnonzero(side == 1):
+        has = np.zeros(len(values), np.int64)
+        has[at[starts[i] : starts[i] + sizes[i]]] = 1
+        both = np.add.reduceat(has[at], starts)
+        union = sizes[i] + sizes - both
+        for j in np.flatnonzero((part != part[i]) & (side == 0) & (100 * both >= percent * union)):
+            found.append((-both[j] / union[j], int(node[i]), int(node[j]), int(part[i]), int(part[j])))
+    parent: dict[int, int] = {}
+
+    def root(i: int) -> int:
+        while parent.setdefault(i, i) != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    a, b = [], []
+    for _, x, y, p, q in sorted(found):
+        if (p := root(p)) != (q := root(q)):
+            parent[p] = q
+            a.append(x)
+            b.append(y)
+    return a, b
+
+
+def near_components(sketches: DataFrame, texts_for: Callable[[DataFrame], DataFrame], sets: Callable[[str], set], hashes: Callable[[str], np.ndarray], p: Banding, scratch: Scratch) -> DataFrame:
+    """Components over all pairs of similarity >= percent that share a band: (node, component) of nodes that are not their component's smallest.
+
+    ``sketches``: node long, n int, bands array<long>, sig array<long>; rows that
+    repeat a node, or have no bands, are allowed. ``texts_for`` gives (node, text)
+    for a table of nodes, repeats allowed; ``sets`` and ``hashes`` a text's set
+    and its distinct 32-bit hashes.
     """
-    keys = sketches.where(F.col("n") >= p.least_size).select("node", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("members")).where("members > 1").select("key", "first")
+    keys = sketches.where("bands is not null").select("node", F.explode("bands").alias("key"))
+    buckets = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.bit_or("node").alias("bits")).where("low < high")
     buckets = scratch.save(buckets, "buckets")
-    shared = keys.join(small_side(buckets), "key")
-    shared = scratch.save(shared.join(sketches.select("node", "n", "sig"), "node"), "shared")
-    heads = shared.where("node = first").select("key", "node", "n", "sig").alias("h")
-    rest = shared.where("node <> first").alias("r")
-    pairs = rest.join(heads, F.expr("r.key = h.key") & close_enough(p, "r", "h")).select(F.col("h.node").alias("a"), F.col("r.node").alias("b")).distinct()
-    pairs = scratch.save(pairs, "pairs-1")
-
-    def texts_of(pairs: DataFrame, name: str) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        return scratch.save(texts_for(ids), name)
-
-    found = scratch.save(confirmed(pairs, texts_of(pairs, "texts-1"), sets, p.percent), "links-1")
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    for k in range(2, STARS + 3):
-        part = connected_components(found, scratch, f"part-{k}")
-        placed = shared.join(small_side(part), "node", "left").select("key", "node", "n", "sig", F.coalesce("component", "node").alias("component"))
-        counts = placed.groupBy("key", "component").agg(F.count("*").alias("rows"))
-        open_keys = counts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("rows").alias("members"), F.max_by("component", F.struct("rows", "component")).alias("largest")).where("parts > 1")
-        placed = scratch.save(placed.join(small_side(open_keys.select("key", "largest", "members")), "key"), f"open-{k}")
-        minor = placed.where("component <> largest").alias("x")
-        if k == STARS + 2:
-            near = minor.join(placed.alias("y"), F.expr("x.key = y.key and x.component <> y.component") & close_enough(p, "x", "y"), "left_semi")
-            near = scratch.save(near.select("key", "node"), "near")
-            more = _met_in_blocks(placed, near, texts_for, hashes, p, scratch)
-        else:
-            heads = placed.where("component = largest").groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key", F.lit(k))).alias("node"))
-            others = placed.join(heads, ["key", "node"], "left_semi").alias("y")
-            more = minor.join(others, F.expr("x.key = y.key") & close_enough(p, "x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = scratch.save(more.join(tried, ["a", "b"], "left_anti"), f"pairs-{k}")
-        new = scratch.save(confirmed(more, texts_of(more, f"texts-{k}"), sets, p.percent), f"links-{k}")
-        tried, found = tried.unionByName(more), found.unionByName(new)
-        scratch.drop(f"texts-{k}", f"open-{k}")
-    scratch.drop("shared", "texts-1", "buckets")
-    return found
+    two = F.col("bits") == F.col("low").bitwiseOR(F.col("high"))  # a third random node adds a bit, but for odds of (3/4)^64
+    pairs = scratch.save(buckets.where(two).select(F.col("low").alias("a"), F.col("high").alias("b")).distinct(), "twos")
+    members = scratch.save(keys.join(small_side(buckets.where(~two).select("key")), "key").distinct(), "members")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.select("node")).distinct()
+    sigs = sketches.where("bands is not null").select("node", "n", "sig").join(small_side(nodes), "node", "left_semi")
+    sigs = scratch.save(sigs.dropDuplicates(["node"]), "sigs")
+    x, y = (sigs.select(F.struct(F.col("node").alias(c), "n", "sig").alias(f"s{c}")) for c in "ab")
+    close = pairs.join(x, F.col("a") == F.col("sa.a")).join(y, F.col("b") == F.col("sb.b")).where(close_enough(p, "sa", "sb")).select("a", "b")
+    pairs = scratch.save(close.union(_wide_pairs(members, buckets, sigs, p)).distinct(), "pairs-1")
+
+    def links(pairs: DataFrame, name: str) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        texts = scratch.save(texts_for(ends), f"texts-{name}")
+        found = scratch.save(confirmed(pairs, texts, sets, p.percent), f"links-{name}")
+        scratch.drop(f"texts-{name}")
+        return found
+
+    first = connected_components(links(pairs, "1"), scratch, "parts-1")
+    more = links(_across(members, first, sigs, texts_for, hashes, p, scratch), "2")
+    named = small_side(first)
+    for end in ("a", "b"):  # what is left joins components of the first partition
+        more = more.join(named.select(F.col("node").alias(end), F.col("component").alias(f"{end}_part")), end, "left")
+    second = connected_components(more.select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b")), scratch, "parts-2")
+    joined = first.join(second.withColumnRenamed("node", "part").withColumnRenamed("component", "whole"), F.col("component") == F.col("part"), "left")
+    out = joined.select("node", F.coalesce("whole", "component").alias("component")).unionByName(second.join(first, "node", "left_anti"))
+    scratch.drop("buckets", "twos", "members", "sigs", "open", "anew", "near", "sets")
+    return scratch.save(out, "components")

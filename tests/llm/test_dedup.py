@@ -47,10 +47,9 @@ def components_of(sets, percent):
     return {i: find(i) for i in sets}
 
 
-@pytest.mark.parametrize("stars", [0, 2])
-def test_components_match_brute_force(spark, monkeypatch, stars):
-    monkeypatch.setattr(nearness, "STARS", stars)  # 0: all that the first round leaves goes through blocks
-    monkeypatch.setattr(nearness, "BLOCK_ROWS", 8)
+@pytest.mark.parametrize("limit", [8, 1024])
+def test_components_match_brute_force(spark, monkeypatch, limit):
+    monkeypatch.setattr(nearness, "LIMIT", limit)  # 8: buckets are dealt into blocks and banded anew
     rng = np.random.default_rng(5)
     base = words(rng, 120)
     texts = [(i, " ".join(mutated(rng, base, int(k)))) for i, k in enumerate(rng.integers(0, 14, 60))]
@@ -85,7 +84,7 @@ def test_estimates_follow_similarity():
         both = int(round(2 * n * s / (1 + s)))
         common = rng.integers(0, 1 << 32, both, dtype=np.uint64).astype(np.uint32)
         a, b = (np.concatenate([common, rng.integers(0, 1 << 32, n - both, dtype=np.uint64).astype(np.uint32)]) for _ in range(2))
-        x, y = (make(h)[1].view(np.uint64) for h in (a, b))
+        x, y = make(np.concatenate([a, b]), np.array([len(a), len(b)]))[1].view(np.uint64)
         nibbles = lambda v: (v[:, None] >> (np.arange(16, dtype=np.uint64) * np.uint64(4)) & np.uint64(15)).ravel()
         assert estimate(int((nibbles(x) == nibbles(y)).sum()), 160) == pytest.approx(s, abs=0.12)
 
@@ -106,29 +105,33 @@ def test_lines_match_brute_force(spark):
         own = [" ".join(words(rng, int(rng.integers(1, 20)))) for _ in range(3)]
         own.insert(1, base[:-1] + str(i % 7) if i % 2 else base.upper())
         texts.append((i, "\n".join([*own, "", "  "])))
-    texts += [(50, None), (51, ""), (52, "\n\n"), (None, base)]
+    alone = " ".join(words(rng, 12))
+    texts += [(50, None), (51, ""), (52, "\n\n"), (None, base), (None, alone), (3, f"{alone}\n{base}"), (3, None), (60, "ab\nab\nxy")]
     df = table(spark, texts)
+    rank = {t: k for k, t in enumerate(sorted({(i is None, i or 0) for i, _ in texts}))}
+    order = lambda i, k: (rank[(i is None, i or 0)], k)
     distinct, first = {}, {}
     for i, t in texts:
         for k, line in enumerate((t or "").split("\n")):
-            if i is not None and (line := lines.normal(line)):
+            if line := lines.normal(line):
                 distinct.setdefault(line, lines.shingles(line, 5))
-                first[line] = min(first.get(line, (i, k)), (i, k))
+                first[line] = min(first.get(line, (99, 0, i)), (*order(i, k), i))
     names = dict(enumerate(distinct))
     parts = components_of({n: distinct[line] for n, line in names.items()}, 80)
     best = {}
     for n, line in names.items():
-        best[parts[n]] = min(best.get(parts[n], (99, 0)), first[line])
+        best[parts[n]] = min(best.get(parts[n], (99, 0, 0)), first[line])
     where = {line: best[parts[n]] for n, line in names.items()}
-    text = dict(texts)
+    want = [(i, k, where[n][2], where[n][1]) for i, t in texts for k, line in enumerate((t or "").split("\n")) if (n := lines.normal(line))]
     rows = lines.line_classes(df).collect()
-    assert len(rows) == sum(bool(lines.normal(x)) for i, t in texts if i is not None for x in (t or "").split("\n"))
-    for r in rows:
-        want = where[lines.normal(text[r.doc_id].split("\n")[r.line])]
-        assert (r.class_doc_id, r.class_line) == want and r.kept == ((r.doc_id, r.line) == want)
-    cleaned = {r.doc_id: r.text for r in lines.dedup_lines(df).collect()}
-    assert cleaned[50] is None and cleaned[52] == "\n\n" and cleaned[None] == base
-    assert cleaned[0] == text[0] and len(cleaned[2].split("\n")) == len(text[2].split("\n")) - 1
+    assert sorted(((r.doc_id, r.line, r.class_doc_id, r.class_line) for r in rows), key=str) == sorted(want, key=str)
+    assert sum(r.kept for r in rows) == len(best)
+    cleaned = lines.dedup_lines(df.withColumnRenamed("component", "row_key").withColumnRenamed("n", "gone")).collect()
+    assert sorted(str((r.doc_id, r.text)) for r in cleaned if r.doc_id in (50, 52, None, 3, 60) and r.text != texts[3][1]) == sorted(
+        str(x) for x in [(50, None), (52, "\n\n"), (None, ""), (None, ""), (3, alone), (3, None), (60, "ab\nxy")] + [(3, r.text) for r in cleaned if r.doc_id == 3 and r.text and r.text != alone]
+    )
+    by_id = {r.doc_id: r.text for r in cleaned}
+    assert by_id[0] == texts[0][1] and len(by_id[2].split("\n")) == len(texts[2][1].split("\n")) - 1
     assert lines.line_classes(df.limit(0)).count() == 0 and lines.dedup_lines(df).columns == df.columns
 
 
