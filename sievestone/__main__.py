@@ -48,10 +48,10 @@ def main(argv: list[str] | None = None) -> int:
         print(f"score {score}, least {args.least}")
         return int(score < args.least)
     else:
-        clean = duplicates.first_of_each(table, args.key, found.data.features)
+        kept = duplicates.first_of_each(table, args.key, found.data.features)
         if "outliers" in found.issues:
-            clean = repairs.without(clean, args.key, found.issues["outliers"].withColumnRenamed(args.key, "key"))
-        write_any(clean, args.to)
+            kept = repairs.without(kept, args.key, found.issues["outliers"].withColumnRenamed(args.key, "key"))
+        write_any(kept, args.to)
     return 0
 
 

@@ -32,8 +32,9 @@ def bands(value: Column, steps: list[tuple[float, object]], otherwise: object, s
 
 
 def row_text(columns: list[str]) -> Column:
-    """The row as text: values joined by a pipe, nulls as nan."""
-    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in columns])
+    """The row as text that tells all rows apart: each value after its length, nulls as a lone sign."""
+    one = lambda c: F.coalesce(F.concat(F.length(c), F.lit(":"), c), F.lit("-"))
+    return F.concat_ws("|", *[one(F.col(c).cast("string")) for c in columns])
 
 
 def row_hash(columns: list[str]) -> Column:

@@ -8,10 +8,6 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 
-def erfc(x: float) -> float:
-    return math.erfc(x)
-
-
 def gamma_q(a: float, x: float) -> float:
     """Upper regularised incomplete gamma function, by series or continued fraction."""
     if x <= 0:

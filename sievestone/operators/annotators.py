@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ratio
+from ..functions.ranges import ranked
 
 
 def multi_rated(a: DataFrame, sample: str = "sample_id", label: str = "label") -> DataFrame:
@@ -100,8 +101,8 @@ def category_skill(a: DataFrame, labeler: str = "labeler_id", category: str = "c
 
 def half_trend(a: DataFrame, labeler: str = "labeler_id", order: str = "ts", label: str = "label", truth: str = "ground_truth") -> DataFrame:
     """labeler, early, late, trend: accuracy of the first and second half of a labeler's work."""
-    w = Window.partitionBy(labeler)
-    rows = a.select(labeler, (F.row_number().over(w.orderBy(order)) * 2 <= F.count("*").over(w)).alias("first"), (F.col(label) == F.col(truth)).cast("int").alias("ok"))
+    rows = ranked(a.select(labeler, order, (F.col(label) == F.col(truth)).cast("int").alias("ok")), [labeler], order, "place")
+    rows = rows.join(a.groupBy(labeler).agg(F.count("*").alias("all")), labeler).select(labeler, (F.col("place") * 2 <= F.col("all")).alias("first"), "ok")
     g = rows.groupBy(labeler).agg(F.avg(F.when(F.col("first"), F.col("ok"))).alias("early"), F.avg(F.when(~F.col("first"), F.col("ok"))).alias("late"))
     change = F.col("late") - F.col("early")
     return g.withColumn("trend", F.when(change > 0.05, "improving").when(change < -0.05, "declining").otherwise("stable"))
@@ -116,8 +117,8 @@ def route(tasks: DataFrame, metrics: DataFrame, skill: DataFrame, task: str = "t
     able = metrics.where(F.col("accuracy") >= least_accuracy)
     s = kinds.crossJoin(F.broadcast(able)).join(skill.select(labeler, category, F.col("accuracy").alias("own")), [labeler, category], "left")
     score = 0.4 * F.col("accuracy") + 0.2 * F.col("consistency") + 0.1 + F.coalesce(0.3 * F.col("own"), F.lit(0.15))
-    ranked = s.select(category, labeler, score.alias("score")).withColumn("rank", F.row_number().over(Window.partitionBy(category).orderBy(F.desc("score"), labeler))).where(F.col("rank") <= top)
-    return tasks.join(F.broadcast(ranked), category).select(task, labeler, "score", "rank")
+    best = s.select(category, labeler, score.alias("score")).withColumn("rank", F.row_number().over(Window.partitionBy(category).orderBy(F.desc("score"), labeler))).where(F.col("rank") <= top)
+    return tasks.join(F.broadcast(best), category).select(task, labeler, "score", "rank")
 
 
 def review_queue(a: DataFrame, most: int = 100, sample: str = "sample_id", label: str = "label") -> DataFrame:
@@ -125,9 +126,5 @@ def review_queue(a: DataFrame, most: int = 100, sample: str = "sample_id", label
     return problematic_samples(a, sample, label, 1.01).orderBy("agreement_ratio", sample).limit(most)
 
 
-def agreement_flag(score: Column) -> Column:
-    return F.when(score >= 0.8, "good").when(score >= 0.6, "fair").otherwise("poor")
-
-
 def accuracy(a: DataFrame, annotator: str = "annotator_id", label: str = "label", truth: str = "ground_truth") -> DataFrame:
     return a.groupBy(annotator).agg(ratio(F.count_if(F.col(label) == F.col(truth)), F.count(truth)).alias("accuracy"))

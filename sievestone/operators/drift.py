@@ -86,6 +86,24 @@ def categorical_drift(reference: DataFrame, current: DataFrame, column: str, thr
     return one.select(F.lit(column).alias("feature"), "chi2", "p_value", (F.col("chi2") / 1000).alias("score"), ((F.col("p_value") < alpha) | (F.col("chi2") / 1000 > threshold)).alias("has_drift"))
 
 
+def monitor(reference: DataFrame, batches: DataFrame, batch: str, categories: list[str], alert_at: float = 0.1, floor: float = 1e-4) -> DataFrame:
+    """batch, feature, psi, severity, alert of every appended batch against the reference, in one pass over all batches.
+
+    Categories of either side count; null ones are left out. A batch without
+    values of a feature has no row for it.
+    """
+    out = []
+    for c in categories:
+        p = reference.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("value")).agg(F.count("*").alias("a"))
+        q = batches.where(F.col(c).isNotNull()).groupBy(F.col(batch).alias("batch"), F.col(c).alias("value")).agg(F.count("*").alias("b"))
+        every = q.select("batch").distinct().crossJoin(p.select("value").union(q.select("value")).distinct())  # batches times categories, both few
+        full = every.join(p, "value", "left").join(q, ["batch", "value"], "left").na.fill(0, ["a", "b"])
+        total = full.groupBy("batch").agg(F.sum("a").alias("n"), F.sum("b").alias("m"))
+        x, y = F.greatest(F.col("a") / F.greatest("n", F.lit(1)), F.lit(floor)), F.greatest(F.col("b") / F.greatest("m", F.lit(1)), F.lit(floor))
+        out.append(full.join(total, "batch").groupBy("batch").agg(F.sum((y - x) * F.ln(y / x)).alias("psi")).select("batch", F.lit(c).alias("feature"), "psi"))
+    return reduce(DataFrame.unionByName, out).withColumns({"severity": severity(F.col("psi")), "alert": F.col("psi") >= alert_at})
+
+
 def severity(score):
     return F.when(score < 0.05, "none").when(score < 0.1, "low").when(score < 0.2, "medium").when(score < 0.5, "high").otherwise("critical")
 

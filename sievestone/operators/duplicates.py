@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import cosine, dot, row_hash, zero_filled
+from ..functions.exprs import cosine, dot, row_hash, row_text, zero_filled
 
 
 def hashed(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -21,14 +19,14 @@ def exact_groups(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 
 def exact_pairs(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """key1 < key2 of all pairs of equal rows, for groups known to be small; a group of k rows has k (k - 1) / 2.
+    """key1 < key2 that stand for all pairs of equal rows: each row of a group of ``members`` with the group's least key.
 
-    Groups of many rows are better told by ``exact_groups`` or ``pointers``.
+    Any two rows with one key1, and key1 itself, are a pair; a group of k rows
+    takes k - 1 rows, not k (k - 1) / 2.
     """
     rows = hashed(df, key, columns)
-    some = rows.join(exact_groups(df, key, columns).select("hash"), "hash", "left_semi")
-    a, b = some.alias("a"), some.alias("b")
-    return a.join(b, F.expr(f"a.hash = b.hash and a.{key} < b.{key}")).select(F.col(f"a.{key}").alias("key1"), F.col(f"b.{key}").alias("key2"), F.lit(1.0).alias("similarity"), F.lit(True).alias("is_exact"))
+    pairs = rows.join(exact_groups(df, key, columns), "hash").where(F.col(key) > F.col("first_key"))
+    return pairs.select(F.col("first_key").alias("key1"), F.col(key).alias("key2"), "members", F.lit(1.0).alias("similarity"), F.lit(True).alias("is_exact"))
 
 
 def pointers(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -46,10 +44,11 @@ def flag_repeats(df: DataFrame, key: str, columns: list[str], out: str = "is_dup
 
 
 def cross_pairs(train: DataFrame, test: DataFrame, train_key: str, test_key: str, columns: list[str]) -> DataFrame:
-    """Equal rows of two tables: train_key, test_key, severity."""
-    a = train.select(F.col(train_key).alias("train_key"), F.sha2(F.to_json(F.struct(*columns)), 256).alias("hash"))
-    b = test.select(F.col(test_key).alias("test_key"), F.sha2(F.to_json(F.struct(*columns)), 256).alias("hash"))
-    return a.join(b, "hash").select("train_key", "test_key", F.lit("critical").alias("severity"))
+    """Rows of one table with an equal one in another: train_key, test_key (the least of several), test_rows, severity."""
+    a = train.select(F.col(train_key).alias("train_key"), F.sha2(row_text(columns), 256).alias("hash"))
+    b = test.select(F.col(test_key).alias("test_key"), F.sha2(row_text(columns), 256).alias("hash"))
+    b = b.groupBy("hash").agg(F.min("test_key").alias("test_key"), F.count("*").alias("test_rows"))
+    return a.join(b, "hash").select("train_key", "test_key", "test_rows", F.lit("critical").alias("severity"))
 
 
 def duplicate_rate(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -122,23 +121,6 @@ def components(pairs: DataFrame, folder: str, most: int = 60) -> DataFrame:
     raise RuntimeError(f"groups did not settle in {most} rounds")
 
 
-def top_neighbours(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, metric: str = "cosine", blocks: int = 64) -> DataFrame:
-    """query, key, similarity, rank: each query's k most similar other vectors, by brute force.
-
-    The work is queries times vectors, as for any exact search: use it for a
-    stated set of queries. Query rows are packed into ``blocks`` arrays so that
-    a row of vectors is compared with a whole block, and every task keeps k a
-    query before anything is shuffled.
-    """
-    from .vectors import top_k
-
-    return top_k(queries, vectors, key, vector, k, metric, blocks)
-
-
-def or_all(tests: list[Column]) -> Column:
-    return reduce(Column.__or__, tests, F.lit(False))
-
-
 def similarity_of(pairs: DataFrame, vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """Pairs with the cosine of their vectors."""
     a = vectors.select(F.col(key).alias("key1"), F.col(vector).alias("v1"))

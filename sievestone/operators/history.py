@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ratio
+from ..functions.ranges import lagged_steps, ranked
 
 # Snapshot tables have a row a run or a version: windows over all of one are small. Windows over rows have partitions.
 
@@ -31,30 +32,49 @@ def changes(snapshots: DataFrame, order: str, metrics: list[str]) -> DataFrame:
 
 
 def rolling(df: DataFrame, partition: list[str], order: str, flags: list[str], size: int = 1000) -> DataFrame:
-    """The mean of each flag over a row and the rows before it, ``size`` in all, within partitions."""
-    w = Window.partitionBy(*partition).orderBy(order).rowsBetween(1 - size, 0)
-    return df.select(*partition, order, *[F.avg(F.col(f).cast("double")).over(w).alias(f"{f}_rate") for f in flags])
+    """The mean of each flag over a row and the rows before it, ``size`` in all, within partitions.
+
+    Running sums up to a row, less those up to the row ``size`` before it; no
+    task holds a partition. Null flags count in neither sum nor number.
+    """
+    number = lambda f: F.col(f).cast("double")
+    sums = {f"{f}_sum": number(f) for f in flags} | {f"{f}_n": number(f).isNotNull().cast("long") for f in flags}
+    rows = ranked(df.select(*partition, order, *flags), partition, order, "rank", sums)
+    before = rows.select(*[F.col(c).alias(f"{c}_b") for c in partition], (F.col("rank") + size).alias("rank_b"), *[F.col(c).alias(f"{c}_b") for c in sums])
+    joined = rows.join(before, reduce(Column.__and__, [rows[c].eqNullSafe(before[f"{c}_b"]) for c in partition], rows["rank"] == before["rank_b"]), "left")
+    less = lambda c: F.col(c) - F.coalesce(F.col(f"{c}_b"), F.lit(0))
+    return joined.select(*partition, order, *[(less(f"{f}_sum") / F.when(less(f"{f}_n") > 0, less(f"{f}_n"))).alias(f"{f}_rate") for f in flags])
 
 
 def steps(df: DataFrame, column: str, order: str, partition: list[str] = ()) -> DataFrame:
     """Whether a column rises by one constant step in the order, and the step."""
-    w = Window.partitionBy(*partition).orderBy(order) if partition else Window.orderBy(order)
-    d = df.select(*partition, (F.col(column) - F.lag(column).over(w)).alias("step")).where("step is not null")
+    d = lagged_steps(df, list(partition), order, column)
     return (d.groupBy(*partition) if partition else d).agg((F.count_distinct("step") == 1).alias("sequential"), F.min("step").alias("step"))
 
 
 def leaderboard(df: DataFrame, name: str, score: str, top: int = 10) -> DataFrame:
-    """name, score, rank, percentile: the share of entries strictly below."""
-    w = Window.orderBy(F.desc(score), name)
-    ranked = df.select(name, score, F.row_number().over(w).alias("rank"), F.percent_rank().over(Window.orderBy(score)).alias("p"), F.count("*").over(Window.partitionBy()).alias("n"))
-    return ranked.select(name, score, "rank", (100 * F.col("p") * (F.col("n") - 1) / F.col("n")).alias("percentile")).where(F.col("rank") <= top)
+    """name, score, rank, percentile of the best ``top``: the share of entries strictly below; null scores count as entries, below none."""
+    best = df.select(name, score).orderBy(F.desc(score), name).limit(top).collect()
+    if not best:
+        return df.select(name, score, F.lit(0).alias("rank"), F.lit(0.0).alias("percentile")).limit(0)
+    below = [F.count_if(F.col(score) < F.lit(r[1])) if r[1] is not None else F.lit(0) for r in best]
+    rows = [F.struct(F.lit(r[0]).alias(name), F.lit(r[1]).cast(df.schema[score].dataType).alias(score), F.lit(i + 1).alias("rank"), (100 * b / F.count("*")).alias("percentile")) for i, (r, b) in enumerate(zip(best, below, strict=True))]
+    return df.agg(F.array(*rows).alias("all")).select(F.inline("all"))
 
 
 def percentiles(df: DataFrame, group: str, score: str) -> DataFrame:
-    """Per group of three scores or more: mean, median, deviation, p10 to p99."""
+    """Per group of three scores or more: mean, deviation, p10 to p99, by rank, so that no task holds a group; null scores are left out."""
     points = [0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
-    g = df.groupBy(group).agg(F.count("*").alias("n"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"), F.percentile(score, F.array(*map(F.lit, points))).alias("q")).where("n >= 3")
-    return g.select(group, "n", "mean", "std", *[F.col("q")[i].alias(f"p{int(p * 100)}") for i, p in enumerate(points)])
+    scored = df.select(group, F.col(score).cast("double").alias("score")).where("score is not null")
+    g = scored.groupBy(group).agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std")).where("n >= 3")
+    wanted = g.select(F.col(group).alias("group_key"), F.explode(F.array(*[F.struct(F.lit(p).alias("p"), (F.lit(p) * (F.col("n") - 1)).alias("at")) for p in points])).alias("w")).select("group_key", "w.p", "w.at")
+    rows = ranked(scored, [group], "score", "rank")
+    near = (F.col("rank") - 1 == F.floor("at")) | (F.col("rank") - 1 == F.ceil("at"))
+    met = rows.join(F.broadcast(wanted), rows[group].eqNullSafe(wanted["group_key"]) & near) if wanted.limit(10_001).count() <= 10_000 else rows.join(wanted, rows[group].eqNullSafe(wanted["group_key"]) & near)
+    low, high, share = F.min("score"), F.max("score"), F.max(F.col("at") - F.floor("at"))
+    q = met.groupBy("group_key").pivot("p", points).agg((low + (high - low) * share).alias("q"))
+    joined = g.join(q, g[group].eqNullSafe(q["group_key"]))
+    return joined.select(group, "n", "mean", "std", *[F.col(f"`{p}`").alias(f"p{int(p * 100)}") for p in points])
 
 
 def degradation(scores: DataFrame, order: str, score: str, first: int = 10, last: int = 10, threshold: float = 0.05) -> DataFrame:

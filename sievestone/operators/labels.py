@@ -107,6 +107,19 @@ def confident_errors(df: DataFrame, key: str, label: str, probs: str) -> DataFra
     return out.where("predicted is not null and predicted <> given")
 
 
+def errors_by_language(df: DataFrame, key: str, label: str, probs: str, lang: str, least: int = 10) -> DataFrame:
+    """key, lang, given, predicted, self_confidence: likely label errors, each language judged by its own classes' mean probabilities.
+
+    Languages of fewer than ``least`` rows are left out, and rows without one.
+    """
+    rows = df.where(F.col(lang).isNotNull()).select(key, F.col(lang).alias("lang"), F.col(label).cast("int").alias("given"), F.col(probs).alias("probs"))
+    means = rows.groupBy("lang", "given").agg(F.count("*").alias("n"), F.avg(F.element_at("probs", F.col("given") + 1)).alias("t"))
+    limits = means.groupBy("lang").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("given", "t"))).alias("limits")).where(F.col("n") >= least)
+    over = F.filter(F.transform("probs", lambda p, i: F.struct(p.alias("p"), (-i).alias("i"), (p >= F.element_at("limits", i)).alias("ok"))), lambda x: x["ok"])
+    out = rows.join(limits.drop("n"), "lang").select(key, "lang", "given", (-F.array_max(over)["i"]).cast("int").alias("predicted"), F.element_at("probs", F.col("given") + 1).alias("self_confidence"))
+    return out.where("predicted is not null and predicted <> given")
+
+
 def out_of_fold_probabilities(df: DataFrame, key: str, label: str, columns: list[str], folds: int = 5, rounds: int = 50) -> DataFrame:
     """key, label, probs: each row's class probabilities from a logistic regression that has not seen its fold.
 

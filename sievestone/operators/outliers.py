@@ -11,11 +11,11 @@ from ..functions.exprs import add_all, zero_filled
 from ..functions.quantiles import quantiles
 
 
-def column_stats(df: DataFrame, columns: list[str]) -> dict[str, dict[str, float]]:
-    """mean, std (population), q1, q3 of every column with nulls as 0: a few numbers a column, for use as literals."""
+def column_stats(df: DataFrame, columns: list[str], quartiles: bool = True) -> dict[str, dict[str, float]]:
+    """mean, std (population) and, if asked for, q1, q3 of every column with nulls as 0: a few numbers a column, for use as literals."""
     filled = df.select(*[zero_filled(c).alias(c) for c in columns])
     row = filled.agg(*[F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")).alias(c) for c in columns]).first()
-    q = quantiles(filled, columns, [0.25, 0.75])
+    q = quantiles(filled, columns, [0.25, 0.75]) if quartiles else dict.fromkeys(columns, (None, None))
     return {c: {"mean": row[c]["mean"], "std": row[c]["std"], "q1": q[c][0], "q3": q[c][1]} for c in columns if row[c]["mean"] is not None}
 
 
@@ -41,7 +41,7 @@ def _contributing(parts: list[tuple[str, Column]], least: float) -> Column:
 
 def zscore(df: DataFrame, key: str, columns: list[str], threshold: float = 3.0) -> DataFrame:
     """key, score, features of rows with |z| over the threshold in any column; score is the mean of those |z|."""
-    parts = z_sizes(column_stats(df, columns), columns)
+    parts = z_sizes(column_stats(df, columns, quartiles=False), columns)
     if not parts:
         return df.limit(0).select(key, F.lit(0.0).alias("score"), F.lit("").alias("features"))
     over = add_all([F.when(x > threshold, 1).otherwise(0) for _, x in parts])

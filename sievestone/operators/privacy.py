@@ -20,11 +20,16 @@ PII = {
 }
 
 
+def any_case(pattern: str) -> str:
+    """The pattern without regard to case, as all kinds are looked for."""
+    return f"(?i){pattern}"
+
+
 def scan(df: DataFrame, key: str, columns: list[str], least: float = 0.5, kinds: dict = PII) -> DataFrame:
     """key, column, pii_type, value, confidence: a row for each match of each pattern."""
 
     def matches(c: str, kind: str, pattern: str, confidence: float) -> Column:
-        values = F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(pattern), F.lit(0))
+        values = F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(any_case(pattern)), F.lit(0))
         return F.transform(values, lambda v: F.struct(F.lit(c).alias("column"), F.lit(kind).alias("pii_type"), v.alias("value"), F.lit(confidence).alias("confidence")))
 
     found = [matches(c, k, p, conf) for c in columns for k, (patterns, conf) in kinds.items() if conf >= least for p in patterns]
@@ -39,7 +44,7 @@ def columns_at_risk(found: DataFrame) -> DataFrame:
 
 def redact(c: Column, kinds: dict = PII) -> Column:
     """Matches replaced by [KIND_REDACTED], kind by kind."""
-    return reduce(lambda out, x: F.regexp_replace(out, x[0], f"[{x[1].upper()}_REDACTED]"), [(p, k) for k, (patterns, _) in kinds.items() for p in patterns], c)
+    return reduce(lambda out, x: F.regexp_replace(out, any_case(x[0]), f"[{x[1].upper()}_REDACTED]"), [(p, k) for k, (patterns, _) in kinds.items() for p in patterns], c)
 
 
 def mask(c: Column) -> Column:

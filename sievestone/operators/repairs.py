@@ -1,4 +1,4 @@
-"""Fix suggestions and their application, review queues, clean tables."""
+"""Fix suggestions and their application, review queues, tables without issues."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import numeric_columns
 from ..functions.quantiles import quantiles
 
 #: Least confidence of label, duplicate and outlier fixes by strategy.
@@ -96,3 +97,29 @@ def curation_plan(df: DataFrame, key: str, numbers: list[str], label: str | None
     if counts:
         parts.append(df.agg(F.array(*counts).alias("all")).select(F.inline("all")).where("rows > 0 and rows < most").drop("most"))
     return reduce(DataFrame.unionByName, parts)
+
+
+def carry_out(df: DataFrame, plan: DataFrame, key: str, least: float = 0.0) -> DataFrame:
+    """The table after a plan's actions of confidence ``least`` or more, in the plan's own order of kinds: repeats, outliers, imputation.
+
+    Of repeated rows the least key stays; values beyond 3 IQRs take their rows
+    with them; missing numbers become the mean, other missing values the mode,
+    of what is left then. Missing labels are for people to fill in and stay. A
+    plan has a row for each action and column, so it is read to the driver.
+    """
+    from .duplicates import first_of_each
+    from .tabular import fill_missing
+
+    actions = [(r["action"], r["column"]) for r in plan.where(F.col("confidence") >= least).collect()]
+    others = [c for c in df.columns if c != key]
+    out = first_of_each(df, key, others) if any(a == "remove_duplicates" for a, _ in actions) else df
+    far = [c for a, c in actions if a == "remove_outliers"]
+    for c, (q1, q3) in (quantiles(df, far, [0.25, 0.75]) if far else {}).items():
+        out = out.where(F.coalesce(F.col(c).between(q1 - 3 * (q3 - q1), q3 + 3 * (q3 - q1)), F.lit(True)))
+    missing = [c for a, c in actions if a == "impute"]
+    numbers = [c for c in missing if c in numeric_columns(df)]
+    if numbers:
+        out = fill_missing(out, numbers, "mean")
+    if rest := [c for c in missing if c not in numbers]:
+        out = fill_missing(out, rest, "mode")
+    return out

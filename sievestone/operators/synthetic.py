@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ratio, zero_filled
+from ..functions.ranges import fresh, ranked
 from .drift import cumulative
 
 
@@ -109,11 +110,17 @@ def augmentation_plan(df: DataFrame, label: str, ratio_over: float = 2.0, least:
 
 
 def oversample(df: DataFrame, label: str, key: str, plan: DataFrame) -> DataFrame:
-    """The table and copies of rows of planned classes, up to their targets, the same rows on every run."""
-    w = Window.partitionBy(label).orderBy(F.xxhash64(key), key)
-    small = df.join(F.broadcast(plan.select(F.col("label").alias(label), "target", "count")), label)
-    ranked = small.withColumn("__rank", F.row_number().over(w) - 1)
-    extra = ranked.withColumn("__copy", F.explode(F.expr("sequence(1, greatest(cast(ceil(target / count) as int), 1))"))).where(F.col("__rank") + F.col("__copy") * F.col("count") < F.col("target"))
+    """The table and copies of rows of planned classes, up to their targets, the same rows on every run.
+
+    Rows of a class are taken in the order of their key's hash, ranked over
+    ranges of it, so that no task holds a class.
+    """
+    mark, place, copy = fresh(df, "mark", "place", "copy")
+    plan = plan.select(F.col("label").alias("planned"), F.col("target").alias("planned_target"), F.col("count").alias("planned_count"))
+    small = df.join(F.broadcast(plan), df[label] == plan["planned"]).withColumn(mark, F.xxhash64(key))
+    rows = ranked(small, [label], mark, place, ties=key)
+    many = F.sequence(F.lit(1), F.greatest(F.ceil(F.col("planned_target") / F.col("planned_count")).cast("int"), F.lit(1)))
+    extra = rows.withColumn(copy, F.explode(many)).where(F.col(place) - 1 + F.col(copy) * F.col("planned_count") < F.col("planned_target"))
     return df.unionByName(extra.select(*df.columns))
 
 

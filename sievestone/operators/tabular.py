@@ -6,10 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.exprs import numeric_columns, ratio
 from ..functions.quantiles import quantiles
+from ..functions.ranges import carried
 
 
 def predicate(df: DataFrame, feature: str, operator: str, value) -> Column:
@@ -48,10 +48,8 @@ def fill_missing(df: DataFrame, columns: list[str], strategy: str = "mean", valu
 
 
 def carry(df: DataFrame, column: str, order: str, partition: list[str], backward: bool = False) -> DataFrame:
-    """Nulls replaced by the last value before, or the next one after, within partitions."""
-    w = Window.partitionBy(*partition).orderBy(order)
-    filled = F.first(column, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)) if backward else F.last(column, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn(column, filled)
+    """Nulls replaced by the last value before, or the next one after, within partitions; ranges of the order go to tasks of their own."""
+    return carried(df, partition, order, column, backward)
 
 
 def label_codes(df: DataFrame, label: str) -> DataFrame:
@@ -60,7 +58,13 @@ def label_codes(df: DataFrame, label: str) -> DataFrame:
 
 
 def encode(df: DataFrame, label: str, out: str = "code") -> DataFrame:
-    return df.join(label_codes(df, label).withColumnRenamed("code", out), label)
+    """The table with each label's code; null labels have none."""
+    return df.join(label_codes(df, label).withColumnRenamed("code", out), label, "left")
+
+
+def decode(df: DataFrame, codes: DataFrame, code: str, label: str) -> DataFrame:
+    """The table with the label of each code of ``label_codes``; unknown and null codes have none."""
+    return df.join(codes.select(F.col("code").alias(code), label), code, "left")
 
 
 def scale(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -150,9 +154,5 @@ def chunk_report(df: DataFrame, columns: list[str], chunk: str = "chunk") -> Dat
     return outliers.join(copies, chunk).withColumn("score", score)
 
 
-def by_type(df: DataFrame, kind: type[T.DataType]) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, kind)]
-
-
 def set_operations(a: DataFrame, b: DataFrame) -> dict[str, DataFrame]:
     return {"union": a.union(b).distinct(), "intersect": a.intersect(b), "except": a.subtract(b)}

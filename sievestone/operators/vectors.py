@@ -123,6 +123,25 @@ def count_near_pairs(vectors: DataFrame, key: str, vector: str, threshold: float
     return pairs.agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("duplicate_pairs"))
 
 
+def cross_matches(tests: DataFrame, train: DataFrame, key: str, vector: str, threshold: float = 0.9, block: int = 512) -> DataFrame:
+    """test_key, matches, similarity, severity of test vectors with a cosine of ``threshold`` or more to some of the training vectors.
+
+    The stated tests meet all training vectors in blocks; a block leaves one row
+    for each of its tests, so what is shuffled doesn't grow with the matches.
+    Severity goes by the largest similarity: .98 critical, .95 high, .9 medium.
+    Null keys and null vectors take no part; vectors of zeros match nothing.
+    """
+
+    def near(qk, vk, s):
+        count, best = (s >= threshold).sum(axis=1), s.max(axis=1)
+        has = count > 0
+        return qk[has], count[has].astype(np.int64), best[has]
+
+    found = _compared(tests, train, key, vector, "cosine", block, near).groupBy(F.col("query").alias("test_key")).agg(F.sum("key").alias("matches"), F.max("similarity").alias("similarity"))
+    s = F.col("similarity")
+    return found.withColumn("severity", F.when(s >= 0.98, "critical").when(s >= 0.95, "high").when(s >= 0.9, "medium").otherwise("low"))
+
+
 def duplicates(neighbours: DataFrame, threshold: float = 0.95) -> DataFrame:
     """key1 < key2, similarity of neighbours at or over the threshold, each pair once."""
     near = neighbours.where(F.col("similarity") >= threshold)

@@ -66,8 +66,15 @@ class Analysis:
         return "\n".join(f"{k}: {v}" for k, v in self.score().first().asDict().items())
 
 
-def analyze(df: DataFrame, key: str, label: str | None = None, features: list[str] | None = None, exclude: list[str] | None = None, outlier_method: str = "iqr") -> Analysis:
-    """Detect label, duplicate, outlier, imbalance and bias issues; results stay lazy, failures are told and not hidden."""
+def analyze(df: DataFrame, key: str, label: str | None = None, features: list[str] | None = None, exclude: list[str] | None = None, outlier_method: str = "iqr", probabilities: DataFrame | None = None, label_errors: bool = True) -> Analysis:
+    """Detect label, duplicate, outlier, imbalance and bias issues; failures are told and not hidden.
+
+    Label errors are those of the confident joint over ``probabilities`` (the
+    key and ``probs``, an array in the sorted order of the labels), or, without
+    them and unless ``label_errors`` is false, over out-of-fold probabilities of
+    a logistic regression on the numeric features, which is fitted here; all
+    else stays lazy.
+    """
     data = load(df, label, features, exclude, key)
     out = Analysis(data)
     numbers = [c for c in numeric_columns(data.data, (key, label)) if c in data.features]
@@ -81,6 +88,10 @@ def analyze(df: DataFrame, key: str, label: str | None = None, features: list[st
     detect("duplicates", lambda: duplicates.pointers(data.data, key, data.features))
     if numbers:
         detect("outliers", lambda: getattr(outliers, outlier_method)(data.data, key, numbers))
+    if label and (probabilities is not None or (label_errors and numbers)):
+        coded = tabular.encode(data.data.where(F.col(label).isNotNull()), label, "class_code")
+        fit = lambda: labels.out_of_fold_probabilities(coded, key, "class_code", numbers) if probabilities is None else coded.select(key, "class_code").join(probabilities.select(key, "probs"), key)
+        detect("label_errors", lambda: labels.confident_errors(fit(), key, "class_code", "probs"))
     if label:
         detect("imbalance", lambda: labels.imbalance(data.data, label))
         if label in numeric_columns(df):

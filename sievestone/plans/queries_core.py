@@ -139,12 +139,12 @@ def set_intersect(spark, d):
     return tabular.set_operations(t(spark, d, "customer").select(F.col("c_nationkey").alias("n")), t(spark, d, "supplier").select("s_nationkey"))["intersect"]
 
 
-@query("set_except", "select n_nationkey as n from nation except select s_nationkey from supplier where s_suppkey < 20")
+@query("set_except", "select n_nationkey as n from nation except select s_nationkey from supplier where s_acctbal < 0")
 def set_except(spark, d):
-    return tabular.set_operations(t(spark, d, "nation").select(F.col("n_nationkey").alias("n")), t(spark, d, "supplier").where("s_suppkey < 20").select("s_nationkey"))["except"]
+    return tabular.set_operations(t(spark, d, "nation").select(F.col("n_nationkey").alias("n")), t(spark, d, "supplier").where("s_acctbal < 0").select("s_nationkey"))["except"]
 
 
-@query("duplicate_pairs", "select a.doc_id as key1, b.doc_id as key2, 1.0::double as similarity, true as is_exact from documents a join documents b on a.text = b.text and a.doc_id < b.doc_id")
+@query("duplicate_pairs", "select * from (select min(doc_id) over (partition by text) as key1, doc_id as key2, count(*) over (partition by text) as members, 1.0::double as similarity, true as is_exact from documents) where key1 < key2")
 def duplicate_pairs(spark, d):
     return duplicates.exact_pairs(t(spark, d, "documents"), "doc_id", ["text"])
 
@@ -179,7 +179,7 @@ def without_duplicates(spark, d):
     return duplicates.first_of_each(t(spark, d, "documents"), "doc_id", ["text"]).select("doc_id")
 
 
-@query("contamination_exact", "select doc_id as train_key, item_id as test_key, 'critical' as severity from documents join benchmark using (text)")
+@query("contamination_exact", "select doc_id as train_key, min(item_id) as test_key, count(*) as test_rows, 'critical' as severity from documents join benchmark using (text) group by doc_id")
 def contamination_exact(spark, d):
     return duplicates.cross_pairs(t(spark, d, "documents"), t(spark, d, "benchmark"), "doc_id", "item_id", ["text"])
 
@@ -315,9 +315,9 @@ def active_uncertainty(spark, d):
     return selection.pick(guessed(spark, d).withColumn("probs", F.transform("probs", lambda p: F.round(p, 9))), "key", "probs", 50)
 
 
-@query("active_entropy", f"select key, -(probs[1] * ln(probs[1] + 1e-10) + probs[2] * ln(probs[2] + 1e-10) + probs[3] * ln(probs[3] + 1e-10)) as score from ({GUESSED}) where key < 2000", "score")
+@query("active_entropy", f"select key, -(probs[1] * ln(probs[1] + 1e-10) + probs[2] * ln(probs[2] + 1e-10) + probs[3] * ln(probs[3] + 1e-10)) as score from ({GUESSED})", "score")
 def active_entropy(spark, d):
-    return guessed(spark, d).where("key < 2000").select("key", selection.entropy(F.col("probs")).alias("score"))
+    return guessed(spark, d).select("key", selection.entropy(F.col("probs")).alias("score"))
 
 
 @query("active_margin", f"select key, list_sort(probs)[3] - list_sort(probs)[2] as score from ({GUESSED})", "score")
@@ -367,31 +367,46 @@ def confusion_metrics(spark, d):
 
 def document_scores(spark, d):
     docs = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id", "left").select("doc_id", "text", "n_chars", "quality")
-    return analyze(docs, "doc_id", "quality").score()
+    good = F.least(F.lit(0.95), F.greatest(F.lit(0.05), F.col("n_chars") / 2000))
+    probs = docs.select("doc_id", F.array(1 - good, good).alias("probs"))  # a stand-in for a model's output
+    return analyze(docs, "doc_id", "quality", probabilities=probs).score()
 
 
 query("document_scores", """with n as (select count(*) as n from documents), dup as (select n - (select count(*) from (select distinct text, n_chars from documents)) as c from n),
     q as (select quantile_cont(n_chars, 0.25) a, quantile_cont(n_chars, 0.75) b from documents), o as (select count(*) as c from documents, q where n_chars < a - 1.5 * (b - a) or n_chars > b + 1.5 * (b - a)),
     l as (select max(c) / min(c) as r from (select count(*) as c from labels join documents using (doc_id) where quality is not null group by quality)),
     i as (select (select (r >= 5)::int from l) + (select count(*) from (select count(*) as c, count(*) / sum(count(*)) over () as s from labels join documents using (doc_id) group by quality) where s < 0.05) + (select count(*) from (select count(*) as c from labels join documents using (doc_id) group by quality) where c < 10) as c),
-    s as (select n.n as n_samples, dup.c as n_duplicates, o.c as n_outliers, i.c as n_imbalance, l.r as imbalance_ratio, 100.0 as label_score,
+    g as (select doc_id as key, quality as label, [1 - p, p] as probs from (select doc_id, quality, least(0.95::double, greatest(0.05::double, n_chars / 2000)) as p from documents join labels using (doc_id) where quality is not null)), mp as (select label as c, avg(probs[label + 1]) as t from g group by 1),
+    bp as (select key, label, i, row_number() over (partition by key order by probs[i + 1] desc, i) as rn from g, (select unnest([0, 1]) as i) join mp on mp.c = i where probs[i + 1] >= t), e as (select count(*) as c from bp where rn = 1 and i <> label),
+    s as (select n.n as n_samples, dup.c as n_duplicates, o.c as n_outliers, i.c as n_imbalance, e.c as n_label_errors, l.r as imbalance_ratio, case when e.c = 0 then 100.0 when e.c / n.n < 0.01 then 95 when e.c / n.n < 0.03 then 85 when e.c / n.n < 0.05 then 75 when e.c / n.n < 0.1 then 60 when e.c / n.n < 0.2 then 40 else 20 end as label_score,
       case when dup.c = 0 then 100.0 when least(1.5 * dup.c, n.n) / n.n + 2 * dup.c / n.n < 0.01 then 98 when least(1.5 * dup.c, n.n) / n.n + 2 * dup.c / n.n < 0.05 then 90 when least(1.5 * dup.c, n.n) / n.n + 2 * dup.c / n.n < 0.1 then 80 when least(1.5 * dup.c, n.n) / n.n + 2 * dup.c / n.n < 0.2 then 65 else 50 end as duplicate_score,
       case when o.c = 0 then 100.0 when o.c / n.n <= 0.1 then greatest(85, 100 - 100 * o.c / n.n) when o.c / n.n - 0.1 < 0.05 then 75 when o.c / n.n - 0.1 < 0.1 then 60 when o.c / n.n - 0.1 < 0.2 then 45 else 30 end as outlier_score,
-      case when l.r <= 1.5 then 100.0 when l.r <= 3 then 90 when l.r <= 5 then 80 when l.r <= 10 then 65 when l.r <= 20 then 50 when l.r <= 50 then 35 else 20 end as imbalance_score, 100.0 as bias_score from n, dup, o, l, i),
+      case when l.r <= 1.5 then 100.0 when l.r <= 3 then 90 when l.r <= 5 then 80 when l.r <= 10 then 65 when l.r <= 20 then 50 when l.r <= 50 then 35 else 20 end as imbalance_score, 100.0 as bias_score from n, dup, o, l, i, e),
     v as (select *, round_even(0.35::double * label_score + 0.2::double * duplicate_score + 0.15::double * outlier_score + 0.15::double * imbalance_score + 0.15::double * bias_score, 2) as overall from s)
     select *, case when overall >= 90 then 'excellent' when overall >= 75 then 'good' when overall >= 60 then 'fair' when overall >= 40 then 'poor' else 'critical' end as severity from v""", "imbalance_ratio label_score duplicate_score outlier_score imbalance_score bias_score overall")(document_scores)
 
 
-@query("regression_gate", "select * from (values ('duplicate_rate', 0.02, 'warning'), ('label_error_rate', 0.0, 'pass'), ('quality', -11.0, 'critical')) v(metric, change, status)", "change")
+MEASURES = """select avg(quality) * 100 as score, (select 1 - count(distinct text) / count(*) from documents) as duplicate_rate, avg((quality is null)::int) as missing_rate, avg((toxic = 1)::int) as outlier_rate from labels"""
+
+
+def measures(spark, d):
+    m = t(spark, d, "labels").agg((100 * F.avg("quality")).alias("score"), F.avg(F.col("quality").isNull().cast("int")).alias("missing_rate"), F.avg((F.col("toxic") == 1).cast("int")).alias("outlier_rate"))
+    return m.crossJoin(duplicates.duplicate_rate(t(spark, d, "documents"), ["text"]))
+
+
+@query("regression_gate", """with h as (select avg(value) filter (event_id % 3 <> 0) as a, avg(value) filter (event_id % 3 = 0) as b, avg((event_type = 'error')::int) filter (event_id % 3 <> 0) as c, avg((event_type = 'error')::int) filter (event_id % 3 = 0) as e from events)
+    select 'value' as metric, b - a as change, case when a - b >= 5 then 'critical' when a - b >= 0.1 then 'warning' else 'pass' end as status from h union all select 'error_rate', e - c, case when e - c >= 0.05 then 'critical' when e - c >= 0.001 then 'warning' else 'pass' end from h""", "change")
 def regression_gate(spark, d):
-    m = spark.createDataFrame([("quality", 91.0, 80.0), ("label_error_rate", 0.02, 0.02), ("duplicate_rate", 0.01, 0.03)], "metric string, baseline double, current double")
-    return scores.regression_gate(m, {"quality": (5.0, 10.0, False), "label_error_rate": (0.01, 0.05, True), "duplicate_rate": (0.0199, 0.05, True)})
+    first, error = F.col("event_id") % 3 != 0, (F.col("event_type") == "error").cast("int")
+    mean = lambda c, test: F.avg(F.when(test, c)).alias("x")
+    rows = [F.struct(F.lit(n).alias("metric"), mean(c, first).alias("baseline"), mean(c, ~first).alias("current")) for n, c in (("value", F.col("value")), ("error_rate", error))]
+    m = t(spark, d, "events").agg(F.array(*rows).alias("all")).select(F.inline("all"))
+    return scores.regression_gate(m, {"value": (0.1, 5.0, False), "error_rate": (0.001, 0.05, True)})
 
 
-@query("pipeline_gates", "with m as (select 1 - count(distinct text) / count(*) as r from documents) select 'score' as \"check\", 85.0 as value, 80.0 as threshold, true as passed union all select 'duplicates', r, 0.05, r <= 0.05 from m union all select 'missing', 0.0, 0.1, true union all select 'outliers', 0.02, 0.05, true", "value threshold")
+@query("pipeline_gates", f"with m as ({MEASURES}) select 'score' as \"check\", score as value, 80.0 as threshold, score >= 80 as passed from m union all select 'duplicates', duplicate_rate, 0.05, duplicate_rate <= 0.05 from m union all select 'missing', missing_rate, 0.1, missing_rate <= 0.1 from m union all select 'outliers', outlier_rate, 0.05, outlier_rate <= 0.05 from m", "value threshold")
 def pipeline_gates(spark, d):
-    m = duplicates.duplicate_rate(t(spark, d, "documents"), ["text"]).select(F.lit(85.0).alias("score"), "duplicate_rate", F.lit(0.0).alias("missing_rate"), F.lit(0.02).alias("outlier_rate"))
-    return scores.gates(m)
+    return scores.gates(measures(spark, d))
 
 
 @query("fix_suggestions", f"select key, 'relabel' as action, predicted::varchar as value, confidence, 'label_error' as reason from (select key, label, (list_position(probs, list_max(probs)) - 1)::int as predicted, list_max(probs) as confidence, probs[label + 1] as own from ({GUESSED})) where own < 0.5 and confidence > 0.5 and predicted <> label and confidence >= 0.7 union all select doc_id, 'remove', null, 1.0, 'duplicate' from (select doc_id, row_number() over (partition by text order by doc_id) as rn from documents) where rn > 1", "confidence")
@@ -409,8 +424,8 @@ def apply_fixes(spark, d):
     return repairs.apply_fixes(c, "c_custkey", "c_mktsegment", fixes)
 
 
-@query("clean_data", f"select o_orderkey from orders where o_orderkey not in (select key from ({IQR_SQL})) and o_orderkey % 100 <> 0")
-def clean_data(spark, d):
+@query("without_issues", f"select o_orderkey from orders where o_orderkey not in (select key from ({IQR_SQL})) and o_orderkey % 100 <> 0")
+def without_issues(spark, d):
     o = t(spark, d, "orders").withColumnRenamed("o_orderkey", "key")
     return repairs.without(o, "key", outliers.iqr(o, "key", ["o_totalprice"]), o.where("key % 100 = 0")).select(F.col("key").alias("o_orderkey"))
 

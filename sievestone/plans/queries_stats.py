@@ -199,10 +199,10 @@ def labeler_routing(spark, d):
     return annotators.route(a.select("sample_id", "category"), m, annotators.category_skill(a, "annotator_id"), "sample_id", "annotator_id")
 
 
-@query("synthetic_modes", "select f as feature, s1 / s0 as std_ratio, u1 / u0 as unique_ratio, s1 / s0 < 0.1 or u1 / u0 < 0.5 as collapsed from (select 'o_totalprice' as f, stddev_samp(o_totalprice) filter (o_orderkey % 2 = 0) as s0, stddev_samp(o_totalprice) filter (o_orderkey % 2 = 1 and o_orderkey < 900) as s1, count(distinct o_totalprice) filter (o_orderkey % 2 = 0) as u0, count(distinct o_totalprice) filter (o_orderkey % 2 = 1 and o_orderkey < 900) as u1 from orders)", "std_ratio unique_ratio")
+@query("synthetic_modes", "select f as feature, s1 / s0 as std_ratio, u1 / u0 as unique_ratio, s1 / s0 < 0.1 or u1 / u0 < 0.5 as collapsed from (select 'o_totalprice' as f, stddev_samp(o_totalprice) filter (o_orderstatus <> 'P') as s0, stddev_samp(o_totalprice) filter (o_orderstatus = 'P') as s1, count(distinct o_totalprice) filter (o_orderstatus <> 'P') as u0, count(distinct o_totalprice) filter (o_orderstatus = 'P') as u1 from orders)", "std_ratio unique_ratio")
 def synthetic_modes(spark, d):
     o = t(spark, d, "orders")
-    return synthetic.mode_collapse(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1 and o_orderkey < 900"), ["o_totalprice"])
+    return synthetic.mode_collapse(o.where("o_orderstatus <> 'P'"), o.where("o_orderstatus = 'P'"), ["o_totalprice"])
 
 
 @query("synthetic_gaps", f"select 'value' as feature, max(abs(f - g)) as gap, 100 - 100 * max(abs(f - g)) as fidelity from ({CDF}) union all select 'event_type', sum(abs(p - q)) / 2, 100 - 50 * sum(abs(p - q)) from (select p / sum(p) over () as p, q / sum(q) over () as q from (select count(*) filter (event_id % 3 <> 0) as p, count(*) filter (event_id % 3 = 0) as q from events group by event_type))", "gap fidelity")
@@ -232,9 +232,13 @@ def gaussian_copula(spark, d):
     return synthetic.gaussian_copula(t(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"], 1000)
 
 
-@query("synthetic_certificate", "select 0.25 * 90 + 0.3 * 70 + 0.25 * 80 + 0.1 * 65 + 0.1 * 95 as overall, 'privacy' as failed, 'conditional' as status", "overall")
+@query("synthetic_certificate", """with m as (select 100 * avg((text is not null)::int) as fidelity, 100 * count(distinct text) / count(*) as privacy, 100 * avg((n_chars >= 50)::int) as utility, 10.0 * count(distinct lang) as diversity, 100 * avg((lang = 'en')::int) as coherence from documents)
+    select 0.25 * fidelity + 0.3 * privacy + 0.25 * utility + 0.1 * diversity + 0.1 * coherence as overall, f as failed, case when f = '' then 'certified' when not contains(f, ',') then 'conditional' else 'rejected' end as status
+    from (select *, concat_ws(',', case when coherence < 70 then 'coherence' end, case when diversity < 60 then 'diversity' end, case when fidelity < 70 then 'fidelity' end, case when privacy < 80 then 'privacy' end, case when utility < 70 then 'utility' end) as f from m)""", "overall")
 def synthetic_certificate(spark, d):
-    return synthetic.certificate(spark.createDataFrame([(90.0, 70.0, 80.0, 65.0, 95.0)], "fidelity double, privacy double, utility double, diversity double, coherence double"))
+    share = lambda c: 100 * F.avg(c.cast("int"))
+    m = t(spark, d, "documents").agg(share(F.col("text").isNotNull()).alias("fidelity"), (100 * F.count_distinct("text") / F.count("*")).alias("privacy"), share(F.col("n_chars") >= 50).alias("utility"), (10.0 * F.count_distinct("lang")).alias("diversity"), share(F.col("lang") == "en").alias("coherence"))
+    return synthetic.certificate(m)
 
 
 @query("augmentation_plan", "with c as (select toxic as label, count(*) as count from labels group by 1), m as (select max(count) as most from c), p as (select label, count, greatest(least((most / 2)::double::bigint, count * 5), 10) as target from c, m where most / count > 2) select label, count, floor(target)::bigint as target, target / count as multiplier, case when target / count <= 2 then 'oversample' when target / count <= 3 then 'noise' else 'smote' end as operation from (select label, count, greatest(least(floor((select most from m) / 2)::bigint, count * 5), 10) as target from p)", "multiplier")
@@ -351,9 +355,11 @@ def cost_impact(spark, d):
     return history.cost_impact(a.unionByName(b))
 
 
-@query("compliance", "select * from (values ('data governance', 'label', 85.0, 'compliant'), ('bias examination', 'bias', 60.0, 'partial'), ('accuracy', 'outlier', 40.0, 'non_compliant')) v(requirement, component, score, status)", "score")
+@query("compliance", "with m as (select 100 * avg(quality) as label, 100 * avg(1 - toxic) as bias, 100 * (select avg((value <= 60)::int) from events) as outlier from labels), x as (select unnest(['data governance', 'bias examination', 'accuracy']) as requirement, unnest(['label', 'bias', 'outlier']) as component, unnest([label, bias, outlier]) as score from m) select *, case when score >= 80 then 'compliant' when score >= 50 then 'partial' else 'non_compliant' end as status from x", "score")
 def compliance(spark, d):
-    return history.compliance(spark.createDataFrame([(85.0, 60.0, 40.0)], "label double, bias double, outlier double"), [("data governance", "label"), ("bias examination", "bias"), ("accuracy", "outlier")])
+    m = t(spark, d, "labels").agg((100 * F.avg("quality")).alias("label"), (100 * F.avg(1 - F.col("toxic"))).alias("bias"))
+    m = m.crossJoin(t(spark, d, "events").agg((100 * F.avg((F.col("value") <= 60).cast("int"))).alias("outlier")))
+    return history.compliance(m, [("data governance", "label"), ("bias examination", "bias"), ("accuracy", "outlier")])
 
 
 @query("priority_ranking", "select user_id, sum(case event_type when 'error' then 3.0 when 'purchase' then 1.0 end) as priority from events where event_type in ('error', 'purchase') group by 1 order by priority desc, user_id limit 20", "priority")
@@ -367,9 +373,9 @@ def predicted_impact(spark, d):
     return selection.predicted_impact(x, "kind", "confidence")
 
 
-@query("breadth_first", "with recursive b(node, depth) as (select 0::bigint, 0 union select o.l_suppkey, depth + 1 from b join (select distinct l_partkey, l_suppkey from lineitem where l_partkey < 100) o on o.l_partkey = b.node where depth < 3) select node, min(depth)::int as depth from b group by 1")
+@query("breadth_first", "with recursive b(node, depth) as (select 0::bigint, 0 union select o.l_suppkey, depth + 1 from b join (select distinct l_partkey, l_suppkey from lineitem) o on o.l_partkey = b.node where depth < 3) select node, min(depth)::int as depth from b group by 1")
 def breadth_first(spark, d):
-    e = t(spark, d, "lineitem").where("l_partkey < 100").select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target")).distinct()
+    e = t(spark, d, "lineitem").select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target")).distinct()
     return selection.breadth_first(e, spark.createDataFrame([(0,)], "node long"), 3)
 
 
@@ -389,6 +395,8 @@ def batch_outliers(spark, d):
     return live.check_batch(t(spark, d, "events"), ["value"]).select("event_id", "is_outlier", "quality")
 
 
-@query("stream_alerts", "select 'warning' as severity, 'outliers' as issue, 0.2 as value union all select 'critical', 'quality', 60.0", "value")
+@query("stream_alerts", "with m as (select avg((value > 20)::int) as o, 1 - count(distinct (event_type, user_id)) / count(*) as r, 100 * avg((event_type <> 'view')::int) as q from events) select 'warning' as severity, 'outliers' as issue, o as value from m where o > 0.1 union all select 'warning', 'duplicates', r from m where r > 0.05 union all select 'critical', 'quality', q from m where q < 70", "value")
 def stream_alerts(spark, d):
-    return live.alerts(spark.createDataFrame([(0.2, 0.01, 60.0)], "outlier_rate double, duplicate_rate double, quality double"))
+    share = lambda c: F.avg(c.cast("int"))
+    m = t(spark, d, "events").agg(share(F.col("value") > 20).alias("outlier_rate"), (1 - F.count_distinct("event_type", "user_id") / F.count("*")).alias("duplicate_rate"), (100 * share(F.col("event_type") != "view")).alias("quality"))
+    return live.alerts(m)

@@ -10,7 +10,6 @@ from .catalogue import query, t
 
 PAIRS = "select a.conv_id, a.turn, a.text as instruction, b.text as response from conversations a join conversations b on a.conv_id = b.conv_id and b.turn = a.turn + 1 where a.role = 'user' and b.role = 'assistant'"
 EMAIL = privacy.PII["email"][0][0]
-IP = privacy.PII["ip_address"][0][0]
 
 
 def pairs(spark, d):
@@ -49,7 +48,7 @@ def instruction_report(spark, d):
     return texts.instruction_report(pairs(spark, d), ["conv_id", "turn"], ["conv_id", "turn"])
 
 
-@query("toxic_documents", "select doc_id from documents where regexp_matches(text, '\\b(stupid|idiot|moron|dumb)\\b', 'i') or regexp_matches(text, '\\b(racist|sexist|bigot)\\b', 'i')")
+@query("toxic_documents", "select doc_id from documents where regexp_matches(text, '\\b(hate|kill|murder|attack|destroy)\\b.*\\b(people|person|group|them)\\b', 'i') or regexp_matches(text, '\\b(stupid|idiot|moron|dumb)\\b', 'i') or regexp_matches(text, '\\b(racist|sexist|bigot)\\b', 'i')")
 def toxic_documents(spark, d):
     return t(spark, d, "documents").where(texts.any_match(F.col("text"), texts.TOXIC)).select("doc_id")
 
@@ -110,34 +109,37 @@ def caption_issues(spark, d):
     return texts.caption_issues(t(spark, d, "pages"), "page_id", "url", "html")
 
 
-@query("cross_lingual", "select count(*) as matched, avg((a.lang = b.lang)::int) as consistent from documents a join documents b on a.doc_id = b.doc_id where a.doc_id % 2 = 0", "consistent")
+@query("cross_lingual", "select count(*) as matched, avg((a.quality = b.predicted)::int) as consistent from labels a join (select doc_id, (n_chars > 200)::int as predicted from documents where lang <> 'en') b using (doc_id)", "consistent")
 def cross_lingual(spark, d):
-    docs = t(spark, d, "documents")
-    return texts.cross_lingual(docs.where("doc_id % 2 = 0"), docs, "doc_id", "lang")
+    guesses = t(spark, d, "documents").where("lang <> 'en'").select("doc_id", (F.col("n_chars") > 200).cast("int").alias("quality"))
+    return texts.cross_lingual(t(spark, d, "labels"), guesses, "doc_id", "quality")
 
 
-def _pii_sql(table: str, kinds: dict) -> str:
-    parts = [f"""select doc_id, 'text' as "column", '{k}' as pii_type, unnest(regexp_extract_all(text, '{p}')) as value, {c}::double as confidence from {table}""" for k, (ps, c) in kinds.items() for p in ps]
+def _pii_sql(table: str) -> str:
+    parts = [f"""select doc_id, 'text' as "column", '{k}' as pii_type, unnest(regexp_extract_all(text, '(?i){p}')) as value, {c}::double as confidence from {table}""" for k, (ps, c) in privacy.PII.items() for p in ps]
     return " union all ".join(parts)
 
 
-SCANNED = {k: privacy.PII[k] for k in ("email", "ssn", "ip_address", "passport", "date_of_birth")}
-
-
-@query("pii_scan", _pii_sql("documents", SCANNED))
+@query("pii_scan", _pii_sql("documents"))
 def pii_scan(spark, d):
-    return privacy.scan(t(spark, d, "documents"), "doc_id", ["text"], kinds=SCANNED)
+    return privacy.scan(t(spark, d, "documents"), "doc_id", ["text"])
 
 
-@query("pii_columns", f"""select "column", count(distinct pii_type) as kinds, count(*) as matches, count(distinct pii_type) >= 2 or bool_or(pii_type in ('ssn', 'credit_card')) as high_risk from ({_pii_sql('documents', SCANNED)}) group by 1""")
+@query("pii_columns", f"""select "column", count(distinct pii_type) as kinds, count(*) as matches, count(distinct pii_type) >= 2 or bool_or(pii_type in ('ssn', 'credit_card')) as high_risk from ({_pii_sql('documents')}) group by 1""")
 def pii_columns(spark, d):
-    return privacy.columns_at_risk(privacy.scan(t(spark, d, "documents"), "doc_id", ["text"], kinds=SCANNED))
+    return privacy.columns_at_risk(privacy.scan(t(spark, d, "documents"), "doc_id", ["text"]))
+
+
+def _redact_sql(c: str) -> str:
+    for k, (patterns, _) in privacy.PII.items():
+        for p in patterns:
+            c = f"regexp_replace({c}, '(?i){p}', '[{k.upper()}_REDACTED]', 'g')"
+    return c
 
 
-@query("pii_redact", f"select doc_id, md5(regexp_replace(regexp_replace(text, '{EMAIL}', '[EMAIL_REDACTED]', 'g'), '{IP}', '[IP_ADDRESS_REDACTED]', 'g')) as text_md5 from documents")
+@query("pii_redact", f"select doc_id, md5({_redact_sql('text')}) as text_md5 from documents")
 def pii_redact(spark, d):
-    kinds = {k: privacy.PII[k] for k in ("email", "ip_address")}
-    return t(spark, d, "documents").select("doc_id", F.md5(privacy.redact(F.col("text"), kinds)).alias("text_md5"))
+    return t(spark, d, "documents").select("doc_id", F.md5(privacy.redact(F.col("text"))).alias("text_md5"))
 
 
 @query("pii_mask", "select c_custkey, case when length(c_name) <= 4 then repeat('*', length(c_name)) else repeat('*', length(c_name) - 4) || right(c_name, 4) end as masked, 'HASH_' || substr(sha256('pepper' || c_name), 1, 16) as hashed, 'TOK_' || substr(sha256('pepper|' || c_name), 1, 12) as token from customer")
@@ -146,7 +148,7 @@ def pii_mask(spark, d):
     return t(spark, d, "customer").select("c_custkey", privacy.mask(c).alias("masked"), privacy.hashed(c, "pepper").alias("hashed"), privacy.token(c, "pepper").alias("token"))
 
 
-@query("pii_generalise", f"select doc_id, value, '*@' || split_part(value, '@', 2) as general from (select doc_id, unnest(regexp_extract_all(text, '{EMAIL}')) as value from documents)")
+@query("pii_generalise", f"select doc_id, value, '*@' || split_part(value, '@', 2) as general from (select doc_id, unnest(regexp_extract_all(text, '(?i){EMAIL}')) as value from documents)")
 def pii_generalise(spark, d):
     found = privacy.scan(t(spark, d, "documents"), "doc_id", ["text"], kinds={"email": privacy.PII["email"]})
     return found.select("doc_id", "value", privacy.generalise(F.col("value"), "email").alias("general"))
@@ -156,7 +158,7 @@ def pii_generalise(spark, d):
 def pii_round_trip(spark, d):
     docs = t(spark, d, "documents").select("doc_id", "text")
     tokens = privacy.token_map(privacy.scan(docs, "doc_id", ["text"], kinds={"email": privacy.PII["email"]}), "pepper")
-    return privacy.detokenise(privacy.tokenise(docs, "text", EMAIL, "pepper"), "doc_id", "text", tokens).select("doc_id", F.md5("text").alias("text_md5"))
+    return privacy.detokenise(privacy.tokenise(docs, "text", privacy.any_case(EMAIL), "pepper"), "doc_id", "text", tokens).select("doc_id", F.md5("text").alias("text_md5"))
 
 
 COS = "list_cosine_similarity(a.embedding::double[], b.embedding::double[])"

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-INTENTS = [("summary", r"summar|overview|overall|total"), ("list", r"show|list|find|get|display|what are"), ("filter", r"filter|only|where|with"), ("stats", r"how many|count|number of|statistic"), ("fix", r"fix|clean|remove"), ("export", r"export|save|download")]
+INTENTS = [("summary", r"summar|overview|overall|total"), ("list", r"show|list|find|get|display|what are"), ("filter", r"filter|only|where|with"), ("stats", r"how many|count|number of|statistic"), ("fix", r"fix|repair|remove"), ("export", r"export|save|download")]
 KINDS = [("label_errors", r"label|mislabel"), ("duplicates", r"duplicat|repeat"), ("outliers", r"outlier|anomal"), ("imbalance", r"imbalance|class distribution"), ("bias", r"bias|fair")]
 
 

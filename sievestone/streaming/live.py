@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import row_hash
+from ..functions.quantiles import quantiles
 from ..operators.scores import row_score
 
 
@@ -20,11 +21,10 @@ def check_batch(batch: DataFrame, numbers: list[str], label: str | None = None,
     the row's class in the batch over the class's mean deviation; 0 for classes
     of one row. ``flagged`` names a column that tells repeats, if there is one.
     """
-    q = batch.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in numbers])
-    rows = batch.crossJoin(F.broadcast(q.select(*[F.col(c).alias(f"__q_{c}") for c in numbers])))
-    out = F.lit(False)
-    for c in numbers:
-        q1, q3 = F.col(f"__q_{c}")[0], F.col(f"__q_{c}")[1]
+    rows, out = batch, F.lit(False)
+    for c, (q1, q3) in quantiles(batch, numbers, [0.25, 0.75]).items():
+        if q1 is None:
+            continue
         out = out | F.coalesce((F.col(c) < q1 - 1.5 * (q3 - q1)) | (F.col(c) > q3 + 1.5 * (q3 - q1)), F.lit(False))
     score = F.lit(0.0)
     if label and numbers:

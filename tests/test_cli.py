@@ -9,7 +9,7 @@ def test_commands(spark, tmp_path, capsys):
     assert main(["analyze", f"{tmp_path}/t.parquet", "--key", "k", "--label", "y"]) == 0
     assert "overall" in capsys.readouterr().out
     assert main(["check", f"{tmp_path}/t.parquet", "--key", "k", "--least", "101"]) == 1
-    assert main(["fix", f"{tmp_path}/t.parquet", "--key", "k", "--to", f"{tmp_path}/clean"]) == 0
-    kept = {r.k for r in spark.read.parquet(f"{tmp_path}/clean").collect()}
+    assert main(["fix", f"{tmp_path}/t.parquet", "--key", "k", "--to", f"{tmp_path}/kept"]) == 0
+    kept = {r.k for r in spark.read.parquet(f"{tmp_path}/kept").collect()}
     assert 61 not in kept and 60 not in kept and 0 in kept
     assert main(["ask", f"{tmp_path}/t.parquet", "--key", "k", "--question", "how many outliers?"]) == 0
