@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, fresh, own_columns, slices, small_side, text_key
-from .nearness import Banding, as_long, finish64, long_lists, near_components
+from .nearness import Banding, as_long, distinct, finish64, long_lists, near_components
 
 SKETCH = "doc_id long, text_key long, node long, check long, n int, bands array<long>, sig array<long>"
 
@@ -42,7 +42,7 @@ def shingle_hashes(words: list[bytes], w: int) -> np.ndarray:
     for i in range(w):
         total = (total + h[i : len(h) - w + 1 + i]) * np.uint64(factor)
         total ^= total >> np.uint64(29)
-    return np.unique(finish64(total))
+    return distinct(finish64(total))
 
 
 def sketch_documents(docs: DataFrame, p: NearDedup) -> DataFrame:
@@ -101,9 +101,12 @@ def minhash_dedup(docs: DataFrame, params: NearDedup = NearDedup(), id_col: str
 
     hashes = lambda t: (shingle_hashes(words_of(t), w) >> np.uint64(32)).astype(np.uint32)
     parts = near_components(ranked, texts_for, lambda t: shingles(t, w), hashes, params.banding, scratch)
-    whole = classes.join(small_side(parts), "node", "left").select("node", "check", "first_id", F.coalesce("component", "node").alias("component"))
-    least = whole.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = scratch.save(whole.join(least, "component").select("node", "check", "component_id"), "named")
+    linked = small_side(parts.select(F.explode(F.array("node", "component")).alias("node"), "component").distinct())
+    near = classes.join(linked, "node").select("node", "check", "first_id", "component")
+    least = near.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    moved = small_side(near.join(small_side(least), "component").select("node", "check", "component_id"))
+    named = classes.join(moved, ["node", "check"], "left").select("node", "check", F.coalesce("component_id", "first_id").alias("component_id"))
+    named = scratch.save(named, "named")
     scratch.drop("classes", "components")
     out = rows.select("doc_id", "n", "node", "check", "text_key").join(named, ["node", "check"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

@@ -125,6 +125,12 @@ def finish64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Distinct values in order, by a sort, which is far faster here than NumPy's hash table."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def as_long(x: int) -> int:
     """The 64-bit number whose bits a signed long has."""
     return x - (1 << 64) if x >> 63 else x
