@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Rows that a broadcast side may have; larger sides are joined by a shuffle.
 BROADCAST_ROWS = 400_000
@@ -79,6 +80,24 @@ def text_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
+@F.arrow_udf(StringType())
+def cut_spans(texts: pa.Array, spans: pa.Array, in_bytes: pa.Array) -> pa.Array:
+    """Texts without spans (start, end), in ascending order, of bytes in UTF-8 or of characters; a null list leaves a text as it is."""
+    out = []
+    for text, cuts, raw in zip(texts, spans, in_bytes, strict=True):
+        whole = text.as_py()
+        if text.is_valid and cuts.is_valid:
+            source = whole.encode("utf-8", "surrogatepass") if raw.as_py() else whole
+            parts, at = [], 0
+            for s in cuts.as_py():
+                parts.append(source[at : s["start"]])
+                at = s["end"]
+            whole = source[:0].join([*parts, source[at:]])
+            whole = whole.decode("utf-8", "replace") if raw.as_py() else whole
+        out.append(whole)
+    return pa.array(out, pa.string())
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = 1024, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut to at most ``rows`` rows and, but for single longer texts, ``size`` bytes of a text column."""
     for batch in batches:

@@ -7,17 +7,16 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, own_columns
+from .common import Scratch, cut_spans, fresh, own_columns, slices, text_key
 
 #: A-Z in lower case; every other ASCII byte that is no letter or digit a blank.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: (window, item) rows that one broadcast may hold; more are looked for in so many passes.
 BLOCK_ROWS = 1_000_000
-HITS = "doc_id long, text_key binary, n_words long, spans array<struct<start:long,end:long,words:long>>, items array<long>"
+HITS = "doc_id long, text_key long, n_words long, spans array<struct<start:long,end:long,words:long>>, items array<long>"
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -88,9 +87,9 @@ def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 def _scan(source: DataFrame, windows, every_row: bool) -> DataFrame:
     def scan(batches):
         own = windows.value
-        for batch in batches:
+        for batch in slices(batches, 1):
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, text, key in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 words = words_of(text)
                 hit, items = own.find(words) if words else (np.zeros(0, bool), set())
                 if not (every_row or hit.any()):
@@ -101,13 +100,12 @@ def _scan(source: DataFrame, windows, every_row: bool) -> DataFrame:
                     a, b = word_bounds(raw.translate(FOLD))
                     edge = np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))
                     spans = [(int(a[i]), int(b[j - 1]), int(j - i)) for i, j in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
-                key = xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")) if text is not None else None
                 rows.append((doc_id, key, len(words), spans, sorted(items)))
             if rows:
                 d, k, n, s, i = zip(*rows, strict=True)
                 span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64())])
                 spans = pa.array([[dict(zip(("start", "end", "words"), x, strict=True)) for x in y] for y in s], pa.list_(span))
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(k, pa.binary()), pa.array(n, pa.int64()), spans, pa.array(i, pa.list_(pa.int64()))], ["doc_id", "text_key", "n_words", "spans", "items"])
+                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(k, pa.int64()), pa.array(n, pa.int64()), spans, pa.array(i, pa.list_(pa.int64()))], ["doc_id", "text_key", "n_words", "spans", "items"])
 
     return source.mapInArrow(scan, HITS)
 
@@ -115,19 +113,18 @@ def _scan(source: DataFrame, windows, every_row: bool) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Where windows of benchmark items occur in documents.
 
-    Returns a row for each document: doc_id, text_key (a digest of the text),
-    n_words, spans (byte offsets of runs of hit words in the UTF-8 text, and the
+    Returns a row for each document: doc_id, text_key (of id and text), n_words, spans (byte offsets of runs of hit words in the UTF-8 text, and the
     words in them) and items (sorted ids of the items whose windows occur).
     Words are runs of letters and digits, A-Z lower-cased, any character beyond
     ASCII a letter; a word inside any occurrence of a window is hit. The windows
     are counted first and broadcast in blocks of ``block_rows`` rows, each block
-    against all documents. Null and wordless texts have n_words 0; items without
+    against all documents; the next is collected when that pass is written. Null and wordless texts have n_words 0; items without
     id or words are left out; an empty benchmark hits nothing. Repeated rows
     are documents of their own; other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "windows")
-    source = own_columns(docs, doc_id=id_col, text=text_col)
+    source = own_columns(docs, doc_id=id_col, text=text_col).withColumn("text_key", text_key())
 
     def cut(batches):
         for batch in batches:
@@ -140,39 +137,34 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
     passes = []
     for k in range(blocks):
         own = windows.where(F.pmod(F.xxhash64("window", "item"), F.lit(blocks)) == k) if blocks > 1 else windows
-        held = Windows([(bytes(r["window"]), r["item"]) for r in own.collect()])
-        passes.append(_scan(source, spark.sparkContext.broadcast(held), k == 0))
-    if blocks == 1:
-        return passes[0]
-    first, *others = passes
+        held = spark.sparkContext.broadcast(Windows([(bytes(r["window"]), r["item"]) for r in own.toLocalIterator()]))
+        found = _scan(source, held, k == 0)
+        if blocks == 1:
+            return found
+        passes.append(scratch.save(found, f"pass-{k}"))
+        held.destroy()
+    first = passes[0]
     more = first.where(F.size("spans") > 0)
-    for other in others:
+    for other in passes[1:]:
         more = more.unionByName(other)
     met = more.select("doc_id", "text_key", F.explode("spans").alias("s"), "items")
     met = met.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("s")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("i"))
-    texts = source.where("text is not null").distinct()
+    met = scratch.save(met, "met")
 
     def merge(batches):  # overlapping spans of different blocks become one, its words counted anew
-        for batch in batches:
+        for batch in slices(batches, 4):
             rows = batch.to_pylist()
             for r in rows:
-                a, b = word_bounds(r["text"].encode("utf-8", "surrogatepass").translate(FOLD))
+                a, b = word_bounds(r.pop("text").encode("utf-8", "surrogatepass").translate(FOLD))
                 hit = np.zeros(len(a), bool)
                 for s in r["s"]:
                     hit[np.searchsorted(a, s["start"]) : np.searchsorted(b, s["end"]) + 1] = True
                 edge = np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))
                 r["s"] = [{"start": int(a[i]), "end": int(b[j - 1]), "words": int(j - i)} for i, j in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
-                del r["text"]
-            yield from pa.Table.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("s", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64())]))), ("i", pa.list_(pa.int64()))])).to_batches()
-
-    def keyed(batches):
-        for batch in batches:
-            keys = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), batch.column(1)], ["doc_id", "text_key", "text"])
+            yield from pa.Table.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("s", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64())]))), ("i", pa.list_(pa.int64()))])).to_batches()
 
-    texts = texts.mapInArrow(keyed, "doc_id long, text_key binary, text string")
-    met = met.alias("m").join(texts.alias("t"), F.expr("m.doc_id <=> t.doc_id and m.text_key = t.text_key")).select("m.doc_id", "m.text_key", "s", "i", "text")
-    met = met.mapInArrow(merge, "doc_id long, text_key binary, s array<struct<start:long,end:long,words:long>>, i array<long>")
+    texts = met.alias("m").join(source.alias("t"), F.expr("m.doc_id <=> t.doc_id and m.text_key = t.text_key")).select("m.doc_id", "m.text_key", "s", "i", "text")
+    met = texts.mapInArrow(merge, "doc_id long, text_key long, s array<struct<start:long,end:long,words:long>>, i array<long>").dropDuplicates(["doc_id", "text_key"])
     joined = first.select("doc_id", "text_key", "n_words").alias("f").join(met.alias("m"), F.expr("f.doc_id <=> m.doc_id and f.text_key = m.text_key"), "left")
     return joined.select("f.doc_id", "f.text_key", "n_words", F.coalesce("s", F.array()).cast("array<struct<start:bigint,end:bigint,words:bigint>>").alias("spans"), F.coalesce("i", F.array()).cast("array<bigint>").alias("items"))
 
@@ -180,28 +172,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, spans_only: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without contaminated documents, or, with ``spans_only``, without the hit spans of their texts.
 
-    Columns stay as they are. Rows with a null id or text are kept.
+    Columns stay as they are. Every row is judged by its own text, whether its
+    id is null or repeats; null texts are kept.
     """
     hits = contamination(docs, benchmark, n, id_col, text_col).where(F.size("spans") > 0)
-    hits = Scratch(docs.sparkSession, "hits").save(hits.select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans")).dropDuplicates(["__id"]), "hits")
-    key = docs[f"`{id_col}`"] == hits["__id"]
+    hits = hits.select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key"), "spans").dropDuplicates(["hit_id", "hit_key"])
+    hits = Scratch(docs.sparkSession, "hits").save(hits, "hits")
+    key = fresh(docs, "row_key")
+    marked = docs.withColumn(key, F.xxhash64(docs[f"`{id_col}`"], docs[f"`{text_col}`"]))
+    same = marked[f"`{id_col}`"].eqNullSafe(hits["hit_id"]) & (marked[key] == hits["hit_key"])
     if not spans_only:
-        return docs.join(hits.select("__id"), key, "left_anti")
-    joined = docs.join(hits, key, "left")
-
-    @F.pandas_udf("string")
-    def without(texts, spans):
-        import pandas as pd
-
-        def cut(text, spans):
-            if text is None or spans is None:
-                return text
-            raw, out, at = text.encode("utf-8", "surrogatepass"), [], 0
-            for s in spans:
-                out.append(raw[at : s["start"]])
-                at = s["end"]
-            return b"".join([*out, raw[at:]]).decode("utf-8", "replace")
-
-        return pd.Series([cut(t, s) for t, s in zip(texts, spans, strict=True)])
-
-    return joined.select(*[(without(joined[f"`{c}`"], joined["__spans"]) if c == text_col else joined[f"`{c}`"]).alias(c) for c in docs.columns])
+        return marked.join(hits.select("hit_id", "hit_key"), same, "left_anti").drop(key)
+    joined = marked.join(hits, same, "left")
+    spans = F.transform(hits["spans"], lambda s: F.struct(s["start"], s["end"]))
+    return joined.select(*[(cut_spans(marked[f"`{c}`"], spans, F.lit(True)) if c == text_col else marked[f"`{c}`"]).alias(c) for c in docs.columns])

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import own_columns
+from .common import own_columns, slices
 from .tokens import encoder
 
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -38,14 +38,14 @@ class Packer:
         self.p, self.sequence = p, first_sequence
         self.limit = np.array([p.tokens, p.segments, p.loss_tokens], np.float64)
         self.held: list[list] = []  # key, next token, tokens left, first loss-bearing token
-        self.demand = np.zeros((0, 3))
+        self.demand = np.zeros((p.window, 3))  # of the examples held, in the first rows
         self.left = self.limit.copy()
         self.open: list[tuple] = []
 
     def add(self, key, tokens: int, loss_from: int = 0):
         """Take an example; yields finished sequences as (sequence, [(key, start, length, offset)])."""
         self.held.append([key, 0, tokens, loss_from])
-        self.demand = np.vstack([self.demand, self._demand(self.held[-1])])
+        self.demand[len(self.held) - 1] = self._demand(self.held[-1])
         while len(self.held) >= self.p.window:
             yield from self._step()
 
@@ -77,8 +77,9 @@ class Packer:
 
     def _step(self):
         left = self.left / self.limit
-        fits = (self.demand <= left + 1e-12).all(axis=1)
-        score = self.demand @ left
+        demand = self.demand[: len(self.held)]
+        fits = (demand <= left + 1e-12).all(axis=1)
+        score = demand @ left
         if fits.any():
             i = int(np.argmax(np.where(fits, score, -1.0)))
             take = self.held[i][2]
@@ -99,9 +100,8 @@ class Packer:
             self.held[i] = [key, start + take, n - take, loss_from]
             self.demand[i] = self._demand(self.held[i])
         else:
-            self.held[i], self.demand[i] = self.held[-1], self.demand[-1]
+            self.held[i], self.demand[i] = self.held[-1], self.demand[len(self.held) - 1]
             self.held.pop()
-            self.demand = self.demand[:-1]
         if round(self.left[0]) == 0:
             yield self._close(self.open)
             self.open, self.left = [], self.limit.copy()
@@ -111,12 +111,12 @@ class Packer:
         return self.sequence - 1, pieces
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, params: Packing = Packing(), id_col: str = "doc_id", text_col: str = "text", loss_from_col: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, params: Packing = Packing(), id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None) -> DataFrame:
     """Pieces of all documents, each token in exactly one, with their place in sequences.
 
-    A document is its text's ids and then ``end_id``; a null text is empty.
-    ``loss_from_col`` names a column with the index of the first loss-bearing
-    token (null: 0). Returns doc_id, start (ids of the document before the
+    A document is its text's ids and then ``end_id``; a null text is empty. With
+    ``prompt_col`` the ids of that text come first and bear no loss; all others
+    do. Returns doc_id, start (ids of the document before the
     piece), length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id
     and offset. Every task packs the documents it reads, so nothing is
     shuffled and a task holds at most ``window`` documents; it leaves no partly
@@ -149,12 +149,13 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, params: Packing
             out.clear()
             return batch
 
-        for batch in batches:
-            loss = batch.column(2).to_pylist() if loss_from_col else [0] * batch.num_rows
-            for doc_id, text, loss_from in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), loss, strict=True):
-                ids = np.concatenate([enc.ids(text), end]).astype("<u4")
+        for batch in slices(batches, 1):
+            prompts = batch.column(2).to_pylist() if prompt_col else [None] * batch.num_rows
+            for doc_id, text, prompt in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), prompts, strict=True):
+                lead = enc.ids(prompt)
+                ids = np.concatenate([lead, enc.ids(text), end]).astype("<u4")
                 texts[key] = [doc_id, ids, len(ids)]
-                take(packer.add(key, len(ids), loss_from or 0))
+                take(packer.add(key, len(ids), len(lead)))
                 key += 1
                 if len(out) >= 2000:
                     yield rows()
@@ -162,5 +163,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, params: Packing
         if out:
             yield rows()
 
-    columns = {"doc_id": id_col, "text": text_col} | ({"loss_from": loss_from_col} if loss_from_col else {})
+    columns = {"doc_id": id_col, "text": text_col} | ({"prompt": prompt_col} if prompt_col else {})
     return own_columns(docs, **columns).mapInArrow(pack, PIECE)

@@ -13,7 +13,7 @@ from .common import Scratch
 from .decontamination import contamination
 from .line_dedup import line_classes
 from .minhash_dedup import NearDedup, minhash_dedup
-from .packing import pack_documents
+from .packing import Packing, pack_documents
 from .substring_dedup import repeated_passages
 from .token_files import read_ids, write_ids
 from .url_filter import judge_urls
@@ -86,12 +86,27 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exchanges of conversations, an assistant's turn after the turn before it, packed with loss on the assistant's tokens.
+
+    A sequence has at most 2048 tokens, 8 exchanges and 1024 tokens with loss. The
+    prompt is the text of the turn numbered one less (the smallest, where rows
+    repeat a turn; none, where there is none or conv_id is null). Null roles are
+    no assistant's, null texts are empty.
+    """
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    before = turns.groupBy("conv_id", (F.col("turn") + 1).alias("turn")).agg(F.min("text").alias("prompt"))
+    exchanges = turns.where("role = 'assistant'").join(before, ["conv_id", "turn"], "left")
+    pieces = pack_documents(exchanges, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, params=Packing(segments=8, loss_tokens=1024), id_col="conv_id", prompt_col="prompt")
+    return pieces.select(F.col("doc_id").alias("conv_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_classes(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"pack_conversations": pack_conversations}
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

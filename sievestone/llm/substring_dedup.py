@@ -18,11 +18,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, own_columns
+from .common import Scratch, cut_spans, fresh, own_columns, slices, text_key
 
 #: span: 0 for a unit, for a whole line the number of its units.
-UNIT = "doc_id long, unit int, span int, start long, length long, words int, d1 long, d2 long, again boolean"
+UNIT = "rank long, text_key long, unit int, span int, start long, length long, words int, d1 long, d2 long, again boolean"
 
+#: Rank of documents without an id, after all others: this number and some bits of the text's key. Ids are below it.
+LATE = 1 << 62
 #: Sets the digests of whole lines apart from those of units.
 LINE = np.int64(0x5851F42D4C957F2D)
 
@@ -114,16 +116,18 @@ def repeated_passages(docs: DataFrame, params: Passages = Passages(), id_col: st
     units the one of the smallest doc_id, and in it the first, is the one to
     keep. Neighbouring units to remove are one passage; of passages of fewer than
     ``least_words`` words those lines go that an earlier whole line equals, and
-    parts of lines stay. Null and empty texts and rows with a null id
-    have no units; rows that repeat an id count as one document. An empty table
-    gives no rows; other columns are ignored.
+    parts of lines stay. Null and empty texts have no units. Null ids come after
+    all others, in the order of text_key (of id and text, which the result has
+    too); a first_doc_id may be null then. Rows that repeat an id with different
+    texts keep what they share, as they rank the same, and lose what earlier ids
+    have. An empty table gives no rows; other columns are ignored.
     """
     return _passages(own_columns(docs, doc_id=id_col, text=text_col), params, Scratch(docs.sparkSession, "passages"))
 
 
 def packed(held: list[list[np.ndarray]]) -> pa.RecordBatch:
     columns = [pa.array(np.concatenate(c)) for c in zip(*held, strict=True)]
-    return pa.RecordBatch.from_arrays(columns, ["doc_id", "unit", "span", "start", "length", "words", "d1", "d2", "again"])
+    return pa.RecordBatch.from_arrays(columns, ["rank", "text_key", "unit", "span", "start", "length", "words", "d1", "d2", "again"])
 
 
 def neighbours(units: list[dict]) -> list[list[dict]]:
@@ -140,56 +144,58 @@ def neighbours(units: list[dict]) -> list[list[dict]]:
 def _passages(source: DataFrame, params: Passages, scratch: Scratch) -> DataFrame:
     reach, least = params.reach, params.least_words
 
+    rank = F.coalesce("doc_id", F.lit(LATE).bitwiseOR(F.shiftrightunsigned("text_key", 2)))
+
     def cut(batches):
-        for batch in batches:
+        for batch in slices(batches, 2):
             held: list[list[np.ndarray]] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if doc_id is None or not text:
-                    continue
+            for doc, key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 unit, span, a, n, words, d1, d2 = units_of(text, reach, least)
                 again = np.ones(len(d1), bool)
                 again[np.unique(d1, return_index=True)[1]] = False
-                held.append([np.full(len(a), doc_id, np.int64), unit.astype(np.int32), span.astype(np.int32), a.astype(np.int64), n.astype(np.int64), words.astype(np.int32), d1, d2, again])
-                if len(held) >= 1000:
-                    yield packed(held)
-                    held = []
-            if held:
-                yield packed(held)
-
-    units = scratch.save(source.mapInArrow(cut, UNIT), "units", compression="zstd")
-    groups = units.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last"), F.max("again").alias("again"))
-    groups = scratch.save(groups.where("last > first_doc_id or again").select("d1", "d2", "first_doc_id"), "groups")
-    gone = units.join(groups, ["d1", "d2"]).where("doc_id > first_doc_id or again")
+                held.append([np.full(len(a), doc, np.int64), np.full(len(a), key, np.int64), unit.astype(np.int32), span.astype(np.int32), a.astype(np.int64), n.astype(np.int64), words.astype(np.int32), d1, d2, again])
+            yield packed(held)
+
+    named = source.where("text <> ''").withColumn("text_key", text_key()).select(rank.alias("rank"), "text_key", "text")
+    units = scratch.save(named.mapInArrow(cut, UNIT), "units", compression="zstd")
+    groups = units.groupBy("d1", "d2").agg(F.min("rank").alias("first"), F.max("rank").alias("last"), F.max("again").alias("again"))
+    groups = scratch.save(groups.where("last > first or again").select("d1", "d2", "first"), "groups")
+    gone = units.join(groups, ["d1", "d2"]).where("rank > first or again")
     # a passage: neighbouring units to remove, told apart by unit number less rank
-    runs = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("unit", "span", "start", "length", "words", "first_doc_id"))).alias("u"))
+    runs = gone.groupBy("rank", "text_key").agg(F.array_sort(F.collect_set(F.struct("unit", "span", "start", "length", "words", "first"))).alias("u"))
+    doc_id = lambda c: F.when(F.col(c) < LATE, F.col(c))
+    runs = runs.select(doc_id("rank").alias("doc_id"), "text_key", F.transform("u", lambda u: u.withField("first", F.when(u["first"] < LATE, u["first"]))).alias("u"))
 
     def join(batches):
         for batch in batches:
             rows = []
-            for doc_id, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                lines = {u["unit"] + k: u["first_doc_id"] for u in found if u["span"] for k in range(u["span"])}
+            for doc_id, key, found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                lines = {u["unit"] + k: u["first"] for u in found if u["span"] for k in range(u["span"])}
                 for run in neighbours([u for u in found if not u["span"]]):
                     if sum(u["words"] for u in run) >= least:
-                        parts, first = [run], run[0]["first_doc_id"]
+                        parts, short = [run], False
                     else:
-                        parts, first = neighbours([u for u in run if u["unit"] in lines]), None
+                        parts, short = neighbours([u for u in run if u["unit"] in lines]), True
                     for part in parts:
-                        words = sum(u["words"] for u in part)
-                        rows.append((doc_id, part[0]["start"], part[-1]["start"] + part[-1]["length"] - part[0]["start"], words, lines[part[0]["unit"]] if first is None else first))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "n_words", "first_doc_id"])
+                        first = lines[part[0]["unit"]] if short else part[0]["first"]
+                        rows.append((doc_id, part[0]["start"], part[-1]["start"] + part[-1]["length"] - part[0]["start"], sum(u["words"] for u in part), first, key))
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "n_words", "first_doc_id", "text_key"])
 
-    return runs.mapInArrow(join, "doc_id long, start long, length long, n_words long, first_doc_id long")
+    return runs.mapInArrow(join, "doc_id long, start long, length long, n_words long, first_doc_id long, text_key long")
 
 
 def remove_passages(docs: DataFrame, params: Passages = Passages(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without repeated passages in their texts; columns stay as they are, null texts and ids too."""
+    """``docs`` without repeated passages in their texts; columns stay as they are.
+
+    Every row is cut by its own text's passages, whether its id is null or
+    repeats; null texts stay null.
+    """
     scratch = Scratch(docs.sparkSession, "passages")
     found = _passages(own_columns(docs, doc_id=id_col, text=text_col), params, scratch)
-    spans = found.groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("__spans"))
-    joined = docs.join(scratch.save(spans, "spans"), docs[f"`{id_col}`"] == F.col("__id"), "left")
-    text = F.col(f"`{text_col}`")
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    cut = F.aggregate("__spans", start, lambda s, x: F.struct(F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int"))).alias("out"), (x["start"] + x["length"]).alias("at")))
-    new = F.when(F.col("__spans").isNull() | text.isNull(), text).otherwise(F.concat(cut["out"], F.substring(text, (cut["at"] + 1).cast("int"), F.length(text))))
-    return joined.select(*[(new if c == text_col else joined[f"`{c}`"]).alias(c) for c in docs.columns])
+    spans = found.groupBy(F.col("text_key").alias("cut_key")).agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end")))).alias("spans"))
+    spans = scratch.save(spans, "spans")
+    key = fresh(docs, "row_key")
+    marked = docs.withColumn(key, F.xxhash64(docs[f"`{id_col}`"], docs[f"`{text_col}`"]))
+    joined = marked.join(spans, marked[key] == spans["cut_key"], "left")
+    return joined.select(*[(cut_spans(marked[f"`{c}`"], spans["spans"], F.lit(False)) if c == text_col else marked[f"`{c}`"]).alias(c) for c in docs.columns])

@@ -9,8 +9,8 @@ without any change of the ids; both are told from the tokenizer's own file:
 - "dropped": white space is collapsed and removed before the model. A piece is
   a word.
 
-A text with white space that these rules don't cover, and any other tokenizer,
-is encoded whole.
+A text with white space that these rules don't cover, one that holds the string
+of an added token, and any other tokenizer, is encoded whole.
 """
 
 from __future__ import annotations
@@ -59,13 +59,14 @@ class _Pieces(dict):
 
 
 class Encoder:
-    """``ids(text)``: token ids as a NumPy array; strings of special tokens in a text are ordinary text."""
+    """``ids(text)``: the ids that the library gives for a whole text without its own special tokens around it, as a NumPy array."""
 
     def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))), re.IGNORECASE) if added else None
         self.kind = self._kind(json.loads(self.tokenizer.to_str()))
         self.type = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.code = "H" if self.type is np.uint16 else "I"
@@ -91,6 +92,8 @@ class Encoder:
         return np.frombuffer(self._bytes(text), self.type)
 
     def _bytes(self, text: str) -> bytes:
+        if self.added and self.added.search(text):
+            return self._whole(text)
         if self.kind == "dropped" and not re.search(r"[^\S \n\t\r]", text):
             return b"".join(map(self.first.__getitem__, (text.lower() if text.isascii() else text).split()))
         if self.kind == "led" and not re.search(r"\s\s|[^\S \n]", text):

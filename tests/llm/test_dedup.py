@@ -126,11 +126,11 @@ def test_lines_match_brute_force(spark):
     rows = lines.line_classes(df).collect()
     assert sorted(((r.doc_id, r.line, r.class_doc_id, r.class_line) for r in rows), key=str) == sorted(want, key=str)
     assert sum(r.kept for r in rows) == len(best)
-    cleaned = lines.dedup_lines(df.withColumnRenamed("component", "row_key").withColumnRenamed("n", "gone")).collect()
-    assert sorted(str((r.doc_id, r.text)) for r in cleaned if r.doc_id in (50, 52, None, 3, 60) and r.text != texts[3][1]) == sorted(
-        str(x) for x in [(50, None), (52, "\n\n"), (None, ""), (None, ""), (3, alone), (3, None), (60, "ab\nxy")] + [(3, r.text) for r in cleaned if r.doc_id == 3 and r.text and r.text != alone]
+    done = lines.dedup_lines(df.withColumnRenamed("component", "row_key").withColumnRenamed("n", "gone")).collect()
+    assert sorted(str((r.doc_id, r.text)) for r in done if r.doc_id in (50, 52, None, 3, 60) and r.text != texts[3][1]) == sorted(
+        str(x) for x in [(50, None), (52, "\n\n"), (None, ""), (None, ""), (3, alone), (3, None), (60, "ab\nxy")] + [(3, r.text) for r in done if r.doc_id == 3 and r.text and r.text != alone]
     )
-    by_id = {r.doc_id: r.text for r in cleaned}
+    by_id = {r.doc_id: r.text for r in done}
     assert by_id[0] == texts[0][1] and len(by_id[2].split("\n")) == len(texts[2][1].split("\n")) - 1
     assert lines.line_classes(df.limit(0)).count() == 0 and lines.dedup_lines(df).columns == df.columns
 
@@ -145,13 +145,13 @@ def test_passages_are_found_wherever_they_stand(spark):
     texts += [(30, None), (31, ""), (None, passage), (32, "the " * 400), (33, "é " + texts[0][1])]
     df = table(spark, texts)
     rows = passages.repeated_passages(df).collect()
-    assert {r.doc_id for r in rows} == {9, 15, 32, 33}
+    assert {r.doc_id for r in rows} == {9, 15, 32, 33, None}  # ids that are null come last
     text = dict(texts)
     for r in rows:
         if r.doc_id in (9, 15):
             assert text[r.doc_id][r.start : r.start + r.length] in passage and r.n_words >= 25 and r.first_doc_id == 4
-    cleaned = {r.doc_id: r.text for r in passages.remove_passages(df).collect()}
-    assert cleaned[4] == text[4] and cleaned[30] is None and len(cleaned[9]) < len(text[9]) and cleaned[33].startswith("é")
+    done = {r.doc_id: r.text for r in passages.remove_passages(df.withColumnRenamed("n", "spans").withColumnRenamed("node", "row_key")).collect()}
+    assert done[4] == text[4] and done[30] is None and len(done[9]) < len(text[9]) and done[33].startswith("é") and len(done[None]) < 100
     assert passages.repeated_passages(df.limit(0)).count() == 0 and passages.remove_passages(df).columns == df.columns
 
 
@@ -183,5 +183,17 @@ def test_short_lines_match_brute_force(spark):
     got = passages.repeated_passages(table(spark, texts)).collect()
     assert {(r.doc_id, r.start, r.length, r.n_words, r.first_doc_id) for r in got} == want and len(got) == len(want)
     assert {n for _, _, _, n, _ in want} >= {1, 2, 8, 13, 19}
-    cleaned = {r.doc_id: r.text for r in passages.remove_passages(table(spark, texts)).collect()}
-    assert all(len(cleaned[i]) == len(t) - sum(w[2] for w in want if w[0] == i) for i, t in texts)
+    done = {r.doc_id: r.text for r in passages.remove_passages(table(spark, texts)).collect()}
+    assert all(len(done[i]) == len(t) - sum(w[2] for w in want if w[0] == i) for i, t in texts)
+
+
+def test_removal_judges_every_row_by_its_own_text(spark):
+    rng = np.random.default_rng(9)
+    a, b, c = (" ".join(words(rng, 30)) for _ in range(3))
+    rows = [(1, a), (2, f"{a} {b}"), (2, c), (None, f"{c} {a}"), (None, " ".join(words(rng, 8))), (None, None)]
+    got = passages.remove_passages(table(spark, rows)).collect()
+    left = sorted((str(r.doc_id), len(r.text or "")) for r in got)
+    assert ("1", len(a)) in left and ("2", len(c)) in left and len(got) == len(rows)
+    assert [r.text for r in got if r.doc_id == 2 and r.text != c][0].strip().endswith(b[-20:])
+    gone = near.keep_one(table(spark, [(1, a), (2, a), (2, c), (3, c)]), near.NearDedup()).collect()
+    assert sorted((r.doc_id, r.text) for r in gone) == sorted([(1, a), (2, c)])

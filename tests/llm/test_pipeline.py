@@ -18,7 +18,7 @@ def test_stages(spark, tmp_path):
     assert len(pieces) == before and all(r["sum(length)"] == r["max(doc_tokens)"] for r in pieces)
 
 
-def test_near_copies_go_and_clean_documents_stay(spark):
+def test_near_copies_go_and_other_documents_stay(spark):
     text = " ".join(f"word{i}" for i in range(80))
     rows = [(1, text, "en", "s", len(text)), (2, text + " end", "en", "s", len(text) + 4), (3, "another text altogether, quite short", "en", "s", 36), (4, None, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")

@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from sievestone.llm import token_files as files
 from sievestone.llm.common import Scratch
@@ -15,6 +16,7 @@ from sievestone.llm.packing import Packer, Packing, pack_documents
 from sievestone.llm.tokens import Encoder, encoder
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
+FRESH = {path: Tokenizer.from_file(path) for path in (WORD, BYTE)}
 ODD = ["", None, " ", "\n", "a", "Hello, world!! It's 1999.\nNew  line\t tab", "Éa être ç'est İstanbul ΣΑΣ", "x y z　w \x1c a\x1fb", "word&&& ###token$$$ <|endoftext|> |", "don't we'll I'M 'S it's", "日本語 テスト ok", "é café ́x", " lead trail ", "a\n\nb\n c \nd", "\r\nx\ry"]
 
 
@@ -24,9 +26,10 @@ def test_kinds_are_told_from_the_files():
 
 @pytest.mark.parametrize("path", [WORD, BYTE])
 def test_pieces_give_the_tokenizers_ids(path):
-    e = Encoder(path, limit=8)  # emptied again and again
-    for text in ODD:
-        assert e.ids(text).tolist() == (e.tokenizer.encode(text, add_special_tokens=False).ids if text else [])
+    e, fresh = Encoder(path, limit=8), Tokenizer.from_file(path)  # emptied again and again
+    for text in [*ODD, "a <|endoftext|> b", "<|endoftext|>", "x<|STARTOFTEXT|><|startoftext|>y"]:
+        assert e.ids(text).tolist() == (fresh.encode(text, add_special_tokens=False).ids if text else [])
+    assert 49407 in encoder(WORD).ids("a <|endoftext|> b") and 50256 in encoder(BYTE).ids("a <|endoftext|> b")
 
 
 @settings(max_examples=150, deadline=None)
