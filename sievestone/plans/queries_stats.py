@@ -192,7 +192,9 @@ def labeler_trend(spark, d):
     return annotators.half_trend(rated(spark, d), "annotator_id")
 
 
-@query("labeler_routing")
+@query("labeler_routing", f"""with a as ({RATED}), m as (select annotator_id, coalesce(avg((label = ground_truth)::int), 0.5) as accuracy from a group by 1), c as (select annotator_id, avg(s) as consistency from (select annotator_id, category, max(c) / sum(c) as s from (select annotator_id, category, label, count(*) as c from a group by 1, 2, 3) group by 1, 2) group by 1),
+    k as (select annotator_id, category, avg((label = ground_truth)::int) as own from a group by 1, 2 having count(*) >= 5), x as (select q.category, m.annotator_id, 0.4 * accuracy + 0.2 * consistency + 0.1 + coalesce(0.3 * own, 0.15) as score from (select distinct category from a) q cross join m join c on c.annotator_id = m.annotator_id left join k on k.annotator_id = m.annotator_id and k.category = q.category),
+    r as (select *, row_number() over (partition by category order by score desc, annotator_id)::int as rank from x) select sample_id, r.annotator_id, score, rank from a join r using (category) where rank <= 2""", "score")
 def labeler_routing(spark, d):
     a = rated(spark, d)
     m = annotators.labeler_metrics(a, "annotator_id", "sample_id").join(annotators.category_consistency(a, "annotator_id"), "annotator_id")
@@ -216,13 +218,15 @@ def synthetic_correlations(spark, d):
     return synthetic.correlation_gaps(x.where("l_orderkey % 2 = 0"), x.where("l_orderkey % 2 = 1"), ["l_quantity", "l_extendedprice"])
 
 
-@query("synthetic_memorisation")
+@query("synthetic_memorisation", """with b as (select avg(c_acctbal) m, stddev_samp(c_acctbal) s, avg(c_nationkey) n, stddev_samp(c_nationkey) r from customer where c_custkey % 2 = 0), v as (select c_custkey as k, (c_acctbal - m) / s as x, (c_nationkey - n) / r as y from customer, b),
+    d as (select a.k, min(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) as d from v a, v b where a.k % 3 = 0 and b.k % 2 = 0 group by 1) select count(*) as rows, count(*) filter (d < 0.1) as copied, avg((d < 0.1)::int) as rate, greatest(0, 100 - 200 * avg((d < 0.1)::int)) as privacy from d""", "rate privacy")
 def synthetic_memorisation(spark, d):
     c = t(spark, d, "customer")
     return synthetic.memorisation(c.where("c_custkey % 2 = 0"), c.where("c_custkey % 3 = 0"), "c_custkey", ["c_acctbal", "c_nationkey"])
 
 
-@query("synthetic_diversity")
+@query("synthetic_diversity", """with v as (select c_custkey as k, (c_acctbal - avg(c_acctbal) over ()) / stddev_samp(c_acctbal) over () as x, (c_nationkey - avg(c_nationkey) over ()) / stddev_samp(c_nationkey) over () as y from customer), d as (select a.k, min(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) as d from v a join v b on a.k <> b.k group by 1)
+    select least(100, 50 * avg(d)) as diversity from d""", "diversity")
 def synthetic_diversity(spark, d):
     return synthetic.diversity(t(spark, d, "customer"), "c_custkey", ["c_acctbal", "c_nationkey"])
 

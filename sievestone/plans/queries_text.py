@@ -53,7 +53,24 @@ def toxic_documents(spark, d):
     return t(spark, d, "documents").where(texts.any_match(F.col("text"), texts.TOXIC)).select("doc_id")
 
 
-@query("response_scores")
+def _any(c: str, patterns: list[str]) -> str:
+    quoted = [p.replace("'", "''") for p in patterns]
+    return "(" + " or ".join(f"regexp_matches({c}, '{p}')" for p in quoted) + ")"
+
+
+def _words(c: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower({c}), '\\s+'), lambda w: w <> '')"
+
+
+FILL = " + ".join(f"(length(lower(r)) - length(replace(lower(r), '{p}', ''))) // {len(p)}" for p in texts.FILLERS)
+UNCERTAIN = " or ".join("contains(lower(r), '" + p.replace("'", "''") + "')" for p in texts.UNCERTAIN)
+RESPONSES = f"""with p as (select conv_id, turn, coalesce(instruction, '') as i, coalesce(response, '') as r from ({PAIRS})), w as (select *, {_words('r')} as rw, list_filter(list_distinct({_words('i')}), lambda w: not list_contains({texts.STOP_WORDS}, w)) as asked from p),
+    s as (select conv_id, turn, (case when length(r) < 20 then 0.3 when length(r) < 50 then 0.6 else 1.0 end) * (case when coalesce(({FILL}) / nullif(len(rw), 0), 0) > 0.5 then 0.7 else 1.0 end) * (case when len(asked) = 0 or len(list_intersect(asked, rw)) / greatest(len(asked), 1) > 0.1 then 1.0 else 0.5 end) * (case when {_any('r', texts.REFUSAL)} then 0.8 else 1.0 end) as helpfulness,
+      (case when {_any('r', texts.TOXIC)} then 0.3 else 1.0 end) * (case when {_any('r', texts.LEAKS)} then 0.5 else 1.0 end) * (case when {_any('lower(r)', texts.HARMFUL)} then 0.2 else 1.0 end) as harmlessness, case when {_any('r', [texts.OVERCONFIDENT])} and not ({UNCERTAIN}) then 0.8 else 1.0 end as honesty, {_any('i', texts.INJECTION)} as injection, {_any('i', texts.JAILBREAK)} as jailbreak from w)
+    select *, 0.4 * helpfulness + 0.4 * harmlessness + 0.2 * honesty as overall from s"""
+
+
+@query("response_scores", RESPONSES, "helpfulness harmlessness honesty overall")
 def response_scores(spark, d):
     return texts.evaluate_responses(pairs(spark, d), ["conv_id", "turn"])
 
@@ -94,7 +111,20 @@ def lexical_diversity(spark, d):
     return texts.lexical_diversity(t(spark, d, "documents"), ["text"])
 
 
-@query("instruction_metrics")
+def _hits(test) -> str:
+    return " + ".join(test(c) for c in ("instruction", "response"))
+
+
+METRICS = f"""with p as ({PAIRS}), m as (select avg((case when length(instruction) < 10 then 0.5 when length(instruction) > 2000 then 0.8 else 1.0 end) * (case when regexp_matches(rtrim(instruction), '[.?!]$') then 1.0 else 0.9 end) * (case when regexp_matches(trim(lower(instruction)), '^({'|'.join(texts.QUESTION_WORDS)})') and not contains(instruction, '?') then 0.85 else 1.0 end)
+      * greatest(0.5, 1 - 0.1 * ({' + '.join(f"contains(lower(instruction), '{v}')::int" for v in texts.VAGUE)}))) as clarity,
+    avg(case when length(trim(response)) = 0 then 0 when length(trim(response)) < 10 then 0.3 when length(trim(response)) < 50 then 0.6 when length(trim(response)) < 200 then 0.85 else 1 end) as completeness,
+    1 - sum({_hits(lambda c: f"coalesce({_any(f'lower({c})', texts.TOXIC_TERMS)}, false)::int")}) / (count(instruction) + count(response)) as toxicity,
+    1 - least(1, 10 * sum({_hits(lambda c: ' + '.join(f"coalesce({_any(c, [p])}, false)::int" for p in texts.PII_RATE))}) / (count(instruction) + count(response))) as pii,
+    1 - (0.4 * (1 - count(distinct instruction) / count(*)) + 0.2 * (1 - count(distinct response) / count(*)) + 0.4 * (1 - count(distinct (instruction, response)) / count(*))) as duplicates from p), s as (select *, 100 * (1.5 * clarity + 1.5 * completeness + 2 * toxicity + 2 * pii + duplicates) / 8 as score from m)
+    select *, case when score >= 90 then 'A' when score >= 80 then 'B' when score >= 70 then 'C' when score >= 60 then 'D' else 'F' end as grade from s"""
+
+
+@query("instruction_metrics", METRICS, "clarity completeness toxicity pii duplicates score")
 def instruction_metrics(spark, d):
     return texts.instruction_metrics(pairs(spark, d))
 
