@@ -1,4 +1,10 @@
-"""Nearest neighbours by vantage-point trees, one for each shard of the vectors."""
+"""Nearest neighbours by vantage-point trees, one for each shard of the vectors.
+
+Vectors are dealt to the nearest of a bounded number of pivots, and the cells so
+made cut into shards, each with a tree. A query first searches its nearest cell;
+the k-th distance found there rules out, by the triangle inequality, all cells
+that lie further off than it, before a tree of theirs is opened.
+"""
 
 from __future__ import annotations
 
@@ -8,9 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, own_columns
+from .common import Scratch, grouped, own_columns
 
 SHARD_ROWS = 4096
+#: Most pivots, for all lengths of vectors together, drawn from that many times PIVOT_POOL sampled rows; every row is indexed.
+CELLS, PIVOT_POOL = 1024, 4
 BLOCK_QUERIES = 256
 LEAF = 64
 _NODE = np.dtype([("point", "<i4"), ("radius", "<f8"), ("near", "<i4"), ("far", "<i4"), ("start", "<i4"), ("end", "<i4")])
@@ -61,15 +69,14 @@ def build(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([tuple(n) for n in nodes], _NODE), order
 
 
-def search(nodes: np.ndarray, points: np.ndarray, ids: np.ndarray, q: np.ndarray, own: int, k: int, relax: float) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest points of other ids, nearest first, ties to the smaller id.
+def search(nodes: np.ndarray, points: np.ndarray, ids: np.ndarray, q: np.ndarray, own: int, k: int, relax: float, tau: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest points of other ids within ``tau``, nearest first, ties to the smaller id.
 
     ``points`` and ``ids`` lie in tree order. A branch is left out if its least
     possible distance, times ``relax``, exceeds the k-th best: 1 is exact, more
     prunes more.
     """
     best_d, best_i = np.zeros(0), np.zeros(0, np.int64)
-    tau = np.inf
     todo = [(0.0, 0)]
     while todo:
         bound, at = todo.pop()
@@ -84,7 +91,7 @@ def search(nodes: np.ndarray, points: np.ndarray, ids: np.ndarray, q: np.ndarray
                 order = np.lexsort((best_i, best_d))[:k]
                 best_d, best_i = best_d[order], best_i[order]
                 if len(best_d) == k:
-                    tau = best_d[-1]
+                    tau = min(tau, best_d[-1])
             continue
         d = float(distances(points[point : point + 1], q)[0])
         branches = [(max(bound, d - radius), near), (max(bound, radius - d), far)]
@@ -92,26 +99,79 @@ def search(nodes: np.ndarray, points: np.ndarray, ids: np.ndarray, q: np.ndarray
     return best_d, best_i
 
 
-def index_vectors(vectors: DataFrame, scratch: Scratch, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """A row for each shard and vector length: ids, vectors and tree. Shards are dealt by row number, so repeats don't gather in one."""
+class Cells:
+    """Pivots by length of vectors; once rows are dealt, of each cell its radius about the pivot, rows and shards."""
+
+    def __init__(self, sample: list[list[float]], cells: int):
+        self.pivots: dict[int, np.ndarray] = {}
+        share = cells / max(1, len(sample))
+        for n in sorted({len(v) for v in sample}):
+            own = np.unique(np.array([v for v in sample if len(v) == n], np.float64), axis=0)
+            most = max(1, int(share * sum(len(v) == n for v in sample)))
+            self.pivots[n] = own[np.random.default_rng(n).permutation(len(own))[:most]]
+        self.known: dict[tuple[int, int], tuple[float, int, int]] = {}
+
+    def deal(self, v: np.ndarray) -> tuple[int, float]:
+        """The cell of a vector and its distance to the pivot; lengths without pivots have one cell of any radius."""
+        if (pivots := self.pivots.get(len(v))) is None:
+            return 0, np.inf
+        d = distances(pivots, v)
+        return int(d.argmin()), float(d.min())
+
+    def near(self, q: np.ndarray, own: int, k: int) -> list[int]:
+        """The nearest cells that together have over k rows."""
+        size, rows, out = len(q), 0, []
+        order = np.argsort(distances(self.pivots[size], q), kind="stable") if size in self.pivots else [0]
+        for cell in map(int, order):
+            if (known := self.known.get((size, cell))) is not None:
+                out.append(cell)
+                rows += known[1]
+                if rows > k:
+                    break
+        return out
+
+    def within(self, q: np.ndarray, tau: float, relax: float) -> list[int]:
+        """The cells whose nearest point may lie within ``tau``; ``relax`` over 1 leaves more of them out."""
+        size = len(q)
+        d = distances(self.pivots[size], q) if size in self.pivots else np.zeros(1)
+        return [c for c in range(len(d)) if (known := self.known.get((size, c))) is not None and (d[c] - known[0]) * relax <= tau * (1 + 1e-9) + 1e-9 * (1 + d[c])]
+
+
+def index_vectors(vectors: DataFrame, scratch: Scratch, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, Cells]:
+    """A row for each shard (size, cell, shard): ids, vectors and tree; and the cells.
+
+    Rows of a cell are dealt to its shards by row number, so that a cell of very
+    many copies is spread like any other.
+    """
     count = vectors.count()
-    shards = max(1, -(-count // shard_rows))
-    dealt = scratch.save(vectors.withColumn("shard", F.pmod(F.monotonically_increasing_id() + F.shiftright(F.monotonically_increasing_id(), 33) * 7919, F.lit(shards))), "dealt")
+    few = max(1, min(CELLS, -(-count // shard_rows)))
+    pool = vectors.orderBy(F.xxhash64("vec_id", F.lit(5))).limit(PIVOT_POOL * few).select("v")  # a bounded sample
+    cells = Cells([r["v"] for r in pool.collect()], few)
+
+    def deal(batches):
+        for batch in batches:
+            found = [(len(v), *cells.deal(np.array(v, np.float64))) for v in batch.column(1).to_pylist()]
+            size, cell, far = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int32()), pa.array(cell, pa.int32()), pa.array(far, pa.float64())], ["vec_id", "v", "size", "cell", "far"])
+
+    dealt = scratch.save(vectors.mapInArrow(deal, "vec_id long, v array<double>, size int, cell int, far double").withColumn("row", F.monotonically_increasing_id()), "dealt")
+    for r in dealt.groupBy("size", "cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect():  # a row for each pivot, or length without
+        cells.known[r["size"], r["cell"]] = (r["far"], r["n"], -(-r["n"] // shard_rows))
+    shards = vectors.sparkSession.createDataFrame([(n, c, s) for (n, c), (_, _, s) in cells.known.items()], "size int, cell int, shards long")
+    dealt = dealt.join(F.broadcast(shards), ["size", "cell"]).withColumn("shard", F.pmod(F.xxhash64("row"), "shards").cast("int"))
 
     def plant(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for n, own in pdf.groupby(pdf["v"].map(len)):
-            points = np.array(own["v"].tolist(), np.float64)
-            ids = own["vec_id"].to_numpy(np.int64)
-            nodes, order = build(points)
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            inner = nodes["point"] >= 0
-            nodes["point"][inner] = place[nodes["point"][inner]]
-            rows.append((int(pdf["shard"].iloc[0]), int(n), ids[order].astype("<i8").tobytes(), points[order].astype("<f8").tobytes(), nodes.tobytes()))
-        return pd.DataFrame(rows, columns=["shard", "size", "ids", "points", "nodes"])
+        points, ids = np.array(pdf["v"].tolist(), np.float64), pdf["vec_id"].to_numpy(np.int64)
+        nodes, order = build(points)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        inner = nodes["point"] >= 0
+        nodes["point"][inner] = place[nodes["point"][inner]]
+        key = [int(pdf[c].iloc[0]) for c in ("size", "cell", "shard")]
+        return pd.DataFrame([(*key, ids[order].astype("<i8").tobytes(), points[order].astype("<f8").tobytes(), nodes.tobytes())], columns=["size", "cell", "shard", "ids", "points", "nodes"])
 
-    return scratch.save(dealt.groupBy("shard").applyInPandas(plant, "shard long, size int, ids binary, points binary, nodes binary"), "index")
+    planted = dealt.groupBy("size", "cell", "shard").applyInPandas(plant, "size int, cell int, shard int, ids binary, points binary, nodes binary")
+    return scratch.save(planted, "index"), cells
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, relax: float = 1.0, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -122,47 +182,59 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, relax: float =
     Vectors and queries that are null, empty, zero or hold null or non-finite
     components take no part; vectors of another length than the query's are no
     candidates. Repeated ids are candidates of their own; of a query id that is
-    repeated, one vector is asked, the smallest. ``relax`` 1 searches exactly. Queries
-    go in blocks to every shard; of each shard's answers k a query are shuffled.
+    repeated, one vector is asked, the smallest. ``relax`` 1 searches exactly. Of
+    each shard's answers k a query are shuffled.
     """
-    spark = vectors.sparkSession
-    scratch = Scratch(spark, "vectors")
-    index = index_vectors(valid(own_columns(vectors, vec_id=id_col, v=vector_col)), scratch, shard_rows)
+    scratch = Scratch(vectors.sparkSession, "vectors")
+    index, cells = index_vectors(valid(own_columns(vectors, vec_id=id_col, v=vector_col)), scratch, shard_rows)
     asked = valid(own_columns(queries, vec_id=id_col, v=vector_col)).groupBy("vec_id").agg(F.min("v").alias("v"))
-    shards = index.select("shard", "size").distinct()
+    asked = scratch.save(asked.withColumn("tau", F.lit(float("inf"))), "queries")
+    route = "size int, cell int, shard int, salt int, query_id long, v array<double>, tau double"
 
-    def block(batches):
-        held: dict[int, list] = {}
-
-        def out(n):
-            ids, vs = zip(*held.pop(n), strict=True)
-            return pd.DataFrame([(n, np.array(ids, "<i8").tobytes(), np.array(vs, "<f8").tobytes())], columns=["size", "query_ids", "queries"])
-
-        for pdf in batches:
-            for i, v in zip(pdf["vec_id"], pdf["v"], strict=True):
-                held.setdefault(len(v), []).append((i, v))
-                if len(held[len(v)]) >= BLOCK_QUERIES:
-                    yield out(len(v))
-        for n in list(held):
-            yield out(n)
-
-    blocks = scratch.save(asked.mapInPandas(block, "size int, query_ids binary, queries binary"), "queries")
-    pairs = blocks.join(F.broadcast(shards) if shards.count() <= 1_000_000 else shards, "size")  # each block of queries with every shard
+    def routed(batches, second: bool):
+        for batch in batches:
+            out: list[tuple] = []
+            for i, v, tau in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                q = np.array(v, np.float64)
+                first = cells.near(q, i, k)
+                for cell in (c for c in cells.within(q, tau, relax) if c not in first) if second else first:
+                    out += [(len(q), cell, shard, i % 64, i, v, tau) for shard in range(cells.known[len(q), cell][2])]
+            columns = list(zip(*out, strict=True)) or [()] * 7
+            types = [pa.int32()] * 4 + [pa.int64(), pa.list_(pa.float64()), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["size", "cell", "shard", "salt", "query_id", "v", "tau"])
+
+    def blocks(batches):
+        for g in grouped(batches, 4):
+            for at in range(0, g.num_rows, BLOCK_QUERIES):
+                part = g.slice(at, BLOCK_QUERIES)
+                one = [c.slice(0, 1) for c in part.columns[:3]]
+                packed = [part.column(4).to_numpy().astype("<i8"), part.column(5).flatten().to_numpy().astype("<f8"), part.column(6).to_numpy().astype("<f8")]
+                yield pa.RecordBatch.from_arrays([*one, *(pa.array([x.tobytes()], pa.binary()) for x in packed)], ["size", "cell", "shard", "query_ids", "queries", "taus"])
 
     def answer(batches):
         for batch in batches:
             for r in batch.to_pylist():
                 n = r["size"]
                 ids, points, nodes = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["points"], "<f8").reshape(-1, n), np.frombuffer(r["nodes"], _NODE)
-                asked_ids, asked = np.frombuffer(r["query_ids"], "<i8"), np.frombuffer(r["queries"], "<f8").reshape(-1, n)
+                asked_ids, asked, taus = np.frombuffer(r["query_ids"], "<i8"), np.frombuffer(r["queries"], "<f8").reshape(-1, n), np.frombuffer(r["taus"])
                 q, v, d = [], [], []
                 for i in range(len(asked)):
-                    best, who = search(nodes, points, ids, asked[i], asked_ids[i], k, relax)
+                    best, who = search(nodes, points, ids, asked[i], asked_ids[i], k, relax, taus[i])
                     q.append(np.full(len(who), asked_ids[i]))
                     v.append(who)
                     d.append(best)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (q, v, d)], ["query_id", "vec_id", "score"])
 
-    found = pairs.join(index, ["shard", "size"]).mapInArrow(answer, "query_id long, vec_id long, score double")
+    def ask(rows: DataFrame, second: bool) -> DataFrame:
+        keys = ["size", "cell", "shard"]
+        dealt = rows.mapInArrow(lambda batches: routed(batches, second), route).repartition(*keys, "salt").sortWithinPartitions(*keys, "salt")
+        packed = dealt.mapInArrow(blocks, "size int, cell int, shard int, query_ids binary, queries binary, taus binary")
+        return packed.join(index, keys).select("size", "ids", "points", "nodes", "query_ids", "queries", "taus").mapInArrow(answer, "query_id long, vec_id long, score double")
+
     place = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = lambda found: found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+    first = scratch.save(best(ask(asked, False)), "first")
+    far = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("kth"))
+    known = asked.join(far, "vec_id", "left").select("vec_id", "v", F.coalesce("kth", "tau").alias("tau"))
+    found = first.select("query_id", "vec_id", "score").unionByName(ask(known, True))
+    return best(found).select("query_id", "rank", "vec_id", "score")

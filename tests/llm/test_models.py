@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievestone.llm import decontamination as decon
-from sievestone.llm import language_id, quality, queries
+from sievestone.llm import language_id, quality, queries, vector_search
 from sievestone.llm.url_filter import judge_urls
 from sievestone.llm.vector_search import nearest
 
@@ -90,6 +90,24 @@ def test_vector_search_is_exact_at_factor_one(spark, shard_rows):
     assert nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_far_cells_are_left_out():
+    rng = np.random.default_rng(4)
+    homes = 100 * rng.normal(size=(40, 5))
+    points = [(homes[i % 40] + rng.normal(size=5)).tolist() for i in range(4000)]
+    cells = vector_search.Cells(points[:400], 40)
+    for v in points:
+        cell, far = cells.deal(np.array(v))
+        old = cells.known.get((5, cell), (0.0, 0, 1))
+        cells.known[5, cell] = (max(old[0], far), old[1] + 1, 1)
+    x, opened = np.array(points), []
+    for q in points[::100]:
+        tau = np.sort(np.linalg.norm(x - np.array(q), axis=1))[10]
+        within = cells.within(np.array(q), tau, 1.0)
+        assert {cells.deal(v)[0] for v in x[np.linalg.norm(x - np.array(q), axis=1) <= tau]} <= set(within)
+        opened.append(len(within) / len(cells.known))
+    assert np.mean(opened) < 0.2
+
+
 def test_relaxed_search_keeps_recall(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet")
     ask = e.where("vec_id % 20 = 0")
@@ -118,6 +136,92 @@ def test_quality_edges(spark):
     assert quality.score(docs.limit(0), model).count() == 0
 
 
+def test_risk_gradients_match_finite_differences():
+    rng = np.random.default_rng(2)
+    draw = lambda n, shift: (rng.normal(shift, 1, (n, quality.N_FEATURES)).astype(np.float32), rng.integers(0, 256, (n, quality.BUCKETS // 8), dtype=np.uint8))
+    positive, unlabelled, p = draw(30, 0.5), draw(50, 0.0), quality.PuLearning(hidden=3)
+    for prior, steps in ((0.4, 0), (0.95, 150)):  # the second time the negatives' risk falls below zero
+        adam = quality.Adam(quality.Model.new(unlabelled[0], p))
+        adam.model.weights[4] = rng.normal(0, 0.1, quality.BUCKETS)
+
+        def parts(model=adam.model, prior=prior):
+            zp, zu = model.forward(*positive)[0], model.forward(*unlabelled)[0]
+            return prior * np.logaddexp(0, -zp).mean(), np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+
+        def own(model=adam.model):
+            loss, grads = quality.unlabelled_risk(model, *unlabelled)
+            return loss / 50, [g / 50 for g in grads]
+
+        for _ in range(steps):
+            adam.step(quality.risk_gradients(adam.model, positive, own(), prior), 0.05)
+            if parts()[1] < 0:
+                break
+        below = parts()[1] < 0
+        assert below == (steps > 0)
+        grads = quality.risk_gradients(adam.model, positive, own(), prior)
+        for i, at in ((0, (5, 1)), (1, (2,)), (2, (0,)), (3, (0,)), (4, (77,))):
+            w, old, ends = adam.model.weights[i], adam.model.weights[i][at], []
+            for h in (1e-5, -1e-5):
+                w[at] = old + h
+                good, bad = parts()
+                ends.append(-bad if below else good + bad)
+            w[at] = old
+            assert grads[i][at] == pytest.approx((ends[0] - ends[1]) / 2e-5, rel=1e-3, abs=1e-6)
+
+
+def test_prior_comes_from_positives_and_unlabelled_texts():
+    rng = np.random.default_rng(3)
+    for prior in (0.2, 0.5, 0.9):
+        good = rng.beta(6, 2, 20_000)
+        rest = np.where(rng.random(60_000) < prior, rng.beta(6, 2, 60_000), rng.beta(2, 6, 60_000))
+        counts = [np.histogram(x, quality.BINS, (0, 1))[0].astype(float) for x in (good, rest)]
+        assert quality.class_prior(*counts) == pytest.approx(prior, abs=0.05)
+
+
+def test_rejected_junk_needs_no_bad_labels(spark):
+    rng = np.random.default_rng(5)
+    plain = lambda: " ".join(rng.choice(["the", "house", "stood", "by", "a", "quiet", "river", "and", "people", "walked", "there"], 60)).capitalize() + "."
+    junk = lambda: " ".join("".join(chr(rng.integers(33, 64)) for _ in range(9)) for _ in range(40))
+    docs = spark.createDataFrame([(i, plain() if i % 2 else junk(), 1) for i in range(400)], "doc_id long, text string, bits int")
+    labels = spark.createDataFrame([(i, 1) for i in range(1, 300, 2)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    assert model[1] == pytest.approx(0.5, abs=0.2)
+    kept = {r.doc_id for r in quality.keep_good(docs, model, 0.5).collect()}
+    assert np.mean([i % 2 == 1 for i in kept]) > 0.97 and len(kept) > 180
+
+
+def test_shares_match_plain_em():
+    rng = np.random.default_rng(7)
+    logp = np.log(rng.dirichlet(np.full(50, 0.4), 3))
+    n = np.bincount(np.concatenate([rng.choice(50, 900, p=np.exp(logp[0])), rng.choice(50, 600, p=np.exp(logp[2]))]), minlength=50)
+    at = np.flatnonzero(n)
+    who, share = language_id.proportions(logp, at, n[at], language_id.Mixture(rounds=400))
+
+    def plain(langs):
+        w = [1 / len(langs)] * len(langs)
+        for _ in range(400):
+            total = [0.0] * len(langs)
+            for b in at:
+                parts = [x * np.exp(logp[g, b]) for x, g in zip(w, langs, strict=True)]
+                for i, x in enumerate(parts):
+                    total[i] += n[b] * x / sum(parts)
+            w = [x / n.sum() for x in total]
+        like = sum(n[b] * np.log(sum(x * np.exp(logp[g, b]) for x, g in zip(w, langs, strict=True))) for b in at)
+        return like - 6.0 * np.log(n.sum()) / 2 * len(langs), dict(zip(langs, w, strict=True))
+
+    sets = [[0], [1], [2], [0, 1], [0, 2], [1, 2], [0, 1, 2]]
+    best = max((plain(s) for s in sets), key=lambda x: x[0])[1]
+    got = dict(zip(who.tolist(), share.tolist(), strict=True))
+    assert set(got) == set(best) == {0, 2} and all(got[k] == pytest.approx(best[k], abs=1e-3) for k in best)
+
+
+def test_long_texts_count_whole(spark):
+    text = "the cat and the dog " * 2000 + "le chat et le chien " * 9000
+    docs = spark.createDataFrame([(1, "the cat and the dog sat " * 9, "en"), (2, "le chat et le chien est la " * 9, "fr"), (3, text, None)], "doc_id long, text string, lang string")
+    row = language_id.predict(docs, language_id.train(docs)).where("doc_id = 3").first()
+    assert row.lang_pred == "fr" and len(row.languages) == 2
+
+
 def test_language_on_held_out_rows(spark):
     rows = queries.op10_language_id(spark, SF).collect()
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").collect()}
