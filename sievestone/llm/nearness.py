@@ -21,7 +21,7 @@ are too many, they are banded anew with other minima before they meet.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, connected_components, grouped, slices, small_side
 
 LIMIT = 1024
+SMALL = 48  # groups of up to so many rows are compared many at a time
 BITS = 4  # of each minimum that a signature keeps: sixteen minima to a long
 FRESH = 8  # minima to a band where buckets are banded anew
 PAIRS = "a long, b long"
@@ -181,6 +182,62 @@ def nearness(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray],
     return equal
 
 
+def in_small_groups(group: np.ndarray, n: np.ndarray, sig: np.ndarray, p: Banding) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of one group, and their equal minima, that sizes and signatures allow to link; rows of a group lie together."""
+    a, b, equal = [], [], []
+    ones = np.uint64(0x1111111111111111)
+    for step in range(1, int(np.bincount(group).max(initial=0))):
+        i = np.flatnonzero(group[step:] == group[:-step])
+        j = i + step
+        fits = 100 * np.minimum(n[i], n[j]) >= p.percent * np.maximum(n[i], n[j])
+        i, j = i[fits], j[fits]
+        d = sig[i] ^ sig[j]
+        d |= d >> np.uint64(1)
+        d |= d >> np.uint64(2)
+        same = 16 * p.longs - np.bitwise_count(d & ones).sum(axis=1, dtype=np.int64)
+        near = same >= p.least_matches
+        a.append(i[near])
+        b.append(j[near])
+        equal.append(same[near])
+    empty = [np.zeros(0, np.int64)]
+    return tuple(np.concatenate(x + empty) for x in (a, b, equal))
+
+
+def spanning(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> tuple[list[int], list[int]]:
+    """Of edges between numbered rows a maximum spanning forest."""
+    parent: dict[int, int] = {}
+    out_a, out_b = [], []
+    order = np.argsort(-weight, kind="stable")
+    for i, j in zip(a[order].tolist(), b[order].tolist(), strict=True):
+        x, y = i, j
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        while (up := parent.setdefault(y, y)) != y:
+            parent[y] = y = parent[up]
+        if x != y:
+            parent[x] = y
+            out_a.append(i)
+            out_b.append(j)
+    return out_a, out_b
+
+
+def gathered(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray | None]]:
+    """Groups of more than ``SMALL`` rows one by one, with None; smaller ones many to a batch, with each row's group number."""
+    held: list[pa.RecordBatch] = []
+    sizes: list[int] = []
+    for g in grouped(batches, by):
+        if g.num_rows > SMALL:
+            yield g, None
+            continue
+        held.append(g)
+        sizes.append(g.num_rows)
+        if len(held) >= 2000:
+            yield pa.concat_batches(held), np.repeat(np.arange(len(sizes)), sizes)
+            held, sizes = [], []
+    if held:
+        yield pa.concat_batches(held), np.repeat(np.arange(len(sizes)), sizes)
+
+
 def forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a maximum spanning forest of a symmetric matrix; entries below 0 are no edges."""
     size = len(near)
@@ -243,9 +300,10 @@ def _wide_pairs(members: DataFrame, buckets: DataFrame, sigs: DataFrame, p: Band
     rows = dealt.unionByName(heads).join(sigs, "node").select("key", "block", "node", "n", "sig")
 
     def span(batches):
-        for g in grouped(batches, 2):
-            node, own = g.column(2).to_numpy(), (g.column(3).to_numpy().astype(np.int64), signatures(g.column(4), p))
-            yield pair_batch(*(node[i] for i in forest(nearness(own, own, p))))
+        for g, group in gathered(batches, 2):
+            node, n, sig = g.column(2).to_numpy(), g.column(3).to_numpy().astype(np.int64), signatures(g.column(4), p)
+            a, b = forest(nearness((n, sig), (n, sig), p)) if group is None else spanning(*in_small_groups(group, n, sig, p))
+            yield pair_batch(node[np.asarray(a, np.int64)], node[np.asarray(b, np.int64)])
 
     return in_groups(rows, ["key", "block"]).mapInArrow(span, PAIRS).where("a < b").distinct()
 
@@ -291,18 +349,25 @@ def _across(members: DataFrame, parts: DataFrame, sigs: DataFrame, texts_for: Ca
         rows = rows.where(F.col("minors") <= LIMIT).unionByName(_open_rows(again).select(rows.columns))
     block = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
     rows = rows.select("key", "node", "component", "n", "sig", (F.col("component") != F.col("largest")).alias("minor"), *(F.ceil(F.col(c) / LIMIT).cast("int").alias(c) for c in ("members", "minors")))
+    whole = rows.where("members = 1 and minors = 1").withColumns({"x": F.lit(0), "y": F.lit(0), "side": F.lit(2)})
+    rows = rows.where("members > 1 or minors > 1")
     every = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("minors") - 1))).withColumn("y", block("members", 1)).withColumn("side", F.lit(0))
     minor = rows.where("minor").withColumn("x", block("minors", 2)).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("members") - 1))).withColumn("side", F.lit(1))
-    met = every.unionByName(minor).select("key", "x", "y", "side", "node", "component", "n", "sig")
+    met = whole.select(every.columns).unionByName(every).unionByName(minor).select("key", "x", "y", "side", "node", "component", "n", "sig")
 
     def near(batches):
-        for g in grouped(batches, 3):
+        for g, group in gathered(batches, 3):
             side, part = g.column(3).to_numpy(), g.column(5).to_numpy()
             n, sig = g.column(6).to_numpy().astype(np.int64), signatures(g.column(7), p)
-            x, y = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
-            hit = nearness((n[x], sig[x]), (n[y], sig[y]), p) >= 0
-            hit &= part[x][:, None] != part[y][None, :]
-            chosen = np.concatenate([x[hit.any(axis=1)], y[hit.any(axis=0)]])
+            if group is None:
+                x, y = np.flatnonzero(side > 0), np.flatnonzero(side != 1)
+                hit = nearness((n[x], sig[x]), (n[y], sig[y]), p) >= 0
+                hit &= part[x][:, None] != part[y][None, :]
+                chosen = distinct(np.concatenate([x[hit.any(axis=1)], y[hit.any(axis=0)]]))
+            else:
+                a, b, _ = in_small_groups(group, n, sig, p)
+                cross = (part[a] != part[b]) & ((side[a] == 2) | (side[a] != side[b]))
+                chosen = distinct(np.concatenate([a[cross], b[cross]]))
             if len(chosen):
                 yield g.take(pa.array(chosen)).select(["key", "x", "y", "side", "node", "component"])
 
@@ -325,17 +390,20 @@ def _across(members: DataFrame, parts: DataFrame, sigs: DataFrame, texts_for: Ca
 
 
 def linked_parts(side: np.ndarray, node: np.ndarray, part: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[list[int], list[int]]:
-    """Of the pairs of side 1 with side 0 of different parts and 100 * intersection >= percent * union, a maximum spanning forest over the parts."""
+    """Of the pairs of different parts and 100 * intersection >= percent * union, a maximum spanning forest over the parts.
+
+    Rows of side 1 meet those of side 0; rows of side 2 meet each other.
+    """
     sizes = np.array([len(s) for s in sets])
     values, at = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.cumsum(sizes) - sizes
     found: list[tuple] = []
-    for i in np.flatnonzero(side == 1):
+    for i in np.flatnonzero(side > 0):
         has = np.zeros(len(values), np.int64)
         has[at[starts[i] : starts[i] + sizes[i]]] = 1
         both = np.add.reduceat(has[at], starts)
         union = sizes[i] + sizes - both
-        for j in np.flatnonzero((part != part[i]) & (side == 0) & (100 * both >= percent * union)):
+        for j in np.flatnonzero((part != part[i]) & (side != 1) & (100 * both >= percent * union)):
             found.append((-both[j] / union[j], int(node[i]), int(node[j]), int(part[i]), int(part[j])))
     parent: dict[int, int] = {}
 
