@@ -15,8 +15,16 @@ from pyspark.sql.types import StringType
 
 #: Rows that a broadcast side may have; larger sides are joined by a shuffle.
 BROADCAST_ROWS = 400_000
-#: While a working table is written: small Arrow batches, and shuffle files go with the job that wrote them.
-WRITING = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: While a working table is written, shuffle files go with the job that wrote them.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: Bytes of an Arrow batch; Spark's own 64 MB, held several times over by an executor and its Python workers, cost most of their memory.
+BATCH, BATCH_SETTING = "4m", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to ``BATCH``, where its user has left them at Spark's default."""
+    if spark.conf.get(BATCH_SETTING) in ("64MB", "64m", "67108864b", "67108864"):
+        spark.conf.set(BATCH_SETTING, BATCH)
 
 
 class Scratch:
@@ -32,6 +40,7 @@ class Scratch:
         if root is None:
             root = "file://" + tempfile.mkdtemp(prefix="sievestone-")
             spark.sparkContext.setCheckpointDir(root)
+        small_batches(spark)
         self.spark = spark
         self.path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -108,6 +117,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = 1024, siz
             end = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, side="right"))))
             yield batch.slice(at, end - at)
             at = end
+    pa.default_memory_pool().release_unused()
 
 
 def grouped(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[pa.RecordBatch]:

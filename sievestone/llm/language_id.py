@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import own_columns
+from .common import own_columns, slices, small_batches
 
 #: A-Z in lower case, every other ASCII byte that is no letter a blank.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -45,10 +45,11 @@ def train(docs: DataFrame, p: Mixture = Mixture(), text_col: str = "text", lang_
     Tasks add up their counts; the driver gets one number for each language and bucket, whatever the input.
     """
     buckets = p.buckets
+    small_batches(docs.sparkSession)
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches, 1):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 at, n = trigrams(text, buckets)
                 total.setdefault(lang, np.zeros(buckets, np.int64))[at] += n
@@ -100,11 +101,12 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], p: Mixture = M
     model without languages get ``und`` with score 0 and no languages. Ids may
     be null or repeat; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def guess(batches):
         langs, logp = held.value
-        for batch in batches:
+        for batch in slices(batches, 1):
             rows = []
             for text in batch.column(1).to_pylist():
                 if not langs or not text or not any(map(str.isalpha, text)):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import own_columns, slices
+from .common import own_columns, slices, small_batches
 from .tokens import encoder
 
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -163,5 +163,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, params: Packing
         if out:
             yield rows()
 
+    small_batches(docs.sparkSession)
     columns = {"doc_id": id_col, "text": text_col} | ({"prompt": prompt_col} if prompt_col else {})
     return own_columns(docs, **columns).mapInArrow(pack, PIECE)

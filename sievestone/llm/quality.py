@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, own_columns, slices
+from .common import Scratch, own_columns, slices, small_batches
 
 SYMBOLS = b"#$%&*+<=>@\\^_`{|}~"
 
@@ -318,6 +318,7 @@ def score(docs: DataFrame, model: tuple[Model | None, float], id_col: str = "doc
     A null text counts as empty. Without a model every score is the prior. Ids
     may be null or repeat; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def rate(batches):
@@ -334,6 +335,7 @@ def keep_good(docs: DataFrame, model: tuple[Model | None, float], least: float =
     """``docs`` whose texts score at least ``least``, all columns as they are; without a model, all of them."""
     if model[0] is None:
         return docs
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

@@ -147,7 +147,7 @@ def _passages(source: DataFrame, params: Passages, scratch: Scratch) -> DataFram
     rank = F.coalesce("doc_id", F.lit(LATE).bitwiseOR(F.shiftrightunsigned("text_key", 2)))
 
     def cut(batches):
-        for batch in slices(batches, 2):
+        for batch in slices(batches, 2, size=1 << 19):
             held: list[list[np.ndarray]] = []
             for doc, key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 unit, span, a, n, words, d1, d2 = units_of(text, reach, least)

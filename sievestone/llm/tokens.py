@@ -61,7 +61,7 @@ class _Pieces(dict):
 class Encoder:
     """``ids(text)``: the ids that the library gives for a whole text without its own special tokens around it, as a NumPy array."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 100_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
