@@ -30,10 +30,12 @@ def remainder(n: int):
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near copies. Null and wordless texts: size 0, alone. Null ids: null component, kept. Repeated ids: documents of their own. Empty table: no rows."""
     return minhash_dedup(table(spark, sf_dir, "documents"), NearDedup(words=2))
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids written to files and read back. Null texts: the end id alone. Null ids come first, rows of one id in the order of their code. Empty table: no rows."""
     scratch = Scratch(spark, "token-files")
     write_ids(table(spark, sf_dir, "documents"), scratch.path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return read_ids(spark, scratch.path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -45,17 +47,20 @@ def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all rows. Null texts are empty, null ids not held out, repeated rows scored alike; without positives all scores are 0.5. Empty table: no rows."""
     docs = table(spark, sf_dir, "documents")
     scored = quality.score(docs, quality_model(spark, docs, sf_dir))
     return scored.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact neighbours. Unsound vectors and null ids take no part; repeated ids are candidates of their own, but no row of the query's id is. Empty table: no rows."""
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10, relax=1.0)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of all rows, judged row by row, null and repeated ids too. Null texts have no words; items without id or words no windows. Empty benchmark: no hits."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["words"])
     items = F.array_sort(F.transform("items", lambda i: i.cast("string")))
@@ -63,10 +68,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that an earlier place has too. Null and empty texts have none; null ids rank last; different texts of one id keep what they share. Empty table: no rows."""
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all rows. Null texts and texts without a letter: und, score 0. Null ids are not held out; without a language to learn from all are und. Empty table: no rows."""
     docs = table(spark, sf_dir, "documents")
     model = language_id.train(docs.where(remainder(3) != 1).select("text", "lang"))
     found = language_id.predict(docs, model)
@@ -77,11 +84,13 @@ RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of all rows. Null URLs and those without :// have empty host and path and the default verdict; repeated rows are judged alike. Empty table: no rows."""
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all rows. Null texts: the end id alone. Null ids stay null, repeated rows are documents of their own. Empty table: no rows."""
     pieces = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
@@ -102,6 +111,7 @@ def pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of all lines that are not blank. Null and empty texts have no lines; null ids come last; texts of one id are told apart. Empty table: no rows."""
     return line_classes(table(spark, sf_dir, "documents"))
 
 
