@@ -11,6 +11,9 @@ from ..functions.exprs import bands, ratio
 WEIGHTS = {"label": 0.35, "duplicate": 0.20, "outlier": 0.15, "imbalance": 0.15, "bias": 0.15}
 
 
+# The bands of the component scores below.
+
+
 def label_score(errors: Column, n: Column, confidence: Column | None = None) -> Column:
     base = bands(ratio(errors, n), [(0.01, 95.0), (0.03, 85.0), (0.05, 75.0), (0.10, 60.0), (0.20, 40.0)], 20.0)
     return F.when((n == 0) | (errors == 0), F.lit(100.0)).otherwise(F.greatest(F.lit(0.0), base if confidence is None else base - 10 * confidence))

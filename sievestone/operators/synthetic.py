@@ -76,6 +76,7 @@ def diversity(synth: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 def certificate(scores: DataFrame) -> DataFrame:
     """Of one row (fidelity, privacy, utility, diversity, coherence): overall, status, failed checks."""
+    # Limits and weights.
     least = {"fidelity": 70.0, "privacy": 80.0, "utility": 70.0, "diversity": 60.0, "coherence": 70.0}
     failed = F.array_compact(F.array(*[F.when(F.col(k) < v, F.lit(k)) for k, v in least.items()]))
     overall = F.expr("0.25 * fidelity + 0.30 * privacy + 0.25 * utility + 0.10 * diversity + 0.10 * coherence")

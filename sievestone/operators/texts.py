@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ratio
+from .privacy import PII
 
-# Word lists and patterns of the rules.
+# Word lists and patterns of the rules. All fillers are in lower case, as they are looked for in lower-case text.
 REFUSAL_PREFIXES = ["i cannot", "i can't", "i'm not able", "i am not able", "as an ai", "as a language model", "i don't have"]
 TOXIC = [r"(?i)\b(hate|kill|murder|attack|destroy)\b.*\b(people|person|group|them)\b", r"(?i)\b(stupid|idiot|moron|dumb)\b", r"(?i)\b(racist|sexist|bigot)\b"]
 HARMFUL = [r"how to (make|create|build) (a )?bomb", r"how to (hack|crack|break into)", r"how to (steal|commit fraud)"]
@@ -20,7 +21,7 @@ UNCERTAIN = ["i'm not sure", "i believe", "it's possible", "may", "might", "coul
 OVERCONFIDENT = r"(?i)definitely|certainly|always|never|100%|guaranteed|proven fact"
 FILLERS = ["basically", "actually", "literally", "you know", "like", "um", "uh", "well", "so", "just", "i mean", "kind of", "sort of"]
 STOP_WORDS = ["the", "a", "an", "is", "are", "was", "were", "be", "to", "of", "and", "in", "on", "at", "for", "with", "that", "this", "it", "as", "by", "from", "or"]
-LEAKS = [r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", r"\b(?:\+?1[-.\s]?)?\(?[0-9]{3}\)?[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}\b", r"\b\d{3}[-\s]?\d{2}[-\s]?\d{4}\b", r"\b(?:\d{4}[-\s]?){3}\d{4}\b", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"]
+LEAKS = [PII[kind][0][0] for kind in ("email", "phone", "ssn", "credit_card", "ip_address")]
 SCORED_TOXIC = [r"(?i)\b(shit|damn|hell|crap)\b", r"(?i)\b(kill|murder|attack|hurt) (you|them|him|her)\b", r"(?i)(going to|gonna) (hurt|kill|attack)", r"(?i)(you('re| are)) (stupid|dumb|idiot)", r"(?i)(shut up|go away|leave me alone)"]
 TOXIC_TERMS = [r"\b(hate|kill|die|stupid|idiot|dumb)\b", r"\b(racist|sexist|homophobic)\b"]
 QUESTION_WORDS = ["what", "how", "why", "when", "where", "who", "which"]
@@ -194,14 +195,14 @@ def script_language(c: Column) -> Column:
     return out.otherwise("en")
 
 
-def semantic_types(df: DataFrame, most: int = 100) -> dict[str, str | None]:
-    """Of each column, the kind its name tells, else the one that over 80 % of its first values fit."""
+def semantic_types(df: DataFrame) -> dict[str, str | None]:
+    """Of each column, the kind its name tells, else the one that over 80 % of its values fit."""
     import re
 
     named = {c: next((k for k, p in SEMANTIC_NAMES if re.search(p, c.lower())), None) for c in df.columns}
     open_columns = [c for c, kind in named.items() if kind is None]
     if open_columns:
-        row = df.limit(most).agg(*[F.avg(F.col(c).cast("string").rlike(p).cast("int")).alias(f"{i}_{k}") for i, c in enumerate(open_columns) for k, p in SEMANTIC_VALUES]).first()
+        row = df.agg(*[F.avg(F.col(c).cast("string").rlike(p).cast("int")).alias(f"{i}_{k}") for i, c in enumerate(open_columns) for k, p in SEMANTIC_VALUES]).first()
         for i, c in enumerate(open_columns):
             named[c] = next((k for k, _ in SEMANTIC_VALUES if (row[f"{i}_{k}"] or 0) > 0.8), None)
     return named

@@ -28,9 +28,21 @@ def names(kind: str) -> list[str]:
     return sorted(_PLUGINS[kind])
 
 
-#: Settings of detectors for precision, recall or speed.
+#: Settings of detectors for precision, recall or speed.
 PRESETS = {
     "high_precision": {"z_threshold": 4.0, "iqr_multiplier": 3.0, "similarity": 0.98, "label_confidence": 0.9},
     "high_recall": {"z_threshold": 2.0, "iqr_multiplier": 1.0, "similarity": 0.8, "label_confidence": 0.3},
     "fast_scan": {"z_threshold": 3.0, "iqr_multiplier": 1.5, "similarity": 1.0, "label_confidence": 0.5},
 }
+
+
+def detectors(preset: str) -> dict[str, Callable]:
+    """Outlier and vector-duplicate detectors by name, each with the settings of a preset: functions of (table, key, columns or vector)."""
+    from ..operators import outliers, vectors
+
+    s = PRESETS[preset]
+    return {
+        "zscore": lambda df, key, columns: outliers.zscore(df, key, columns, s["z_threshold"]),
+        "iqr": lambda df, key, columns: outliers.iqr(df, key, columns, s["iqr_multiplier"]),
+        "duplicates": lambda df, key, vector: vectors.near_pairs(df, key, vector, s["similarity"]),
+    }
