@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_side
+from .common import BROADCAST_ROWS
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PREFIX_HEX = 8  # of the digest: the 32-bit keys that are joined
@@ -48,7 +48,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url_c
     prefixes = F.transform(F.filter(F.array(*[F.lit(n) for n in sizes] or [F.lit(-1)]), lambda n: (n >= 0) & (n <= F.length("p"))), lambda n: F.substring(F.col("p"), F.lit(1), n))
     tried = urls.select("__url", F.explode(suffixes).alias("suffix"), prefixes.alias("prefixes")).select("__url", "suffix", F.explode("prefixes").alias("prefix"))
     tried = tried.withColumn("full", digest(F.col("suffix"), F.col("prefix"))).withColumn("short", F.substring("full", 1, PREFIX_HEX))
-    met = tried.join(small_side(own), "short").where("full = rule_digest")
+    if own.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        met = tried.join(F.broadcast(own), "short").where("full = rule_digest")
+    else:  # expressions that very many URLs share look for their rules once
+        fits = tried.select("short", "full").distinct().join(own, "short").where("full = rule_digest").drop("short")
+        met = tried.join(fits, "full")
     order = F.struct((F.length("rule_host") + F.length("rule_path")).alias("n"), F.length("rule_host").alias("h"), (F.col("rule_verdict") == "block").alias("b"))
     best = met.groupBy("__url").agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), F.col("rule_verdict").alias("verdict")), order).alias("best"))
     keep = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]

@@ -7,8 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievestone.llm import decontamination as decon
-from sievestone.llm import language_id, quality, queries, vector_search
-from sievestone.llm.url_filter import judge_urls
+from sievestone.llm import language_id, quality, queries, url_filter, vector_search
 from sievestone.llm.vector_search import nearest
 
 SF = "/root/testdata/sf0.01"
@@ -41,14 +40,19 @@ def test_decontamination(spark, block_rows):
     rows = decon.contamination(df, bench, block_rows=block_rows).collect()
     assert sorted((str(r.doc_id), r.n_words, sum(s.words for s in r.spans), list(r["items"])) for r in rows) == brute_hits(texts, items)
     kept = decon.decontaminate(df, bench)
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "3", "4", "5", "None"] and kept.columns == df.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "3", "4", "5"] and kept.columns == df.columns
     cut = {r.doc_id: r.text for r in decon.decontaminate(df, bench, spans_only=True).collect()}
     assert cut[0] == "x ! y" and cut[1] == "a  here; " and cut[2] is None
+    same = spark.createDataFrame([(1, "a short item here", 1), (1, "a perfectly harmless", 2), (None, "harmless too", 3), (None, "the short item", 4)], "doc_id long, text string, spans int").withColumn("row_key", F.lit(0))
+    assert sorted(r.spans for r in decon.decontaminate(same, bench).collect()) == [2, 3]
+    assert {r.spans: r.text for r in decon.decontaminate(same, bench, spans_only=True).collect()} == {1: "a  here", 2: "a perfectly harmless", 3: "harmless too", 4: "the "}
     assert decon.contamination(df.limit(0), bench).count() == 0
     assert all(not r.spans for r in decon.contamination(df, bench.limit(0)).collect())
 
 
-def test_url_rules(spark):
+@pytest.mark.parametrize("most", [2, 400_000])
+def test_url_rules(spark, monkeypatch, most):
+    monkeypatch.setattr(url_filter, "BROADCAST_ROWS", most)
     urls = ["http://Example.ORG/es/x?y#z", "https://a.b.example.org/en/12", "http://example.org", "http://fr.com/fr/1", "http://com/de/", "nothing", None, "http://x.net/a", "http://notexample.org/es/", "http://org/", "ftp://EXAMPLE.org/ES/", "http://example.org:80/es/", "http://a.com/de/#://b"]
     pages = spark.createDataFrame([(i, u, "h", 1) for i, u in enumerate(urls)] * 2, "page_id long, url string, host string, rule int")
     rules = spark.createDataFrame([*queries.RULES, (None, "/", "block")], "host string, path string, verdict string")
@@ -63,11 +67,11 @@ def test_url_rules(spark):
         fit = [(len(h + p), h + p, v) for h, p, v in queries.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
         return (host, path, *(max(fit)[1:] if fit else (None, "allow")))
 
-    rows = judge_urls(pages, rules).collect()
+    rows = url_filter.judge_urls(pages, rules).collect()
     assert len(rows) == 2 * len(urls)
     assert all((r.host, r.path, r.rule, r.verdict) == judge(r.url) for r in rows)
-    assert judge_urls(pages.limit(0), rules).count() == 0
-    assert {r.verdict for r in judge_urls(pages, rules.limit(0)).collect()} == {"allow"}
+    assert url_filter.judge_urls(pages.limit(0), rules).count() == 0
+    assert {r.verdict for r in url_filter.judge_urls(pages, rules.limit(0)).collect()} == {"allow"}
 
 
 @pytest.mark.parametrize("shard_rows", [40, 10_000])
