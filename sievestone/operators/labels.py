@@ -140,13 +140,14 @@ def out_of_fold_probabilities(df: DataFrame, key: str, label: str, columns: list
         places = F.sequence(F.lit(0), F.lit(max(1, sizes[c] or 0) - 1))
         return array_to_vector(F.transform(places, lambda i: F.coalesce(F.nanvl(F.get(values, i), F.lit(0.0)), F.lit(0.0))))
 
-    filled = df.select(key, F.col(label).cast("double").alias(label), *[feature(c).alias(c) for c in columns]).withColumn("fold", F.pmod(F.xxhash64(key), F.lit(folds)))
-    rows = VectorAssembler(inputCols=columns, outputCol="raw").transform(filled)
+    names = [f"f{i}" for i in range(len(columns))]  # names of our own: the table's may be any
+    filled = df.select(F.col(key).alias("row_key"), F.col(label).cast("double").alias("row_label"), *[feature(c).alias(n) for c, n in zip(columns, names, strict=True)]).withColumn("fold", F.pmod(F.xxhash64("row_key"), F.lit(folds)))
+    rows = VectorAssembler(inputCols=names, outputCol="raw").transform(filled)
     out = None
     for k in range(folds):
         train, held = rows.where(F.col("fold") != k), rows.where(F.col("fold") == k)
         scaler = StandardScaler(inputCol="raw", outputCol="x", withMean=True).fit(train)
-        model = LogisticRegression(featuresCol="x", labelCol=label, maxIter=rounds).fit(scaler.transform(train))
-        part = model.transform(scaler.transform(held)).select(key, F.col(label).cast("int").alias(label), vector_to_array("probability").alias("probs"))
+        model = LogisticRegression(featuresCol="x", labelCol="row_label", maxIter=rounds).fit(scaler.transform(train))
+        part = model.transform(scaler.transform(held)).select(F.col("row_key").alias(key), F.col("row_label").cast("int").alias(label), vector_to_array("probability").alias("probs"))
         out = part if out is None else out.unionByName(part)
     return out

@@ -31,7 +31,7 @@ def test_quantiles_narrow_to_the_exact_value(spark, monkeypatch, limit):
 
 def test_duplicates_of_nulls_and_groups(spark, tmp_path):
     df = spark.createDataFrame([(0, "a", None), (1, "a", None), (2, "b", 1.0), (3, "a", None), (4, None, None)], "k long, s string, x double")
-    assert {(r.key1, r.key2) for r in duplicates.exact_pairs(df, "k", ["s", "x"]).collect()} == {(0, 1), (0, 3), (1, 3)}
+    assert {(r.key1, r.key2) for r in duplicates.exact_pairs(df, "k", ["s", "x"]).collect()} == {(0, 1), (0, 3)}  # each with the least of its group
     assert {(r.k, r.first_key) for r in duplicates.pointers(df, "k", ["s", "x"]).collect()} == {(1, 0), (3, 0)}
     assert duplicates.exact_groups(df.limit(0), "k", ["s"]).count() == 0
     chain = spark.createDataFrame([(i, i + 1) for i in range(9)] + [(20, 21)], "key1 long, key2 long")
