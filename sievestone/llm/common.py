@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Rows that a broadcast side may have; larger sides are joined by a shuffle.
-BROADCAST_ROWS = 400_000
+#: Rows of a few numbers that a broadcast side may have, some 30 MB; larger sides are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 #: While a working table is written, shuffle files go with the job that wrote them.
 WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 #: Bytes of an Arrow batch; Spark's own 64 MB, held several times over by an executor and its Python workers, cost most of their memory.
