@@ -31,7 +31,7 @@ def remainder(n: int):
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near copies. Null and wordless texts: size 0, alone. Null ids: null component, kept. Repeated ids: documents of their own. Empty table: no rows."""
-    return minhash_dedup(table(spark, sf_dir, "documents"), NearDedup(words=2))
+    return minhash_dedup(table(spark, sf_dir, "documents"), NearDedup(words=2)).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
