@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language_id, quality
+from .alignment import align_documents
 from .common import Scratch
 from .decontamination import contamination
 from .line_dedup import line_classes
@@ -115,6 +116,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_classes(table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignments of all rows. Null and empty texts, and those whose tokens' bytes are not the text's: zeros. Null and repeated ids are documents of their own. Empty table: no rows."""
+    found, _ = align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.drop("groups")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"pack_conversations": pack_conversations}
 
