@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import language_id, quality
 from .alignment import align_documents
 from .common import Scratch
+from .conversations import repair_conversations
 from .decontamination import contamination
 from .line_dedup import line_classes
 from .minhash_dedup import NearDedup, minhash_dedup
@@ -122,6 +123,26 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("groups")
 
 
+def damage(turns: DataFrame) -> DataFrame:
+    """Conversations with a fifth of their turns spoilt, by crc32 of conv_id:turn: dropped, emptied, cut of stops, repeated, given to the user. Nulls are one space."""
+    word = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat_ws(":", word("conv_id"), word("turn")).cast("binary")) % 20
+    rows = turns.select("conv_id", "turn", word("role").alias("role"), word("text").alias("text"), kind.alias("kind")).where("kind <> 0")
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    times = F.explode(F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("time")
+    return rows.select("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), times).drop("time")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repairs of all conversations after damage. Null roles and texts are one space, a null conv_id is a conversation, repeated turns are duplicates; one without turns after damage has zeros, no edits and the digest of nothing. Empty table: no rows."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found, _ = repair_conversations(damage(turns))
+    every = turns.select(F.col("conv_id").alias("of")).distinct()
+    out = every.join(found, every["of"].eqNullSafe(found["conv_id"]), "left")
+    zeros = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select(F.col("of").alias("conv_id"), *zeros, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"pack_conversations": pack_conversations}
 
