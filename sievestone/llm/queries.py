@@ -18,6 +18,7 @@ from .minhash_dedup import NearDedup, minhash_dedup
 from .packing import Packing, pack_documents
 from .substring_dedup import repeated_passages
 from .token_files import read_ids, write_ids
+from .toxicity import score_toxicity
 from .url_filter import judge_urls
 from .vector_search import nearest
 
@@ -117,6 +118,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_classes(table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all rows. Null texts are empty, null ids not held out, repeated rows scored alike; without toxic and other labels all scores are their share. Empty table: no rows."""
+    scored = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn_from=remainder(3) != 1)
+    return scored.select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alignments of all rows. Null and empty texts, and those whose tokens' bytes are not the text's: zeros. Null and repeated ids are documents of their own. Empty table: no rows."""
     found, _ = align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
