@@ -2,12 +2,12 @@
 
 1. Texts are cut before runs of white space, at places where neither vocabulary
    has a token that runs across (``cut_points`` verifies that from both). A
-   block of some megabytes of text becomes one row: its distinct segments, and
-   each document as a sequence of them.
-2. The segments of all blocks are sorted by their text, so that those of one
-   text meet in one task, which tokenises and aligns it once and answers all of
-   them. A segment occurs at most once a block, so no key is hot.
-3. Alignments go back to their blocks, which compose the documents' counts and
+   block of some megabytes of text becomes one row: each document as a sequence
+   of the block's distinct segments, and these in packets by hash.
+2. Packets of one hash from all blocks meet in one task, which tokenises and
+   aligns each distinct segment once and answers every packet. A segment occurs
+   at most once a block and hashes are even, so no task is hot.
+3. Answers go back to their blocks, which compose the documents' counts and
    groups, and the id pairs that each document links.
 4. Numbers of documents a pair are added up, and go back to the blocks likewise.
 
@@ -22,18 +22,18 @@ import hashlib
 import json
 import re
 import zlib
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, own_columns
 from .tokens import byte_letters
 
-#: Bytes of text, about, of a block, and the most documents of one.
-BLOCK, DOCS = 8 << 20, 1 << 15
+#: Characters of text, about, of a block, and the most documents of one; packets of a block for each shuffle partition.
+BLOCK, DOCS, PACKETS = 8 << 20, 1 << 15, 8
 #: Steps of a path: the link's A token ends first, its B token, or both.
 A_ENDS, B_ENDS, BOTH_END = 0, 1, 2
 
@@ -142,60 +142,35 @@ def merge_path(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[b
             left = len(a_bytes[a[i]]) - len(b_bytes[b[j]])
 
 
-def is_wide(size: int, a_bytes: list[bytes], b_bytes: list[bytes]) -> bool:
-    """Whether a segment of so many bytes may have counts over a byte, or ids over two."""
-    return size > 255 or max(len(a_bytes), len(b_bytes)) > 1 << 16
-
-
-def alignment_code(segment: str, a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]) -> bytes:
-    """The alignment as bytes: numbers of A ids and of B ids, the ids, the steps; nothing if the tokens' bytes aren't the segment's."""
+def align_segment(segment: str, a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]) -> tuple[int, int, bytes, bytes, bytes]:
+    """Numbers of A and B ids, the ids as bytes, and the path; nothing if the tokens' bytes aren't the segment's."""
     raw = segment.encode("utf-8", "surrogatepass")
     if not a or not b or b"".join([a_bytes[i] for i in a]) != raw or b"".join([b_bytes[i] for i in b]) != raw:
-        return b""
-    path = merge_path(a, b, a_bytes, b_bytes)
-    if is_wide(len(raw), a_bytes, b_bytes):
-        return np.array([len(a), len(b), *a, *b], "<u4").tobytes() + path
-    return bytes((len(a), len(b))) + np.array([*a, *b], "<u2").tobytes() + path
+        return 0, 0, b"", b"", b""
+    return len(a), len(b), np.array(a, ID).tobytes(), np.array(b, ID).tobytes(), merge_path(a, b, a_bytes, b_bytes)
 
 
-def decode(code: bytes, wide: bool) -> tuple[list[int], list[int], bytes]:
-    """A ids, B ids and steps of ``alignment_code``."""
-    head, size = (8, 4) if wide else (2, 2)
-    n_a, n_b = np.frombuffer(code, "<u4", 2).tolist() if wide else (code[0], code[1])
-    ids = np.frombuffer(code, f"<u{size}", n_a + n_b, head).tolist()
-    return ids[:n_a], ids[n_a:], code[head + size * (n_a + n_b) :]
+ID = np.dtype("<u4")
 
 
-@dataclass
-class Aligned:
-    """What a segment adds to a document: counts, its groups as text, its links as pairs of ids."""
+def pack(*arrays: bytes) -> bytes:
+    """Byte strings as one, compressed."""
+    return zlib.compress(b"".join([np.array([len(arrays), *map(len, arrays)], ID).tobytes(), *arrays]), 1)
 
-    n_a: int
-    n_b: int
-    groups: str
-    n_groups: int
-    pairs: list[tuple[int, int]]
 
+def unpack(packed: bytes) -> list[bytes]:
+    raw = zlib.decompress(packed)
+    n = int(np.frombuffer(raw, ID, 1)[0])
+    ends = 4 + 4 * n + np.cumsum(np.frombuffer(raw, ID, n, 4), dtype=np.int64)
+    return [raw[e - size : e] for e, size in zip(ends.tolist(), np.frombuffer(raw, ID, n, 4).tolist(), strict=True)]
 
-def aligned(code: bytes, wide: bool) -> Aligned:
-    a, b, path = decode(code, wide)
-    groups, pairs = [], []
-    i = j = first_a = first_b = 0
-    for step in path:
-        pairs.append((a[i], b[j]))
-        i += step != B_ENDS
-        j += step != A_ENDS
-        if step == BOTH_END:
-            groups.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
-            first_a, first_b = i, j
-    return Aligned(len(a), len(b), ";".join(groups), len(groups), pairs)
 
+CUT = "block long, doc_ids array<long>, sizes binary, sequence binary, order binary, packets array<struct<packet: int, segments: binary>>"
+CUT_ARROW = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("sequence", pa.binary()), ("order", pa.binary()), ("packets", pa.list_(pa.struct([("packet", pa.int32()), ("segments", pa.binary())])))])
 
-CUT = "block long, doc_ids array<long>, sizes array<int>, sequence binary, segments array<string>"
 
-
-def _cut(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """Blocks of documents, as sequences of the blocks' distinct segments."""
+def _cut(docs: DataFrame, a_path: str, b_path: str, n_packets: int) -> DataFrame:
+    """Blocks of documents, as sequences of the blocks' distinct segments; ``order`` lists these as they lie in the packets."""
 
     def cut(batches):
         from pyspark import TaskContext
@@ -205,14 +180,22 @@ def _cut(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         ids, sizes, parts, held, n = [], [], [], 0, 0
 
         def block():
-            row = [[(part << 33) + n], [ids], [sizes], [zlib.compress(np.concatenate([*parts, np.zeros(0, "<u4")]).tobytes(), 1)], [list(known)]]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.string())), strict=True)], [c.split()[0] for c in CUT.split(", ")])
+            raw = [s.encode("utf-8", "surrogatepass") for s in known]
+            of = np.fromiter(map(xxhash.xxh32_intdigest, raw), np.int64, len(raw)) % n_packets
+            order = np.argsort(of, kind="stable")
+            numbers, starts = np.unique(of[order], return_index=True)
+            packets = []
+            for number, own in zip(numbers.tolist(), np.split(order, starts[1:]), strict=False):  # no segments: one empty split
+                texts = [raw[k] for k in own.tolist()]
+                packets.append({"packet": number, "segments": pack(np.array([len(t) for t in texts], ID).tobytes(), b"".join(texts))})
+            row = {"block": (part << 33) + n, "doc_ids": ids, "sizes": zlib.compress(np.array(sizes, ID).tobytes(), 1), "sequence": zlib.compress(np.concatenate([*parts, np.zeros(0, ID)]).tobytes(), 1), "order": zlib.compress(order.astype(ID).tobytes(), 1), "packets": packets}
+            return pa.RecordBatch.from_pylist([row], CUT_ARROW)
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py() or ""
                 found = segments(text, at) if text else []
-                parts.append(np.array([known.setdefault(s, len(known)) for s in found], "<u4"))
+                parts.append(np.array([known.setdefault(s, len(known)) for s in found], ID))
                 ids.append(doc_id)
                 sizes.append(len(found))
                 held += len(text)
@@ -225,79 +208,107 @@ def _cut(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     return docs.mapInArrow(cut, CUT)
 
 
-def _align_distinct(found: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """(block, at, code) for (segment, block, at); equal segments meet in one task, in a row, and are tokenised and aligned once."""
+def _align_distinct(packets: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """(block, packet, answer) for (packet, block, segments); each distinct segment of a packet is tokenised and aligned once.
+
+    A task goes through its packets one after the other and holds the distinct
+    segments of one of them.
+    """
 
     def align(batches):
         a, b = models(a_path, b_path)
-        last, last_code = None, b""
+        last, known = None, {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            runs = batch.column(0).dictionary_encode()
-            texts = runs.dictionary.to_pylist()
-            new = [s for s in texts if s != last]
-            codes = dict(zip(new, map(alignment_code, new, a.encode(new), b.encode(new), [a.bytes] * len(new), [b.bytes] * len(new)), strict=True)) if new else {}
-            if last is not None:
-                codes.setdefault(last, last_code)
-            last = batch.column(0)[-1].as_py()
-            last_code = codes[last]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([codes[s] for s in texts], pa.binary()).take(runs.indices)], ["block", "at", "code"])
-
-    return found.repartition("segment").sortWithinPartitions("segment").mapInArrow(align, "block long, at int, code binary")
+            answers = []
+            for packet, packed in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if packet != last:
+                    last, known = packet, {}
+                sizes, raw = unpack(packed)
+                ends = np.cumsum(np.frombuffer(sizes, ID), dtype=np.int64).tolist()
+                texts = [raw[s:e] for s, e in zip([0, *ends], ends, strict=False)]
+                new = [t for t in texts if t not in known]
+                own = [t.decode("utf-8", "surrogatepass") for t in new]
+                if new:
+                    known.update(zip(new, map(align_segment, own, a.encode(own), b.encode(own), [a.bytes] * len(new), [b.bytes] * len(new)), strict=True))
+                found = [known[t] for t in texts]
+                counts = np.array([(x[0], x[1], len(x[4])) for x in found], ID).reshape(-1, 3)
+                answers.append(pack(counts.tobytes(), *(b"".join([x[k] for x in found]) for k in (2, 3, 4))))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(answers, pa.binary())], ["block", "packet", "answer"])
+
+    return packets.repartition("packet").sortWithinPartitions("packet").mapInArrow(align, "block long, packet int, answer binary")
+
+
+def group_texts(a: np.ndarray, b: np.ndarray, path: np.ndarray, lengths: np.ndarray) -> list[str]:
+    """Of each segment, its groups as ``a1,a2|b1;a3|b2,b3``, from the ids and steps of all of them; ``lengths``: steps of each."""
+    if not len(lengths):
+        return []
+    closes = path == BOTH_END
+    group = np.cumsum(closes) - closes  # of each step
+    of_a, of_b = group[path != B_ENDS], group[path != A_ENDS]  # of each token
+    last_a, last_b = (np.append(of[1:] != of[:-1], True) for of in (of_a, of_b))
+    done = np.zeros(len(path), bool)
+    done[np.cumsum(lengths)[lengths > 0] - 1] = True  # steps that end a segment
+    ends = done[closes]  # of each group
+    side = np.concatenate([np.zeros(len(a), np.int8), np.ones(len(b), np.int8)])
+    order = np.lexsort((side, np.concatenate([of_a, of_b])))
+    ids = np.concatenate([a, b])[order].tolist()
+    marks = np.concatenate([np.where(last_a, 1, 0), np.where(last_b, np.where(ends[of_b], 3, 2), 0)])[order].tolist()
+    signs = (",", "|", ";", "\n")
+    texts = iter("".join([f"{i}{signs[m]}" for i, m in zip(ids, marks, strict=True)]).split("\n"))
+    return [next(texts) if n else "" for n in lengths.tolist()]
 
 
 COMPOSED = "block long, docs array<struct<doc_id: long, n_a: long, n_b: long, n_groups: long, n_links: long, groups_sha256: string, groups: string, held: binary>>, pairs array<long>, n_docs array<int>"
+DOC_ARROW = pa.struct([*((c, pa.int64()) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")), ("groups_sha256", pa.string()), ("groups", pa.string()), ("held", pa.binary())])
+COMPOSED_ARROW = pa.schema([("block", pa.int64()), ("docs", pa.list_(DOC_ARROW)), ("pairs", pa.list_(pa.int64())), ("n_docs", pa.list_(pa.int32()))])
 
 
-def _compose(blocks: DataFrame, a_path: str, b_path: str, keep_groups: bool) -> DataFrame:
+def _compose(blocks: DataFrame, width: int, keep_groups: bool) -> DataFrame:
     """A row for each block: its documents with their counts and the pairs they link, and the block's pairs with how many of its documents link them."""
 
+    def whole(row: dict) -> pa.RecordBatch:
+        answers = [unpack(x["answer"]) for x in sorted(row["answers"], key=lambda x: x["packet"])]
+        joined = lambda k, kind: np.frombuffer(b"".join([x[k] for x in answers]), kind)
+        n_a, n_b, lengths = joined(0, ID).astype(np.int64).reshape(-1, 3).T
+        a, b, path = joined(1, ID), joined(2, ID), joined(3, np.uint8)
+        texts = group_texts(a, b, path, lengths)
+        on_a, on_b = path != B_ENDS, path != A_ENDS
+        links = a[np.cumsum(on_a) - on_a].astype(np.int64) * width + b[np.cumsum(on_b) - on_b]
+        pairs, local = np.unique(links, return_inverse=True)
+        starts = np.cumsum(lengths) - lengths
+        closed = np.concatenate([[0], np.cumsum(path == BOTH_END)])
+        counts = np.stack([n_a, n_b, closed[starts + lengths] - closed[starts], lengths], axis=1)
+        place = np.empty(len(lengths), np.int64)  # of the block's segments in the packets
+        place[np.frombuffer(zlib.decompress(row["order"]), ID)] = np.arange(len(lengths))
+        sequence = place[np.frombuffer(zlib.decompress(row["sequence"]), ID)]
+        sizes = np.frombuffer(zlib.decompress(row["sizes"]), ID).tolist()
+        n_docs = np.zeros(len(pairs), np.int32)
+        docs, at = [], 0
+        for doc_id, size in zip(row["doc_ids"], sizes, strict=True):
+            own = sequence[at : at + size]
+            at += size
+            steps = lengths[own]
+            if not size or not steps.all():
+                docs.append({"doc_id": doc_id, "n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups_sha256": "", "groups": "" if keep_groups else None, "held": None})
+                continue
+            text = ";".join([texts[k] for k in own.tolist()])
+            ends = np.cumsum(steps)
+            linked, times = np.unique(local[np.repeat(starts[own] - (ends - steps), steps) + np.arange(ends[-1])], return_counts=True)
+            n_docs[linked] += 1
+            held = zlib.compress(np.concatenate([np.diff(linked, prepend=0), times]).astype(ID).tobytes(), 1)
+            total = dict(zip(("n_a", "n_b", "n_groups", "n_links"), counts[own].sum(axis=0).tolist(), strict=True))
+            docs.append({"doc_id": doc_id, **total, "groups_sha256": hashlib.sha256(text.encode()).hexdigest(), "groups": text if keep_groups else None, "held": held})
+        lists = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
+        return pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int64()), lists(docs, DOC_ARROW), lists(pairs, pa.int64()), lists(n_docs, pa.int32())], schema=COMPOSED_ARROW)
+
     def compose(batches):
-        a_bytes, b_bytes = (m.bytes for m in models(a_path, b_path))
-        width = len(b_bytes)
-        known: dict[tuple[bytes, bool], Aligned] = {}
         for batch in batches:
-            for row in batch.to_pylist():
-                codes: list[Aligned | None] = [None] * len(row["segments"])
-                for x in row["codes"]:
-                    if code := x["code"]:
-                        key = code, is_wide(len(row["segments"][x["at"]].encode("utf-8", "surrogatepass")), a_bytes, b_bytes)
-                        if (own := known.get(key)) is None:
-                            if len(known) > 300_000:
-                                known.clear()
-                            own = known[key] = aligned(*key)
-                        codes[x["at"]] = own
-                sound = np.array([c is not None for c in codes], bool)
-                counts = np.array([(c.n_a, c.n_b, c.n_groups, len(c.pairs)) if c else (0, 0, 0, 0) for c in codes], np.int64).reshape(-1, 4)
-                all_pairs = np.array([p for c in codes if c for p in c.pairs], np.int64).reshape(-1, 2)
-                pairs, local = np.unique(all_pairs[:, 0] * width + all_pairs[:, 1], return_inverse=True)
-                starts = np.concatenate([[0], np.cumsum(counts[:, 3])])
-                n_docs = np.zeros(len(pairs), np.int32)
-                sequence = np.frombuffer(zlib.decompress(row["sequence"]), "<u4")
-                docs, at = [], 0
-                for doc_id, size in zip(row["doc_ids"], row["sizes"], strict=True):
-                    own = sequence[at : at + size]
-                    at += size
-                    if not size or not sound[own].all():
-                        docs.append({"doc_id": doc_id, "n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups_sha256": "", "groups": "" if keep_groups else None, "held": None})
-                        continue
-                    text = ";".join([codes[k].groups for k in own.tolist()])
-                    lengths = counts[own, 3]
-                    ends = np.cumsum(lengths)
-                    links = local[np.repeat(starts[own] - (ends - lengths), lengths) + np.arange(ends[-1])]
-                    linked, times = np.unique(links, return_counts=True)
-                    n_docs[linked] += 1
-                    held = zlib.compress(np.concatenate([np.diff(linked, prepend=0), times]).astype("<u4").tobytes(), 1)
-                    a, b, groups, n = counts[own].sum(axis=0).tolist()
-                    docs.append({"doc_id": doc_id, "n_a": a, "n_b": b, "n_groups": groups, "n_links": n, "groups_sha256": hashlib.sha256(text.encode()).hexdigest(), "groups": text if keep_groups else None, "held": held})
-                yield pa.RecordBatch.from_pylist([{"block": row["block"], "docs": docs, "pairs": pairs.tolist(), "n_docs": n_docs.tolist()}], COMPOSED_ARROW)
+            for k in range(batch.num_rows):
+                yield whole(batch.slice(k, 1).to_pylist()[0])
 
     return blocks.mapInArrow(compose, COMPOSED)
 
 
-DOC_ARROW = pa.struct([*((c, pa.int64()) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")), ("groups_sha256", pa.string()), ("groups", pa.string()), ("held", pa.binary())])
-COMPOSED_ARROW = pa.schema([("block", pa.int64()), ("docs", pa.list_(DOC_ARROW)), ("pairs", pa.list_(pa.int64())), ("n_docs", pa.list_(pa.int32()))])
 OUT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, groups string"
 OUT_ARROW = pa.schema([*((c, pa.int64()) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")), ("groups_sha256", pa.string()), ("groups", pa.string())])
 
@@ -307,21 +318,21 @@ def _counted(blocks: DataFrame) -> DataFrame:
 
     def count(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                n = np.zeros(len(row["stats"] or []), np.int64)
-                best = np.zeros(len(n), np.int64)
-                for x in row["stats"] or []:
-                    n[x["at"]], best[x["at"]] = x["n"], x["best"]
-                rows = []
-                for doc in row["docs"]:
+            for k in range(batch.num_rows):
+                docs, stats = batch.column("docs")[k].as_py(), batch.column("stats")[k].values
+                n = best = np.zeros(0, np.int64)
+                if stats is not None:
+                    at = stats.field("at").to_numpy()
+                    n, best = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+                    n[at], best[at] = stats.field("n").to_numpy(), stats.field("best").to_numpy()
+                for doc in docs:
                     held = doc.pop("held")
                     doc["n_best"] = doc["count_sum"] = 0
                     if held is not None:
-                        deltas, times = np.frombuffer(zlib.decompress(held), "<u4").astype(np.int64).reshape(2, -1)
+                        deltas, times = np.frombuffer(zlib.decompress(held), ID).astype(np.int64).reshape(2, -1)
                         linked = np.cumsum(deltas)
                         doc["n_best"], doc["count_sum"] = int((best[linked] * times).sum()), int((n[linked] * times).sum())
-                    rows.append(doc)
-                yield pa.RecordBatch.from_pylist(rows, OUT_ARROW)
+                yield pa.RecordBatch.from_pylist(docs, OUT_ARROW)
 
     return blocks.mapInArrow(count, OUT)
 
@@ -347,13 +358,14 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, keep_groups: bool
     """
     scratch = Scratch(docs.sparkSession, "alignment")
     width = len(models(a_path, b_path)[1].bytes)
-    cut = scratch.save(_cut(own_columns(docs, doc_id=id_col, text=text_col), a_path, b_path), "cut")
-    found = cut.select("block", F.posexplode("segments").alias("at", "segment")).select("segment", "block", "at")
-    codes = scratch.save(_align_distinct(found, a_path, b_path), "codes")
-    answered = codes.groupBy("block").agg(F.collect_list(F.struct("at", "code")).alias("codes"))
-    blocks = cut.join(answered, "block", "left").withColumn("codes", F.coalesce("codes", F.array().cast("array<struct<at: int, code: binary>>")))
-    composed = scratch.save(_compose(blocks, a_path, b_path, keep_groups), "composed")
-    scratch.drop("cut", "codes")
+    n_packets = PACKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = scratch.save(_cut(own_columns(docs, doc_id=id_col, text=text_col), a_path, b_path, n_packets), "cut")
+    packets = cut.select("block", F.explode("packets").alias("p")).select("p.packet", "block", "p.segments")
+    answers = scratch.save(_align_distinct(packets, a_path, b_path), "answers")
+    answered = answers.groupBy("block").agg(F.collect_list(F.struct("packet", "answer")).alias("answers"))
+    blocks = cut.drop("packets").join(answered, "block", "left").withColumn("answers", F.coalesce("answers", F.array().cast("array<struct<packet: int, answer: binary>>")))
+    composed = scratch.save(_compose(blocks, width, keep_groups), "composed")
+    scratch.drop("cut", "answers")
     exploded = composed.select("block", F.posexplode(F.arrays_zip("pairs", "n_docs")).alias("at", "x")).select("block", "at", F.col("x.pairs").alias("pair"), F.col("x.n_docs").alias("n"))
     counts = scratch.save(exploded.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("a", F.expr(f"pair div {width}")), "pairs")
     most = counts.groupBy("a").agg(F.max("n").alias("most"))

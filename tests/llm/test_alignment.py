@@ -3,13 +3,14 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
 from sievestone.llm import queries
-from sievestone.llm.alignment import align_documents, aligned, alignment_code, cut_points, merge_path, models, segments
+from sievestone.llm.alignment import align_documents, align_segment, cut_points, group_texts, merge_path, models, pack, segments, unpack
 from sievestone.llm.tokens import byte_letters
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -101,6 +102,12 @@ def test_paths_close_groups_at_common_ends(sizes):
     ids = [list(range(len(s))) for s in sizes]
     path = merge_path(*ids, a_bytes, b_bytes)
     assert path[-1] == 2 and sum(s != 1 for s in path) == len(sizes[0]) and sum(s != 0 for s in path) == len(sizes[1])
-    size = sum(sizes[0])
-    own = aligned(alignment_code("x" * size, *ids, a_bytes, b_bytes), size > 255)
-    assert (own.n_a, own.n_b, len(own.pairs)) == (len(sizes[0]), len(sizes[1]), len(path))
+    own = align_segment("x" * sum(sizes[0]), *ids, a_bytes, b_bytes)
+    assert own[:2] == (len(sizes[0]), len(sizes[1])) and own[4] == path
+    assert align_segment("y", *ids, a_bytes, b_bytes) == (0, 0, b"", b"", b"")
+    groups = group_texts(*(np.array(i) for i in ids), np.frombuffer(path, np.uint8), np.array([0, len(path), 0]))
+    assert groups[0] == groups[2] == "" and groups[1].count(";") == sum(s == 2 for s in path) - 1
+
+
+def test_packs():
+    assert unpack(pack(b"", b"a", b"bc" * 500)) == [b"", b"a", b"bc" * 500]
