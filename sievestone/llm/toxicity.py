@@ -2,8 +2,8 @@
 
 - The lexicon holds words, and stems that words start with, that occur far more
   often in texts labelled toxic than in others. It comes from counts of all
-  labelled rows; likelihood ratios decide, against as many candidates as there
-  are.
+  labelled rows, near copies counting once; likelihood ratios decide, against
+  as many candidates as there are.
 - The terms form a trie. Levenshtein automata of all of them run over it at
   once: a state is the set of places in the trie that a prefix of a word can
   stand for, with the errors spent, and states are made when first reached.
@@ -31,7 +31,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, own_columns, slices, small_batches
+from .common import Scratch, own_columns, slices, small_batches, small_side
+from .minhash_dedup import shingle_hashes, words_of
 
 #: Fixed values. Signs that stand for letters inside words.
 LOOK_ALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"})
@@ -263,6 +264,28 @@ def _count_words(texts: DataFrame, most: int = 200_000) -> DataFrame:
     return partial.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"), F.expr("bit_or(spread)").alias("spread"))
 
 
+#: Odd multipliers of the hashes whose minima tell near copies.
+MINIMA = np.random.default_rng(5).integers(1, 1 << 62, 6, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _one_of_each(texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """key of one text of each group of near copies, of (key, text): those with the least key at each of six minima over runs of five words."""
+
+    def sketch(batches):
+        for batch in slices(batches, 1):
+            keys, lows = [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h = shingle_hashes(words_of(text or ""), 5)
+                if len(h):
+                    keys.append(key)
+                    lows.append((h[None, :] * MINIMA[:, None]).min(axis=1).astype(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lows, pa.list_(pa.int64()))], ["key", "lows"])
+
+    minima = scratch.save(texts.mapInArrow(sketch, "key long, lows array<long>").select("key", F.posexplode("lows").alias("k", "low")), "minima")
+    first = minima.groupBy("k", "low").agg(F.min("key").alias("first"))
+    return minima.join(first, ["k", "low"]).groupBy("key").agg(F.min((F.col("key") == F.col("first")).cast("int")).alias("own")).where("own = 1").select("key")
+
+
 def choose_terms(candidates: list[tuple[str, bool, float]], most: int) -> list[tuple[str, bool]]:
     """Terms of (text, stem, strength), strongest first, none of which is the beginning of another's stem.
 
@@ -292,8 +315,10 @@ def choose_terms(candidates: list[tuple[str, bool, float]], most: int) -> list[t
 
 
 def learn_terms(texts: DataFrame, scratch: Scratch, p: Toxicity) -> dict[tuple[str, bool], tuple[float, float]]:
-    """The lexicon, with each term's rate of occurrences in toxic and in other texts, from (text, toxic)."""
-    words = scratch.save(_count_words(texts), "words")
+    """The lexicon, with each term's rate of occurrences in toxic and in other texts, from (doc_id, text, toxic)."""
+    keyed = texts.select(F.xxhash64("doc_id", "text").alias("key"), "text", "toxic")
+    own = small_side(scratch.save(_one_of_each(keyed.select("key", "text"), scratch), "own"))
+    words = scratch.save(_count_words(keyed.join(own, "key", "left_semi").select("text", "toxic")), "words")
     toxic, other, n = words.agg(F.sum("toxic"), F.sum("other"), F.count("*")).first()
     if not toxic or not other:
         return {}
@@ -309,7 +334,7 @@ def learn_terms(texts: DataFrame, scratch: Scratch, p: Toxicity) -> dict[tuple[s
     term = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
     strength = 2 * (term(F.col("toxic"), both * share) + term(F.col("other"), both * (1 - share)))
     found = every.where(F.expr(f"bit_count(spread) >= {p.spread}")).select("text", "stem", "toxic", "other", strength.alias("strength"), ratio.alias("ratio"))
-    found = found.where((F.col("ratio") >= p.ratio) & (F.col("strength") >= 2 * math.log(8 * n + 1) + 6)).orderBy(F.col("strength").desc(), "text", "stem").limit(p.terms)
+    found = found.where((F.col("ratio") >= p.ratio) & (F.col("strength") >= 2 * math.log(8 * n + 1) + 10)).orderBy(F.col("strength").desc(), "text", "stem").limit(p.terms)
     rows = {(r["text"], r["stem"]): ((r["toxic"] + 0.5) / toxic, (r["other"] + 0.5) / other, r["strength"]) for r in found.collect()}
     scratch.drop("words")
     return {k: rows[k][:2] for k in choose_terms([(*k, v[2]) for k, v in rows.items()], p.terms)}
@@ -411,12 +436,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity(),
     marks = own_columns(labels, doc_id="doc_id", toxic="toxic").where("toxic is not null and doc_id is not null").where(condition)
     marks = marks.groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     source = own_columns(docs, doc_id=id_col, text=text_col)
-    rates = learn_terms(source.join(marks, "doc_id").select("text", "toxic"), scratch, p)
+    rates = learn_terms(source.join(small_side(marks), "doc_id").select("doc_id", "text", "toxic"), scratch, p)
     lowest = min([r[1] for r in rates.values()], default=1e-6)
     rates |= {(fold(w), False): (lowest * times, lowest) for w, times in (seeds or {}).items() if fold(w) and (fold(w), False) not in rates}
     terms = list(rates)
     hits = scratch.save(_match(source, terms, p), "hits")
-    known = hits.join(marks, "doc_id")
+    known = hits.join(small_side(marks), "doc_id")
     counts = {r["toxic"]: (r["n"], r["words"]) for r in known.groupBy("toxic").agg(F.count("*").alias("n"), F.sum("n_words").alias("words")).collect()}
     n = sum(c[0] for c in counts.values())
     if len(counts) < 2 or not terms:
