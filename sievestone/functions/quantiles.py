@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import ranked
+
 #: Values that one final list may hold.
 LIST_LIMIT = 200_000
 
@@ -61,3 +63,26 @@ def quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) ->
                     found[k] = _order_statistic(values, "v", k, counts[c])
         out[c] = [found[math.floor(at := p * (counts[c] - 1))] + (found[math.ceil(at)] - found[math.floor(at)]) * (at - math.floor(at)) if counts[c] else None for p in probabilities]
     return out
+
+
+def grouped_quantiles(df: DataFrame, group: str, columns: list[str], probabilities: list[float]) -> DataFrame:
+    """group, and of each column an array of the group's quantiles under the column's name; exact, null groups are one more.
+
+    Values are ranked over ranges of their order, so no task holds a group; only
+    the order statistics that the quantiles lie between come out of that. All
+    columns go through one ranking, a row for each value.
+    """
+    values = df.select(F.col(group).alias("g"), F.inline(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)]))).where("v is not null")
+    sizes = values.groupBy("g", "c").agg(F.count("*").alias("n"))
+    points = F.explode(F.array(*[F.struct(F.lit(i).alias("p"), (F.lit(float(p)) * (F.col("n") - 1)).alias("at")) for i, p in enumerate(probabilities)]))
+    wanted = sizes.select(F.col("g").alias("own_g"), F.col("c").alias("own_c"), points.alias("w")).select("own_g", "own_c", "w.p", "w.at")
+    ends = wanted.select("own_g", "own_c", "p", "at", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("place"))
+    rows = ranked(values, ["g", "c"], "v", "rank")
+    same = rows["g"].eqNullSafe(ends["own_g"]) & (rows["c"] == ends["own_c"]) & (rows["rank"] - 1 == ends["place"])
+    share = F.max(F.col("at") - F.floor("at"))
+    found = rows.join(ends, same).groupBy("own_g", "own_c", "p").agg((F.min("v") + (F.max("v") - F.min("v")) * share).alias("q"))
+    whole = found.groupBy("own_g", "own_c").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "q"))), lambda x: x["q"]).alias("q"))
+    arrays = whole.groupBy("own_g").agg(*[F.max(F.when(F.col("own_c") == i, F.col("q"))).alias(c) for i, c in enumerate(columns)])
+    every = df.select(F.col(group).alias(group)).distinct()
+    joined = every.join(arrays, every[group].eqNullSafe(arrays["own_g"]), "left")
+    return joined.select(every[group], *[arrays[c] for c in columns])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import numeric_columns, ratio
-from ..functions.quantiles import quantiles
+from ..functions.quantiles import grouped_quantiles, quantiles
 from ..functions.ranges import carried
 
 
@@ -141,8 +141,9 @@ def chunked(df: DataFrame, key: str, size: int) -> DataFrame:
 
 
 def chunk_report(df: DataFrame, columns: list[str], chunk: str = "chunk") -> DataFrame:
-    """Per chunk: rows, rows beyond the chunk's own IQR fences in any column, repeated rows, score."""
-    fences = df.groupBy(chunk).agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"q_{c}") for c in columns])
+    """Per chunk: rows, rows beyond the chunk's own IQR fences in any column, repeated rows, score. Fences come from ranks, so a chunk may have any size."""
+    q = grouped_quantiles(df, chunk, columns, [0.25, 0.75])
+    fences = q.select(chunk, *[F.col(c).alias(f"q_{c}") for c in columns])
     joined = df.join(fences, chunk)
     out = F.lit(False)
     for c in columns:
