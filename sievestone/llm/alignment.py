@@ -147,12 +147,18 @@ def align_segment(segment: str, a: list[int], b: list[int], a_bytes: list[bytes]
     raw = segment.encode("utf-8", "surrogatepass")
     if not a or not b or b"".join([a_bytes[i] for i in a]) != raw or b"".join([b_bytes[i] for i in b]) != raw:
         return 0, 0, b"", b"", b""
-    return len(a), len(b), np.array(a, ID).tobytes(), np.array(b, ID).tobytes(), merge_path(a, b, a_bytes, b_bytes)
+    kind = id_type(a_bytes, b_bytes)
+    return len(a), len(b), np.array(a, kind).tobytes(), np.array(b, kind).tobytes(), merge_path(a, b, a_bytes, b_bytes)
 
 
 ID = np.dtype("<u4")
 
 
+def id_type(a_bytes: list[bytes], b_bytes: list[bytes]) -> np.dtype:
+    """Of token ids in answers: two bytes where both vocabularies allow it."""
+    return np.dtype("<u2") if max(len(a_bytes), len(b_bytes)) <= 1 << 16 else ID
+
+
 def pack(*arrays: bytes) -> bytes:
     """Byte strings as one, compressed."""
     return zlib.compress(b"".join([np.array([len(arrays), *map(len, arrays)], ID).tobytes(), *arrays]), 1)
@@ -263,14 +269,14 @@ DOC_ARROW = pa.struct([*((c, pa.int64()) for c in ("doc_id", "n_a", "n_b", "n_gr
 COMPOSED_ARROW = pa.schema([("block", pa.int64()), ("docs", pa.list_(DOC_ARROW)), ("pairs", pa.list_(pa.int64())), ("n_docs", pa.list_(pa.int32()))])
 
 
-def _compose(blocks: DataFrame, width: int, keep_groups: bool) -> DataFrame:
+def _compose(blocks: DataFrame, kind: np.dtype, width: int, keep_groups: bool) -> DataFrame:
     """A row for each block: its documents with their counts and the pairs they link, and the block's pairs with how many of its documents link them."""
 
     def whole(row: dict) -> pa.RecordBatch:
         answers = [unpack(x["answer"]) for x in sorted(row["answers"], key=lambda x: x["packet"])]
         joined = lambda k, kind: np.frombuffer(b"".join([x[k] for x in answers]), kind)
         n_a, n_b, lengths = joined(0, ID).astype(np.int64).reshape(-1, 3).T
-        a, b, path = joined(1, ID), joined(2, ID), joined(3, np.uint8)
+        a, b, path = joined(1, kind), joined(2, kind), joined(3, np.uint8)
         texts = group_texts(a, b, path, lengths)
         on_a, on_b = path != B_ENDS, path != A_ENDS
         links = a[np.cumsum(on_a) - on_a].astype(np.int64) * width + b[np.cumsum(on_b) - on_b]
@@ -357,14 +363,15 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, keep_groups: bool
     tables give no rows.
     """
     scratch = Scratch(docs.sparkSession, "alignment")
-    width = len(models(a_path, b_path)[1].bytes)
+    vocabularies = [m.bytes for m in models(a_path, b_path)]
+    width = len(vocabularies[1])
     n_packets = PACKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = scratch.save(_cut(own_columns(docs, doc_id=id_col, text=text_col), a_path, b_path, n_packets), "cut")
     packets = cut.select("block", F.explode("packets").alias("p")).select("p.packet", "block", "p.segments")
     answers = scratch.save(_align_distinct(packets, a_path, b_path), "answers")
     answered = answers.groupBy("block").agg(F.collect_list(F.struct("packet", "answer")).alias("answers"))
     blocks = cut.drop("packets").join(answered, "block", "left").withColumn("answers", F.coalesce("answers", F.array().cast("array<struct<packet: int, answer: binary>>")))
-    composed = scratch.save(_compose(blocks, width, keep_groups), "composed")
+    composed = scratch.save(_compose(blocks, id_type(*vocabularies), width, keep_groups), "composed")
     scratch.drop("cut", "answers")
     exploded = composed.select("block", F.posexplode(F.arrays_zip("pairs", "n_docs")).alias("at", "x")).select("block", "at", F.col("x.pairs").alias("pair"), F.col("x.n_docs").alias("n"))
     counts = scratch.save(exploded.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("a", F.expr(f"pair div {width}")), "pairs")
