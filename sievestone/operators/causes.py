@@ -110,14 +110,38 @@ def weak_slices(df: DataFrame, correct: str, numbers: list[str], categories: lis
     return s.where(F.col("p_value") <= alpha).select("slice", "rows", "accuracy", "gap", "p_value")
 
 
-def prune_slices(found: list[dict], members: dict[str, set], overlap: float = 0.9, near: float = 0.02) -> list[dict]:
-    """Of a bounded list of slices, best first, those not covered by a kept one of about the same gap."""
-    kept: list[dict] = []
-    for s in sorted(found, key=lambda s: -s["gap"]):
-        own = members[s["slice"]]
-        if not any(len(own & members[k["slice"]]) > overlap * len(own) and abs(k["gap"] - s["gap"]) <= near for k in kept):
-            kept.append(s)
-    return kept
+def slice_overlaps(df: DataFrame, numbers: list[str], categories: list[str], depth: int, found: DataFrame) -> DataFrame:
+    """a, b, shared: rows that lie in both of two of the slices ``found``, for a = b a slice's size.
+
+    Pairs are made within each row, of those of its slices that were found, and
+    counted with map-side sums; no list of rows leaves a task.
+    """
+    names = F.lit([r["slice"] for r in found.select("slice").collect()])  # the slices to be pruned, a chosen number
+    marked = conditions(df, numbers, categories)
+    sets = [c for d in range(1, depth + 1) for c in combinations(range(len(numbers) + len(categories)), d)]
+    own = F.array_compact(F.array(*[F.when(F.size("conditions") > max(c), F.concat_ws(" & ", *[F.col("conditions")[i] for i in c])) for c in sets]))
+    rows = marked.select(F.array_sort(F.array_intersect(own, names)).alias("s"))
+    pairs = F.flatten(F.transform("s", lambda a, i: F.transform(F.slice("s", i + 1, F.size("s") - i), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    return rows.select(F.inline(pairs)).groupBy("a", "b").agg(F.count("*").alias("shared"))
+
+
+def pruned_slices(df: DataFrame, correct: str, numbers: list[str], categories: list[str], depth: int = 2, most: int = 200, least_gap: float = 0.05, overlap: float = 0.9, near: float = 0.02) -> DataFrame:
+    """slice, rows, accuracy, gap of the ``most`` worst slices, less those of which a kept, worse one covers over ``overlap`` at about the same gap.
+
+    Greedy over slices, worst first, ties by name; the driver sees a row for
+    each slice and for each pair that overlaps.
+    """
+    s = slices(df, correct, numbers, categories, depth).where(F.col("gap") >= least_gap).select("slice", "rows", "accuracy", "gap")
+    found = s.orderBy(F.desc(F.round("gap", 12)), "slice").limit(most)
+    rows = found.collect()
+    shared = {}
+    for r in slice_overlaps(df, numbers, categories, depth, df.sparkSession.createDataFrame(rows, found.schema)).where("a <> b").collect() if rows else []:
+        shared[r["a"], r["b"]] = shared[r["b"], r["a"]] = r["shared"]
+    kept = []
+    for r in rows:
+        if not any(shared.get((r["slice"], k["slice"]), 0) > overlap * r["rows"] and abs(k["gap"] - r["gap"]) <= near for k in kept):
+            kept.append(r)
+    return df.sparkSession.createDataFrame(kept, found.schema)
 
 
 def performance_drop(runs: DataFrame, order: str, metric: str, window: int = 5) -> DataFrame:

@@ -104,6 +104,75 @@ def monitor(reference: DataFrame, batches: DataFrame, batch: str, categories: li
     return reduce(DataFrame.unionByName, out).withColumns({"severity": severity(F.col("psi")), "alert": F.col("psi") >= alert_at})
 
 
+def reference_bins(reference: DataFrame, columns: list[str], bins: int = 10) -> DataFrame:
+    """feature, low, width, bin, a: equal bins over the reference's range of each column, with its counts; empty bins have a row too."""
+    row = reference.agg(*[F.struct(F.min(c).cast("double"), F.max(c).cast("double")).alias(c) for c in columns]).first()
+    edges = [(c, float(row[c][0] or 0.0), (row[c][1] - row[c][0]) / bins if row[c][0] is not None and row[c][1] > row[c][0] else 1.0, float(row[c][1] if row[c][1] is not None else -1.0)) for c in columns]
+    spans = reference.sparkSession.createDataFrame(edges, "feature string, low double, width double, high double")
+    every = spans.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    counts = binned(reference, spans, bins)
+    return every.join(counts, ["feature", "bin"], "left").select("feature", "low", "width", "high", "bin", F.coalesce("n", F.lit(0)).alias("a"))
+
+
+def binned(rows: DataFrame, spans: DataFrame, bins: int, by: list[str] = ()) -> DataFrame:
+    """by, feature, bin, n: counts of values within the spans of ``spans`` (feature, low, width, high), a row for each column; all columns in one scan."""
+    names = [r["feature"] for r in spans.select("feature").distinct().collect()]
+    values = rows.select(*by, F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in names])))
+    met = values.join(F.broadcast(spans.select("feature", "low", "width", "high").distinct()), "feature").where((F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high")))
+    cell = F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("low")) / F.col("width"))).cast("int")
+    return met.groupBy(*by, "feature", cell.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def numeric_monitor(bins_of: DataFrame, batches: DataFrame, batch: str, bins: int = 10, alert_at: float = 0.1, floor: float = 1e-4) -> DataFrame:
+    """batch, feature, psi, severity, alert of numeric columns against ``reference_bins``, all batches in one pass. Values outside of the reference's range are left out."""
+    q = binned(batches.withColumn("__batch", F.col(batch)), bins_of, bins, ["__batch"]).withColumnRenamed("__batch", "batch")
+    return _judged(bins_of, q, alert_at, floor)
+
+
+def _judged(bins_of: DataFrame, q: DataFrame, alert_at: float, floor: float) -> DataFrame:
+    full = q.select("batch", "feature").distinct().join(F.broadcast(bins_of), "feature").join(q, ["batch", "feature", "bin"], "left").na.fill(0, ["n"])  # bins of a row for each column
+    total = full.groupBy("batch", "feature").agg(F.sum("a").alias("na"), F.sum("n").alias("nb"))
+    x, y = F.greatest(F.col("a") / F.greatest("na", F.lit(1)), F.lit(floor)), F.greatest(F.col("n") / F.greatest("nb", F.lit(1)), F.lit(floor))
+    out = full.join(total, ["batch", "feature"]).groupBy("batch", "feature").agg(F.sum((y - x) * F.ln(y / x)).alias("psi"))
+    return out.withColumns({"severity": severity(F.col("psi")), "alert": F.col("psi") >= alert_at})
+
+
+class BatchMonitor:
+    """``foreachBatch`` sink: a stream's counts in the reference's bins, batch by batch, in ``folder``.
+
+    A batch's counts are a folder of their own, which a batch that runs again
+    replaces, so replays count once. ``history`` has the drift of every batch,
+    ``trend`` its course, ``recent`` that of the last batches taken together.
+    """
+
+    def __init__(self, folder: str, reference: DataFrame, columns: list[str], bins: int = 10):
+        self.folder, self.bins, self.spark = folder.rstrip("/"), bins, reference.sparkSession
+        reference_bins(reference, columns, bins).write.mode("overwrite").parquet(f"{self.folder}/reference")
+
+    def reference(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/reference")
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        binned(batch, self.reference(), self.bins).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/counts/batch={number}")
+
+    def counts(self) -> DataFrame:
+        return self.spark.read.schema("feature string, bin int, n long, batch long").option("basePath", f"{self.folder}/counts").parquet(f"{self.folder}/counts")
+
+    def history(self, alert_at: float = 0.1) -> DataFrame:
+        return _judged(self.reference(), self.counts(), alert_at, 1e-4)
+
+    def recent(self, batches: int, alert_at: float = 0.1) -> DataFrame:
+        """The drift of the last batches as one, named by the last."""
+        last = self.counts().agg(F.max("batch")).first()[0]
+        own = self.counts().where(F.col("batch") > last - batches).groupBy("feature", "bin").agg(F.sum("n").alias("n"), F.lit(last).alias("batch"))
+        return _judged(self.reference(), own, alert_at, 1e-4)
+
+    def trend(self) -> DataFrame:
+        """feature, batches, slope of the drift over batches, direction."""
+        g = self.history().groupBy("feature").agg(F.count("*").alias("batches"), F.regr_slope("psi", "batch").alias("slope"))
+        return g.withColumn("direction", F.when(F.col("slope") > 0.01, "rising").when(F.col("slope") < -0.01, "falling").otherwise("stable"))
+
+
 def severity(score):
     return F.when(score < 0.05, "none").when(score < 0.1, "low").when(score < 0.2, "medium").when(score < 0.5, "high").otherwise("critical")
 
