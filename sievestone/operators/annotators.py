@@ -80,6 +80,34 @@ def majority_vote(a: DataFrame, sample: str = "sample_id", label: str = "label",
     return c.join(top, [sample, "votes"]).groupBy(sample, "votes").agg(F.count("*").alias("k"), F.min(label).alias("label")).select(sample, F.when(F.col("k") == 1, F.col("label")).alias("label"), "votes")
 
 
+def resolved(a: DataFrame, strategy: str = "majority", sample: str = "sample_id", label: str = "label", weight: str = "weight", confidence: str = "confidence", role: str = "role", experts: tuple[str, ...] = ("expert", "admin")) -> DataFrame:
+    """sample, label, support, by: one label for each sample by votes.
+
+    ``majority``: the label of most votes. ``weighted``: of the largest sum of
+    weight times confidence. ``expert``: of most votes of experts, where there
+    are any, else of all. ``consensus``: the label of all votes, if it is one.
+    Null where two labels share the lead or there is no consensus; null labels
+    are no votes; null weights and confidences count as 1. ``support`` is the
+    label's share of what was summed, ``by`` whose votes decided.
+    """
+    votes = a.where(F.col(label).isNotNull())
+    one = F.lit(1.0)
+    if strategy == "weighted":
+        one = F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) * F.coalesce(F.col(confidence).cast("double"), F.lit(1.0))
+    expert = F.coalesce(F.col(role).isin(*experts), F.lit(False)) if strategy == "expert" else F.lit(False)
+    sums = votes.groupBy(sample, label).agg(F.sum(one).alias("all"), F.sum(F.when(expert, one).otherwise(0.0)).alias("own"))
+    whole = sums.groupBy(sample).agg(F.sum("all").alias("n"), F.sum("own").alias("n_own"), F.max("all").alias("top"), F.max("own").alias("top_own"))
+    j = sums.join(whole, sample)
+    decided = F.col("n_own") > 0
+    leads = F.when(decided, F.col("own") == F.col("top_own")).otherwise(F.col("all") == F.col("top"))
+    share = F.when(decided, ratio(F.col("top_own"), F.col("n_own"))).otherwise(ratio(F.col("top"), F.col("n")))
+    best = j.where(leads).groupBy(sample).agg(F.count("*").alias("k"), F.min(label).alias("label"), F.max(share).alias("support"), F.max(F.when(decided, "experts").otherwise("all")).alias("by"))
+    alone = F.col("k") == 1
+    if strategy == "consensus":
+        alone = alone & (F.col("support") >= 1 - 1e-12)
+    return best.select(sample, F.when(alone, F.col("label")).alias("label"), "support", "by")
+
+
 def labeler_metrics(a: DataFrame, labeler: str = "labeler_id", task: str = "task_id", label: str = "label", truth: str = "ground_truth") -> DataFrame:
     """labeler, tasks, accuracy (0.5 without truth), agreement (0.5 without peers), expertise, percentile of accuracy."""
     own = a.groupBy(labeler).agg(F.count("*").alias("tasks"), F.coalesce(F.avg((F.col(label) == F.col(truth)).cast("int")), F.lit(0.5)).alias("accuracy"))

@@ -1,0 +1,101 @@
+"""Quality of tables foretold from numbers about them, learnt from many bootstrap tables of which the quality is known."""
+
+from __future__ import annotations
+
+import math
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.exprs import ratio
+from .scores import duplicate_score, imbalance_score, outlier_score, overall
+
+NUMBERS = ["log_rows", "missing_rate", "duplicate_rate", "mean_skew", "mean_kurtosis", "mean_correlation", "label_entropy", "imbalance_ratio", "log_classes"]
+
+
+def bootstrap_tables(df: DataFrame, key: str, tables: int, seed: int = 42, spoil: dict[str, Column] | None = None, most: float = 0.4) -> DataFrame:
+    """The rows of ``tables`` samples of a table, each with a column ``table``; how many rows and how spoilt differs from one to the next.
+
+    A row lies in a table if its hash with the table's number says so, and more
+    than once by a second hash. In a row that a third hash picks, at the table's
+    own rate, columns are replaced as ``spoil`` says. The samples are made
+    within rows: a row goes out as often as it is drawn.
+    """
+    size = 1 << 20
+    draw = lambda salt, *more: F.pmod(F.xxhash64(key, F.col("table"), *more, F.lit(seed + salt)), F.lit(size)) / size
+    own = lambda salt: F.pmod(F.xxhash64("table", F.lit(seed + salt)), F.lit(size)) / size
+    rows = df.withColumn("table", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))))
+    rows = rows.where(draw(1) < 0.3 + 0.7 * own(2))
+    copies = F.when(draw(3) < most * own(4), 2).otherwise(1)
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+    hit = draw(5, F.lit(0)) < most * own(6)
+    return rows.withColumns({c: F.when(hit, value).otherwise(F.col(c)) for c, value in (spoil or {}).items()}).drop("copy")
+
+
+def table_numbers(rows: DataFrame, label: str, columns: list[str], fences: dict[str, tuple[float, float]]) -> DataFrame:
+    """table, ``NUMBERS``, quality of every table of ``rows``, all tables in common grouped passes.
+
+    The quality is the overall score of repeats, values outside ``fences`` and
+    class sizes. Copies are counted by groups of equal rows first, so a hot copy
+    is one counter a task.
+    """
+    mean = lambda parts: reduce(Column.__add__, parts) / max(1, len(parts))
+    zero = lambda c: F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0))
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    out = reduce(Column.__or__, [F.coalesce((F.col(c) < lo) | (F.col(c) > hi), F.lit(False)) for c, (lo, hi) in fences.items()], F.lit(False))
+    main = rows.groupBy("table").agg(
+        F.count("*").alias("n"), mean([F.avg(F.col(c).isNull().cast("double")) for c in columns]).alias("missing_rate"), mean([F.abs(zero(F.skewness(c))) for c in columns]).alias("mean_skew"),
+        mean([F.abs(zero(F.kurtosis(c))) for c in columns]).alias("mean_kurtosis"), (mean([F.abs(zero(F.corr(a, b))) for a, b in pairs]) if pairs else F.lit(0.0)).alias("mean_correlation"), F.count_if(out).alias("outliers"),
+    )
+    plain = rows.select("table", F.col(label).alias("row_label"), *[F.col(c).alias(f"column_{i}") for i, c in enumerate(columns)])  # names of our own
+    copies = plain.groupBy(*plain.columns).agg(F.count("*").alias("size")).groupBy("table").agg(F.sum(F.col("size") - 1).alias("repeats"))
+    classes = plain.where("row_label is not null").groupBy("table", "row_label").agg(F.count("*").alias("size"))
+    total = classes.groupBy("table").agg(F.sum("size").alias("t"), F.max("size").alias("top"), F.min("size").alias("low"), F.count("*").alias("k"))
+    p = F.col("size") / F.col("t")
+    entropy = classes.join(total, "table").groupBy("table").agg(F.sum(-p * F.log2(p)).alias("label_entropy"), F.first(ratio(F.col("top"), F.col("low"))).alias("imbalance_ratio"), F.first("k").alias("k"))
+    j = main.join(copies, "table").join(entropy, "table", "left").na.fill({"label_entropy": 0.0, "imbalance_ratio": 1.0, "k": 1})
+    parts = {"duplicate": duplicate_score(F.col("repeats"), F.col("repeats"), F.col("n")), "outlier": outlier_score(F.col("outliers"), F.col("n")), "imbalance": imbalance_score(F.col("imbalance_ratio"))}
+    quality = overall(parts) - 20 * F.col("missing_rate")
+    return j.select("table", F.log1p("n").alias("log_rows"), "missing_rate", ratio(F.col("repeats"), F.col("n")).alias("duplicate_rate"), "mean_skew", "mean_kurtosis", "mean_correlation", "label_entropy", "imbalance_ratio", F.log1p("k").alias("log_classes"), quality.alias("quality"))
+
+
+@dataclass
+class Predictor:
+    """Boosted trees, and the quantile of held-out residuals that an interval is made of."""
+
+    model: GBTRegressionModel
+    width: float
+    share: float
+    error: float
+    mean_error: float
+
+    def predict(self, numbers: DataFrame) -> DataFrame:
+        """table, predicted, low, high of rows of ``NUMBERS``, within 0 and 100."""
+        x = VectorAssembler(inputCols=NUMBERS, outputCol="x").transform(numbers)
+        out = self.model.transform(x)
+        held = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(100.0), c))
+        return out.select("table", held(F.col("prediction")).alias("predicted"), held(F.col("prediction") - self.width).alias("low"), held(F.col("prediction") + self.width).alias("high"))
+
+
+def learn(numbers: DataFrame, share: float = 0.9, trees: int = 20, depth: int = 4, seed: int = 42) -> Predictor:
+    """A predictor of ``quality`` from rows of ``NUMBERS``, one for each table.
+
+    Three fifths of the tables, by hash, train; a fifth gives the residuals whose
+    quantile, at ``share``, is half the interval; a fifth gives the errors told,
+    of the predictor and of the training tables' mean.
+    """
+    part = numbers.withColumn("part", F.pmod(F.xxhash64("table", F.lit(seed)), F.lit(5)))
+    x = VectorAssembler(inputCols=NUMBERS, outputCol="x").transform(part)
+    train = x.where("part < 3")
+    model = GBTRegressor(featuresCol="x", labelCol="quality", maxIter=trees, maxDepth=depth, seed=seed).fit(train)
+    mean = train.agg(F.avg("quality")).first()[0]
+    rest = model.transform(x.where("part >= 3")).select("part", F.abs(F.col("quality") - F.col("prediction")).alias("e"), F.abs(F.col("quality") - F.lit(mean)).alias("m")).collect()  # two fifths of the tables, a row each
+    calibration = sorted(r["e"] for r in rest if r["part"] == 3)
+    held = [r for r in rest if r["part"] == 4]
+    at = min(len(calibration) - 1, math.ceil(share * (len(calibration) + 1)) - 1)
+    average = lambda xs: sum(xs) / max(1, len(xs))
+    return Predictor(model, calibration[at] if calibration else math.inf, share, average([r["e"] for r in held]), average([r["m"] for r in held]))

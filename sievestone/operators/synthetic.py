@@ -131,6 +131,48 @@ def noisy(df: DataFrame, columns: list[str], level: float = 0.05, seed: int = 42
     return df.withColumns({c: F.col(c) + F.randn(seed + i) * (level * (row[c] or 0.0)) for i, c in enumerate(columns)})
 
 
+def interpolated(df: DataFrame, key: str, label: str, columns: list[str], plan: DataFrame, low: float = 0.2, high: float = 0.8, seed: int = 42) -> DataFrame:
+    """source, partner, label and ``columns``: points between two rows of a planned class, as many as its target lacks, the same on every run.
+
+    A class's rows are ranked by their key's hash over ranges of it; a row's
+    partner for its j-th point is the row j places on, round about, so partners
+    are found by a join on ranks. The share of the partner lies between ``low``
+    and ``high``. A class of one row has no points; null numbers stay null.
+    """
+    mark, place = fresh(df, "mark", "place")
+    plan = plan.select(F.col("label").alias("planned"), (F.col("target") - F.col("count")).alias("lacking"), F.col("count").alias("own_rows")).where("lacking > 0 and own_rows > 1")
+    small = df.select(key, label, *columns).join(F.broadcast(plan), df[label] == plan["planned"]).withColumn(mark, F.xxhash64(key, F.lit(seed)))  # a row for each class
+    rows = ranked(small, [label], mark, place, ties=key)
+    rounds = F.sequence(F.lit(1).cast("long"), F.greatest(F.ceil(F.col("lacking") / F.col("own_rows")).cast("long"), F.lit(1).cast("long")))
+    wanted = rows.withColumn("round", F.explode(rounds)).where((F.col("round") - 1) * F.col("own_rows") + F.col(place) <= F.col("lacking"))
+    step = F.pmod(F.col("round") - 1, F.col("own_rows") - 1) + 1
+    wanted = wanted.withColumn("other", F.pmod(F.col(place) - 1 + step, F.col("own_rows")) + 1)
+    a, b = wanted.alias("a"), rows.alias("b")
+    met = a.join(b, (F.col(f"a.{label}") == F.col(f"b.{label}")) & (F.col("a.other") == F.col(f"b.{place}")))
+    share = low + (high - low) * F.pmod(F.xxhash64(F.col(f"a.{key}"), F.col("a.round"), F.lit(seed + 1)), F.lit(1000)) / 1000
+    return met.select(F.col(f"a.{key}").alias("source"), F.col(f"b.{key}").alias("partner"), F.col(f"a.{label}").alias(label), *[(F.col(f"a.{c}") + (F.col(f"b.{c}") - F.col(f"a.{c}")) * share).alias(c) for c in columns])
+
+
+def drawn_categories(real: DataFrame, column: str, draws: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """``draws`` with a category for each row, drawn by the real table's frequencies, nulls among them.
+
+    A row's hash falls into one of the running shares of the categories; rows and
+    shares meet by buckets of the hash, so a table of many categories may be of
+    any size.
+    """
+    size = 1 << 40
+    counts = real.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("t"))
+    w = Window.orderBy(F.desc("n"), F.col("value").asc_nulls_last())
+    runs = counts.crossJoin(F.broadcast(total)).withColumn("until", (F.sum("n").over(w) / F.col("t") * size).cast("long"))  # a row for each category
+    runs = runs.select("value", F.lag("until", 1, 0).over(w).alias("since"), "until").where("until > since")
+    marked = draws.withColumn("at", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(size)))
+    buckets = 1024
+    spread = runs.withColumn("bucket", F.explode(F.sequence(F.expr(f"since div {size // buckets}"), F.expr(f"(until - 1) div {size // buckets}"))))
+    met = marked.withColumn("bucket", F.expr(f"at div {size // buckets}")).join(spread, ["bucket"]).where("at >= since and at < until")
+    return met.select(*draws.columns, F.col("value").alias(column))
+
+
 def smote(vectors: DataFrame, key: str, vector: str, k: int = 5, seed: int = 42) -> DataFrame:
     """key, v: a point between every row and one of its k nearest, both picked by hash."""
     from .vectors import top_k

@@ -103,6 +103,49 @@ def instruction_report(df: DataFrame, key: list[str], order: list[str]) -> DataF
     return kinds.groupBy("issue").agg(F.count("*").alias("n")).unionByName(repeats.where("n > 0"))
 
 
+def instruction_issues(df: DataFrame, key: str, instruction: str = "instruction", response: str = "response", kinds: tuple[str, ...] = ("duplicate", "length", "coherence", "format"), least: int = 10) -> DataFrame:
+    """key, issue: instructions that repeat the one of a smaller key, and length, coherence and format of responses, as far as ``kinds`` asks for them."""
+    from .duplicates import pointers
+
+    parts = []
+    if "duplicate" in kinds:
+        parts.append(pointers(df.select(key, F.coalesce(F.col(instruction), F.lit("")).alias("i")), key, ["i"]).select(key, F.lit("duplicate").alias("issue")))
+    if "length" in kinds:
+        parts.append(length_issues(df, [key], response, least).select(key, "issue"))
+    if "coherence" in kinds:
+        parts.append(coherence_issues(df, [key], instruction, response).select(key, "issue"))
+    if "format" in kinds:
+        parts.append(format_issues(df, [key], response).select(key, "issue"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def passage_issues(df: DataFrame, key: str, text: str = "text", kinds: tuple[str, ...] = ("duplicate", "length"), least: int = 10) -> DataFrame:
+    """key, issue of the passages of a retrieval corpus: repeats of one with a smaller key, and texts too short."""
+    from .duplicates import pointers
+
+    parts = []
+    if "duplicate" in kinds:
+        parts.append(pointers(df.select(key, F.coalesce(F.col(text), F.lit("")).alias("i")), key, ["i"]).select(key, F.lit("duplicate").alias("issue")))
+    if "length" in kinds:
+        parts.append(length_issues(df, [key], text, least).where("issue = 'too_short'").select(key, "issue"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def cleaned(df: DataFrame, key: str, issues: DataFrame, drop: tuple[str, ...] = ("duplicate", "too_short")) -> DataFrame:
+    """The table without rows that have an issue of the kinds to drop. Incoherent pairs are those with repetition, refusal or empty."""
+    gone = issues.where(F.col("issue").isin(*drop)).select(F.col(key).alias("gone")).distinct()
+    return df.join(gone, df[key] == gone["gone"], "left_anti")
+
+
+def issue_summary(df: DataFrame, issues: DataFrame) -> DataFrame:
+    """One row: n_samples, n_issues, duplicate_rate, short_rate, coherence, quality (1 less issues a row, not below 0)."""
+    n = df.agg(F.count("*").alias("n_samples"))
+    k = lambda *names: F.count_if(F.col("issue").isin(*names))
+    found = issues.agg(F.count("*").alias("n_issues"), k("duplicate").alias("d"), k("too_short").alias("s"), k("repetition", "refusal", "empty").alias("c"))
+    rate = lambda c: ratio(F.col(c), F.col("n_samples"))
+    return n.crossJoin(found).select("n_samples", "n_issues", rate("d").alias("duplicate_rate"), rate("s").alias("short_rate"), (1 - rate("c")).alias("coherence"), F.greatest(F.lit(0.0), 1 - rate("n_issues")).alias("quality"))
+
+
 def helpfulness(instruction: Column, response: Column) -> Column:
     n = F.length(response)
     fill = ratio(reduce(Column.__add__, [occurrences(F.lower(response), p) for p in FILLERS]), F.size(words(F.lower(response))))

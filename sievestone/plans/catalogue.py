@@ -43,7 +43,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load() -> None:
-    from . import queries_core, queries_depth, queries_more, queries_stats, queries_text  # noqa: F401
+    from . import queries_core, queries_depth, queries_facade, queries_more, queries_stats, queries_text  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

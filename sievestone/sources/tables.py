@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans import registry
+
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "gif", "bmp", "tiff", "webp")
 
 
@@ -30,9 +32,11 @@ def load(data: DataFrame, label: str | None = None, features: list[str] | None =
 
 
 def read_any(spark: SparkSession, path: str, schema: T.StructType | str | None = None, kind: str | None = None) -> DataFrame:
-    """Parquet, ORC, JSON lines or text by suffix, anything else as CSV with a header; ``kind`` overrides the suffix."""
+    """Parquet, ORC, JSON lines, text or a registered loader's format by suffix, anything else as CSV with a header; ``kind`` overrides the suffix."""
     kind = kind or path.rstrip("/").rsplit(".", 1)[-1].lower()
     kind = {"jsonl": "json", "ndjson": "json", "txt": "text"}.get(kind, kind)
+    if kind in registry.names("loader"):
+        return registry.get("loader", kind)(spark, path, schema)
     reader = spark.read.schema(schema) if schema else spark.read
     if kind in ("parquet", "orc", "json", "text"):
         return getattr(reader, kind)(path)
@@ -67,6 +71,9 @@ def stream(spark: SparkSession, kind: str, schema: str | None = None, **options)
 
 
 def write_any(df: DataFrame, path: str, kind: str = "parquet", mode: str = "error") -> None:
+    if kind in registry.names("exporter"):
+        registry.get("exporter", kind)(df, path, mode)
+        return
     writer = df.write.mode(mode)
     writer.csv(path, header=True) if kind == "csv" else getattr(writer, kind)(path)
 
