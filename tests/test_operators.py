@@ -29,6 +29,24 @@ def test_quantiles_narrow_to_the_exact_value(spark, monkeypatch, limit):
     assert q["none"] == [None] * 4 and q["same"] == [3.0] * 4
 
 
+def test_jobs_of_quantiles_do_not_grow_with_columns(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(quantiles, "LIST_LIMIT", 500)
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in rng.normal(size=(30_000, 6)).round(3)], ", ".join(f"c{i} double" for i in range(6))).repartition(4).cache()
+    jobs = []
+    for n in (1, 6):
+        spark.sparkContext.setJobGroup(f"quantiles-{n}", "")
+        got = quantiles.quantiles(df, [f"c{i}" for i in range(n)], [0.25, 0.5, 0.75])
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"quantiles-{n}")))
+        for i in range(n):
+            assert np.allclose(got[f"c{i}"], np.quantile([r[i] for r in df.collect()], [0.25, 0.5, 0.75]))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] <= 2 * jobs[0] + 4
+
+
+
 def test_duplicates_of_nulls_and_groups(spark, tmp_path):
     df = spark.createDataFrame([(0, "a", None), (1, "a", None), (2, "b", 1.0), (3, "a", None), (4, None, None)], "k long, s string, x double")
     assert {(r.key1, r.key2) for r in duplicates.exact_pairs(df, "k", ["s", "x"]).collect()} == {(0, 1), (0, 3)}  # each with the least of its group
