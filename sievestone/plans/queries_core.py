@@ -179,9 +179,11 @@ def without_duplicates(spark, d):
     return duplicates.first_of_each(t(spark, d, "documents"), "doc_id", ["text"]).select("doc_id")
 
 
-@query("contamination_exact", "select doc_id as train_key, min(item_id) as test_key, count(*) as test_rows, 'critical' as severity from documents join benchmark using (text) group by doc_id")
+@query("contamination_exact", "with x as (select doc_id, text, coalesce(source in ('src1', 'src2', 'src3'), false) as test from documents) select a.doc_id as train_key, min(b.doc_id) as test_key, count(*) as test_rows, 'critical' as severity from x a join x b on a.text = b.text and b.test and not a.test group by a.doc_id")
 def contamination_exact(spark, d):
-    return duplicates.cross_pairs(t(spark, d, "documents"), t(spark, d, "benchmark"), "doc_id", "item_id", ["text"])
+    docs = t(spark, d, "documents")
+    test = F.coalesce(F.col("source").isin("src1", "src2", "src3"), F.lit(False))
+    return duplicates.cross_pairs(docs.where(~test), docs.where(test), "doc_id", "doc_id", ["text"])
 
 
 @query("fuzzy_pairs", """with m as (select min(s_acctbal) a, max(s_acctbal) b, min(s_nationkey) c, max(s_nationkey) e from supplier),
@@ -192,20 +194,22 @@ def fuzzy_pairs(spark, d):
     return duplicates.near_pairs(duplicates.unit_vectors(t(spark, d, "supplier"), "s_suppkey", ["s_acctbal", "s_nationkey"]), "s_suppkey", 0.9995)
 
 
-@query("zscore_outliers", f"""with s as (select avg(l_quantity) a, stddev_pop(l_quantity) b, avg(l_extendedprice) c, stddev_pop(l_extendedprice) e from lineitem),
-    z as (select {ITEM} as key, abs((l_quantity - a) / b) as z1, abs((l_extendedprice - c) / e) as z2 from lineitem, s)
-    select key, ((z1 > 2)::int * z1 + (z2 > 2)::int * z2) / ((z1 > 2)::int + (z2 > 2)::int) as score, concat_ws(',', case when z2 > 2 then 'l_extendedprice' end, case when z1 > 2 then 'l_quantity' end) as features from z where z1 > 2 or z2 > 2""", "score")
+@query("zscore_outliers", """with s as (select avg(value) a, stddev_pop(value) b, avg(user_id) c, stddev_pop(user_id) e from events), z as (select event_id, abs((value - a) / b) as z1, abs((user_id - c) / e) as z2 from events, s)
+    select event_id, ((z1 > 3)::int * z1 + (z2 > 3)::int * z2) / ((z1 > 3)::int + (z2 > 3)::int) as score, concat_ws(',', case when z2 > 3 then 'user_id' end, case when z1 > 3 then 'value' end) as features from z where z1 > 3 or z2 > 3""", "score")
 def zscore_outliers(spark, d):
-    return outliers.zscore(items(spark, d), "key", ["l_quantity", "l_extendedprice"], 2.0)
+    return outliers.zscore(t(spark, d, "events"), "event_id", ["value", "user_id"])
 
 
 IQR_SQL = f"""with q as (select quantile_cont(o_totalprice, 0.25) a, quantile_cont(o_totalprice, 0.75) b from orders)
     select o_orderkey as key, greatest(0, a - 1.5 * (b - a) - o_totalprice, o_totalprice - b - 1.5 * (b - a)) / (b - a) as score, 'o_totalprice' as features from orders, q where o_totalprice < a - 1.5 * (b - a) or o_totalprice > b + 1.5 * (b - a)"""
 
 
-@query("iqr_outliers", IQR_SQL, "score")
+VALUE_IQR = "with q as (select quantile_cont(value, 0.25) a, quantile_cont(value, 0.75) b from events) select event_id, greatest(a - 1.5 * (b - a) - value, value - b - 1.5 * (b - a)) / (b - a) as score, 'value' as features from events, q where value < a - 1.5 * (b - a) or value > b + 1.5 * (b - a)"
+
+
+@query("iqr_outliers", VALUE_IQR, "score")
 def iqr_outliers(spark, d):
-    return outliers.iqr(t(spark, d, "orders").withColumnRenamed("o_orderkey", "key"), "key", ["o_totalprice"])
+    return outliers.iqr(t(spark, d, "events"), "event_id", ["value"])
 
 
 @query("ensemble_outliers", """with s as (select avg(o_totalprice) m, stddev_pop(o_totalprice) s, quantile_cont(o_totalprice, 0.25) a, quantile_cont(o_totalprice, 0.75) b from orders),
@@ -431,9 +435,9 @@ def without_issues(spark, d):
     return repairs.without(o, "key", outliers.iqr(o, "key", ["o_totalprice"]), o.where("key % 100 = 0")).select(F.col("key").alias("o_orderkey"))
 
 
-@query("gravest_outliers", f"with q as ({IQR_SQL}) select key from q where score >= (select quantile_cont(score, 0.75) from q)")
+@query("gravest_outliers", f"with q as ({VALUE_IQR}) select event_id from q where score >= (select quantile_cont(score, 0.75) from q)")
 def gravest_outliers(spark, d):
-    return repairs.gravest_outliers(outliers.iqr(t(spark, d, "orders").withColumnRenamed("o_orderkey", "key"), "key", ["o_totalprice"])).select("key")
+    return repairs.gravest_outliers(outliers.iqr(t(spark, d, "events"), "event_id", ["value"])).select("event_id")
 
 
 @query("review_queue", f"select type, key, priority from (select 'outlier' as type, key, round(0.5 * score, 9) as priority from ({IQR_SQL}) union all select 'label_error', key, round(confidence, 9) from (select key, label, (list_position(probs, list_max(probs)) - 1)::int as predicted, list_max(probs) as confidence, probs[label + 1] as own from ({GUESSED})) where own < 0.5 and confidence > 0.5 and predicted <> label) order by priority desc, type, key limit 100", "priority")

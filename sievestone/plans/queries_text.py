@@ -31,21 +31,30 @@ def _coherence(i: str, r: str) -> str:
     return f"case when length({r}) > 0 and contains({i}, {r}) then 'repetition' when {refusal} then 'refusal' when length({r}) < 3 then 'empty' end"
 
 
-@query("coherence_issues", f"select * from (select conv_id, turn, {_coherence('lower(trim(instruction))', 'lower(trim(response))')} as issue from ({PAIRS})) where issue is not null")
+# answers of one word, so that there is something to find
+TERSE = f"select conv_id, turn, instruction, split_part(instruction, ' ', 1) as response from ({PAIRS})"
+
+
+def terse(spark, d):
+    return pairs(spark, d).withColumn("response", F.split_part(F.col("instruction"), F.lit(" "), F.lit(1)))
+
+
+@query("coherence_issues", f"select * from (select conv_id, turn, {_coherence('lower(trim(instruction))', 'lower(trim(response))')} as issue from ({TERSE})) where issue is not null")
 def coherence_issues(spark, d):
-    return texts.coherence_issues(pairs(spark, d), ["conv_id", "turn"])
+    return texts.coherence_issues(terse(spark, d), ["conv_id", "turn"])
 
 
-@query("format_issues", "select doc_id, 'truncated' as issue, 0.7::double as confidence from documents where rtrim(text) like '%...' or rtrim(text) like '%…' union all select doc_id, 'format_error', 0.8 from documents where ((length(text) - length(replace(text, '```', ''))) // 3) % 2 = 1")
+@query("format_issues", "with x as (select doc_id, replace(regexp_replace(text, '\\.$', '...'), '. The', '``` The') as text from documents) select doc_id, 'truncated' as issue, 0.7::double as confidence from x where rtrim(text) like '%...' or rtrim(text) like '%…' union all select doc_id, 'format_error', 0.8 from x where ((length(text) - length(replace(text, '```', ''))) // 3) % 2 = 1")
 def format_issues(spark, d):
-    return texts.format_issues(t(spark, d, "documents"), ["doc_id"], "text")
+    marked = F.replace(F.regexp_replace("text", r"\.$", "..."), F.lit(". The"), F.lit("``` The"))
+    return texts.format_issues(t(spark, d, "documents").withColumn("text", marked), ["doc_id"], "text")
 
 
-@query("instruction_report", f"""with p as ({PAIRS}), k as (select case when length(response) < 10 then 'too_short' when length(response) > 10000 then 'too_long' end as issue from p union all select {_coherence('lower(trim(instruction))', 'lower(trim(response))')} from p
+@query("instruction_report", f"""with p as ({TERSE}), k as (select case when length(response) < 10 then 'too_short' when length(response) > 10000 then 'too_long' end as issue from p union all select {_coherence('lower(trim(instruction))', 'lower(trim(response))')} from p
     union all select 'truncated' from p where rtrim(response) like '%...' or rtrim(response) like '%…' union all select 'format_error' from p where ((length(response) - length(replace(response, '```', ''))) // 3) % 2 = 1)
     select issue, count(*) as n from k where issue is not null group by 1 union all select 'duplicate', count(*) - count(distinct instruction) from p having count(*) > count(distinct instruction)""")
 def instruction_report(spark, d):
-    return texts.instruction_report(pairs(spark, d), ["conv_id", "turn"], ["conv_id", "turn"])
+    return texts.instruction_report(terse(spark, d), ["conv_id", "turn"], ["conv_id", "turn"])
 
 
 @query("toxic_documents", "select doc_id from documents where regexp_matches(text, '\\b(hate|kill|murder|attack|destroy)\\b.*\\b(people|person|group|them)\\b', 'i') or regexp_matches(text, '\\b(stupid|idiot|moron|dumb)\\b', 'i') or regexp_matches(text, '\\b(racist|sexist|bigot)\\b', 'i')")
@@ -214,9 +223,19 @@ def vector_neighbours(spark, d):
     return neighbours(spark, d)
 
 
-@query("vector_duplicates", f"select least(query, key) as key1, greatest(query, key) as key2, max(similarity) as similarity from ({NEAR}) where rank <= 10 and similarity >= 0.95 group by 1, 2", "similarity")
+# every vector and one a little off it
+DOUBLED = "select vec_id, embedding::double[] as v from embeddings union all select -1 - vec_id, list_transform(embedding::double[], lambda x: x + 0.001) from embeddings"
+LINKED = "select a.vec_id as key1, b.vec_id as key2, list_cosine_similarity(a.v, b.v) as similarity from ({0}) a join ({0}) b on a.vec_id < b.vec_id where list_cosine_similarity(a.v, b.v) >= {1}"
+
+
+def doubled(spark, d):
+    e = t(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return e.unionByName(e.select((-1 - F.col("vec_id")).alias("vec_id"), F.transform("v", lambda x: x + 0.001).alias("v")))
+
+
+@query("vector_duplicates", LINKED.format(DOUBLED, 0.95), "similarity")
 def vector_duplicates(spark, d):
-    return vectors.near_pairs(t(spark, d, "embeddings"), "vec_id", "embedding", 0.95)
+    return vectors.near_pairs(doubled(spark, d), "vec_id", "v", 0.95)
 
 
 @query("vector_outliers", f"with s as (select query as key, avg(1 - similarity) as score from ({NEAR}) where rank <= 10 group by 1) select key, score, row_number() over (order by score desc, key) <= (select greatest(1, floor(count(*) * 0.1)) from s) as is_outlier from s", "score")
@@ -224,9 +243,10 @@ def vector_outliers(spark, d):
     return vectors.outliers(neighbours(spark, d))
 
 
-@query("vector_quality", f"with n as (select * from ({NEAR}) where rank <= 10) select (select count(*) from embeddings) as vectors, (select count(*) from (select distinct least(query, key), greatest(query, key) from n where similarity >= 0.95)) as duplicate_pairs, greatest(1, floor((select count(*) from embeddings) * 0.1))::bigint as outliers")
+@query("vector_quality", f"select 2 * (select count(*) from embeddings) as vectors, (select count(*) from ({LINKED.format(DOUBLED, 0.95)})) as duplicate_pairs, greatest(1, floor(2 * (select count(*) from embeddings) * 0.1))::bigint as outliers")
 def vector_quality(spark, d):
-    return vectors.quality(t(spark, d, "embeddings"), "vec_id", "embedding", neighbours(spark, d))
+    both = doubled(spark, d)
+    return vectors.quality(both, "vec_id", "v", vectors.top_k(both, both, "vec_id", "v", 10))
 
 
 @query("vector_upsert", "select vec_id, case when vec_id < 10 then -1 else label end as label from embeddings where vec_id % 50 <> 49")
@@ -236,11 +256,10 @@ def vector_upsert(spark, d):
     return vectors.delete(vectors.upsert(e, new, "vec_id"), e.where("vec_id % 50 = 49"), "vec_id")
 
 
-@query("embedding_pairs", f"select a.vec_id as key1, b.vec_id as key2, {COS} as similarity from embeddings a join embeddings b on a.vec_id < b.vec_id where {COS} >= 0.97", "similarity")
+@query("embedding_pairs", LINKED.format(DOUBLED, 0.97), "similarity")
 def embedding_pairs(spark, d):
-    e = t(spark, d, "embeddings")
-    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    unit = e.withColumn("n", length).where("n > 0").select("vec_id", F.transform("embedding", lambda x: x.cast("double") / F.col("n")).alias("v"))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    unit = doubled(spark, d).withColumn("n", length).where("n > 0").select("vec_id", F.transform("v", lambda x: x / F.col("n")).alias("v"))
     return duplicates.near_pairs(unit, "vec_id", 0.97)
 
 
