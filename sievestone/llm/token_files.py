@@ -24,10 +24,11 @@ STRETCH = 256
 BLOCK_TOKENS = 1 << 19
 
 
-def code_lengths(counts: np.ndarray, most: int = MOST_BITS) -> np.ndarray:
+def code_lengths(counts: np.ndarray, most: int | None = None) -> np.ndarray:
     """Lengths of an optimal prefix code with none over ``most`` bits, by package-merge.
 
-    ids without occurrences get length 0; a single id gets length 1. Equal
+    Without a limit it is ``MOST_BITS``, or for more ids than half of what those
+    can tell apart one bit more than they need. ids without occurrences get length 0; a single id gets length 1. Equal
     weights are taken in id order.
     """
     ids = np.flatnonzero(counts)
@@ -35,6 +36,7 @@ def code_lengths(counts: np.ndarray, most: int = MOST_BITS) -> np.ndarray:
     if len(ids) <= 1:
         lengths[ids] = 1
         return lengths
+    most = most or max(MOST_BITS, int(len(ids) - 1).bit_length() + 1)
     if len(ids) > 1 << most:
         raise ValueError(f"{len(ids)} ids need codes over {most} bits")
     order = ids[np.lexsort((ids, counts[ids]))]
@@ -80,21 +82,23 @@ def encode_documents(ids: np.ndarray, ends: np.ndarray, lengths: np.ndarray, cod
     offsets = np.concatenate([[0], np.cumsum((bits + 7) // 8)])
     within = after - size - np.repeat(last - bits, tokens)
     at = within + np.repeat(8 * offsets[:-1], tokens)
-    word = codes[ids].astype(np.int64) << (24 - size - (at & 7))
+    wide = 3 if not len(size) or int(size.max()) <= 16 else 5  # bytes that a code may touch
+    word = codes[ids].astype(np.int64) << (8 * wide - size - (at & 7))
     first = at >> 3
-    n = int(offsets[-1]) + 3
-    out = sum(np.bincount(first + k, (word >> (16 - 8 * k)) & 255, n) for k in range(3)) if len(ids) else np.zeros(n)
-    return out[: n - 3].astype(np.uint8).tobytes(), offsets, within
+    n = int(offsets[-1]) + wide
+    out = sum(np.bincount(first + k, (word >> (8 * (wide - 1 - k))) & 255, n) for k in range(wide)) if len(ids) else np.zeros(n)
+    return out[: n - wide].astype(np.uint8).tobytes(), offsets, within
 
 
 def decoder(lengths: np.ndarray):
     """A function from (payload, bit positions, token counts) to ids: all stretches advance together, a table look-up a token."""
     codes = canonical_codes(lengths).astype(np.int64)
     used = np.flatnonzero(lengths)
-    symbol = np.zeros(1 << MOST_BITS, np.uint32)
-    length = np.ones(1 << MOST_BITS, np.int64)
-    order = used[np.argsort(codes[used] << (MOST_BITS - lengths[used].astype(np.int64)))]
-    spans = np.left_shift(1, MOST_BITS - lengths[order].astype(np.int64))
+    most = max(MOST_BITS, int(lengths.max(initial=0)))
+    symbol = np.zeros(1 << most, np.uint32)
+    length = np.ones(1 << most, np.int64)
+    order = used[np.argsort(codes[used] << (most - lengths[used].astype(np.int64)))]
+    spans = np.left_shift(1, most - lengths[order].astype(np.int64))
     covered = int(spans.sum())
     symbol[:covered] = np.repeat(order, spans)
     length[:covered] = np.repeat(lengths[order], spans)
@@ -102,8 +106,11 @@ def decoder(lengths: np.ndarray):
     def decode(payload: bytes, at: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         if not len(at):
             return np.zeros(0, np.uint32)
-        raw = np.concatenate([np.frombuffer(payload, np.uint8), np.zeros(3, np.uint8)]).astype(np.uint32)
-        window = (raw[:-2] << 16) | (raw[1:-1] << 8) | raw[2:]
+        raw = np.concatenate([np.frombuffer(payload, np.uint8), np.zeros(5, np.uint8)]).astype(np.uint32)
+        window = (raw[:-4] << 16) | (raw[1:-3] << 8) | raw[2:-2]
+        if wide := most > 16:
+            window = (window.astype(np.int64) << 16) | (raw[3:-1].astype(np.int64) << 8) | raw[4:]
+        far, mask = (40 - most, np.int64((1 << most) - 1)) if wide else (8, np.uint32(0xFFFF))
         longest = np.argsort(-tokens, kind="stable")
         left = tokens[longest]
         at = at[longest].astype(np.int64)
@@ -112,7 +119,7 @@ def decoder(lengths: np.ndarray):
         for t in range(int(left[0])):
             live = int(np.searchsorted(-left, -t, side="left"))
             at, starts = at[:live], starts[:live]
-            peek = (window[at >> 3] >> (8 - (at & 7)).astype(np.uint32)) & np.uint32(0xFFFF)
+            peek = (window[at >> 3] >> (far - (at & 7)).astype(window.dtype)) & mask
             out[starts + t] = symbol[peek]
             at = at + length[peek]
         return out

@@ -124,3 +124,15 @@ def test_packer_keeps_all_limits():
             assert s == placed[k]
             placed[k] += n
     assert placed == {k: n for k, (n, _) in examples.items()}
+
+
+@pytest.mark.parametrize("vocabulary", [300, 70_000, 140_000])
+def test_any_number_of_ids_round_trips(vocabulary):
+    rng = np.random.default_rng(1)
+    ids = np.concatenate([np.arange(vocabulary), rng.zipf(1.3, 50_000) % vocabulary])
+    rng.shuffle(ids)
+    lengths = files.code_lengths(np.bincount(ids))
+    ends = np.array([0, 10, 10, len(ids) // 2, len(ids)])
+    payload, offsets, _ = files.encode_documents(ids, ends, lengths, files.canonical_codes(lengths))
+    got = files.decoder(lengths)(payload, 8 * offsets[:-1], np.diff(ends, prepend=0))
+    assert (got == ids).all() and lengths.max() <= max(16, int(vocabulary - 1).bit_length() + 1)
