@@ -35,8 +35,11 @@ def scan(df: DataFrame, key: str, columns: list[str], least: float = 0.5, kinds:
         values = F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(any_case(pattern)), F.lit(0))
         return F.transform(values, lambda v: F.struct(F.lit(c).alias("column"), F.lit(kind).alias("pii_type"), v.alias("value"), F.lit(confidence).alias("confidence")))
 
-    found = [matches(c, k, p, conf) for c in columns for k, (patterns, conf) in kinds.items() if conf >= least for p in patterns]
-    return df.select(key, F.inline(F.flatten(F.array(*found))))
+    wanted = [(k, p, conf) for k, (patterns, conf) in kinds.items() if conf >= least for p in patterns]
+    found = [matches(c, k, p, conf) for c in columns for k, p, conf in wanted]
+    any_of = F.lit(any_case("|".join(f"(?:{p})" for _, p, _ in wanted)))  # rows without any match see one pattern, not all of them
+    some = reduce(Column.__or__, [F.coalesce(F.rlike(F.col(c), any_of), F.lit(False)) for c in columns], F.lit(False))
+    return df.where(some).select(key, F.inline(F.flatten(F.array(*found))))
 
 
 def spans(df: DataFrame, key: str, columns: list[str], least: float = 0.5, kinds: dict = PII) -> DataFrame:

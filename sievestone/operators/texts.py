@@ -174,7 +174,8 @@ def evaluate_responses(df: DataFrame, key: list[str], instruction: str = "instru
 def toxicity(c: Column) -> Column:
     """min(1, 10 matches / words)."""
     matches = reduce(Column.__add__, [F.regexp_count(c, F.lit(p)) for p in SCORED_TOXIC])
-    return F.least(F.lit(1.0), 10.0 * matches / F.greatest(F.size(words(c)), F.lit(1)))
+    some = c.rlike("|".join(f"(?:{p})" for p in SCORED_TOXIC))  # texts without a match see one pattern, and no words are counted
+    return F.when(c.isNull(), None).when(some, F.least(F.lit(1.0), 10.0 * matches / F.greatest(F.size(words(c)), F.lit(1)))).otherwise(0.0)
 
 
 def clarity(c: Column) -> Column:

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.exprs import cosine, dot, euclidean
 
 
+#: Bytes of query vectors that a broadcast may have.
+BROADCAST_BYTES = 64 << 20
+
+
 def similarity(metric: str, a, b):
     return cosine(a, b) if metric == "cosine" else dot(a, b) if metric == "dot" else 1 / (1 + euclidean(a, b))
 
@@ -82,7 +86,8 @@ def _compared(queries: DataFrame, vectors: DataFrame, key: str, vector: str, met
                     s = 1 / (1 + np.sqrt(np.maximum(0, (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * s)))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in keep(qk, vk, s)], ["query", "key", "similarity"])
 
-    pairs = v.crossJoin(F.broadcast(q)) if queries.limit(200_001).count() <= 200_000 else v.crossJoin(q)  # blocks of the stated queries against blocks of all rows
+    size = queries.agg(F.sum(8 * (1 + F.greatest(F.size(vector), F.lit(0))))).first()[0] or 0
+    pairs = v.crossJoin(F.broadcast(q)) if size <= BROADCAST_BYTES else v.crossJoin(q)  # blocks of the stated queries against blocks of all rows
     return pairs.mapInArrow(meet, "query long, key long, similarity double")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import row_hash
 from ..functions.quantiles import quantiles
+from ..operators.history import rolling
 from ..operators.scores import row_score
 
 
@@ -82,9 +83,10 @@ def sessions(events: DataFrame, ts: str, gap: str, key: str, late: str | None =
 
 
 def rolling_quality(scored: DataFrame, order: str, partition: str, size: int = 1000) -> DataFrame:
-    """Rates of outliers and repeats and mean quality over the last rows of each partition."""
-    w = Window.partitionBy(partition).orderBy(order).rowsBetween(1 - size, 0)
-    return scored.select(partition, order, F.avg(F.col("is_outlier").cast("int")).over(w).alias("outlier_rate"), F.avg(F.col("is_duplicate").cast("int")).over(w).alias("duplicate_rate"), F.avg("quality").over(w).alias("quality"))
+    """Rates of outliers and repeats and mean quality over the last rows of each partition, from running sums, so that no task holds a partition."""
+    rows = scored.select(partition, order, F.col("is_outlier").cast("int").alias("outlier"), F.col("is_duplicate").cast("int").alias("duplicate"), "quality")
+    rated = rolling(rows, [partition], order, ["outlier", "duplicate", "quality"], size)
+    return rated.select(partition, order, "outlier_rate", "duplicate_rate", F.col("quality_rate").alias("quality"))
 
 
 def alerts(measures: DataFrame) -> DataFrame:
