@@ -1,4 +1,4 @@
-"""Quality of tables foretold from numbers about them, learnt from many bootstrap tables of which the quality is known."""
+"""Quality foretold: of tables, from numbers about them, learnt from bootstrap tables; of rows, by a tree that has learnt a costlier score."""
 
 from __future__ import annotations
 
@@ -7,11 +7,12 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import ratio
+from ..functions.exprs import ratio, zero_filled
+from ..functions.quantiles import quantiles
 from .scores import duplicate_score, imbalance_score, outlier_score, overall
 
 NUMBERS = ["log_rows", "missing_rate", "duplicate_rate", "mean_skew", "mean_kurtosis", "mean_correlation", "label_entropy", "imbalance_ratio", "log_classes"]
@@ -99,3 +100,40 @@ def learn(numbers: DataFrame, share: float = 0.9, trees: int = 20, depth: int =
     at = min(len(calibration) - 1, math.ceil(share * (len(calibration) + 1)) - 1)
     average = lambda xs: sum(xs) / max(1, len(xs))
     return Predictor(model, calibration[at] if calibration else math.inf, share, average([r["e"] for r in held]), average([r["m"] for r in held]))
+
+
+@dataclass
+class Student:
+    """A small tree that stands in for a costlier score, and how well it does on rows it has not seen."""
+
+    model: DecisionTreeRegressionModel
+    columns: list[str]
+    correlation: float
+    error: float
+    agreement: float
+
+    def score(self, df: DataFrame, key: str) -> DataFrame:
+        """key, score of every row, in the JVM; nulls count as 0."""
+        return self.model.transform(_assembled(df, self.columns)).select(key, F.col("prediction").alias("score"))
+
+
+def _assembled(df: DataFrame, columns: list[str]) -> DataFrame:
+    names = [f"student_{i}" for i in range(len(columns))]
+    return VectorAssembler(inputCols=names, outputCol="student_x").transform(df.withColumns({n: zero_filled(c) for n, c in zip(names, columns, strict=True)}))
+
+
+def distil(df: DataFrame, key: str, columns: list[str], teacher: DataFrame, flag_share: float = 0.1, depth: int = 6, held: float = 0.2, seed: int = 42) -> Student:
+    """A tree learnt from a teacher's scores (key, score) of rows, on four fifths of them by hash.
+
+    Told on the rest: the correlation with the teacher, the mean error, and the
+    share of rows on which both agree whether they are among the ``flag_share``
+    of the highest scores. Rows without a score are not learnt from.
+    """
+    rows = _assembled(df, columns).join(teacher.select(F.col(key).alias("teacher_key"), F.col("score").cast("double").alias("teacher_score")), F.col(key) == F.col("teacher_key")).where("teacher_score is not null")
+    part = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1000)) / 1000 < held
+    model = DecisionTreeRegressor(featuresCol="student_x", labelCol="teacher_score", maxDepth=depth, seed=seed).fit(rows.where(~part))
+    told = model.transform(rows.where(part)).select("teacher_score", "prediction")
+    cuts = quantiles(told, ["teacher_score", "prediction"], [1 - flag_share])
+    flags = [F.col(c) > F.lit(cuts[c][0]) for c in ("teacher_score", "prediction")]
+    one = told.agg(F.corr("teacher_score", "prediction").alias("c"), F.avg(F.abs(F.col("teacher_score") - F.col("prediction"))).alias("e"), F.avg((flags[0] == flags[1]).cast("double")).alias("a")).first()
+    return Student(model, columns, one["c"] if one["c"] is not None else 0.0, one["e"] or 0.0, one["a"] or 0.0)

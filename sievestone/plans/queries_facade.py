@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.working import written
-from ..operators import annotators, predictor, synthetic, texts
+from ..operators import annotators, outliers, predictor, synthetic, texts
 from . import registry
 from .analysis import analyze, auto_analyze
 from .catalogue import query, t
@@ -146,3 +146,11 @@ def quality_forecast(spark, d):
     numbers = written(predictor.table_numbers(rows, "o_orderstatus", ["o_totalprice", "o_custkey"], {"o_totalprice": (0.0, 600_000.0)}))
     own = predictor.learn(numbers, trees=10)
     return own.predict(numbers).join(numbers.select("table", "quality"), "table")
+
+
+@query("distilled_scores")
+def distilled_scores(spark, d):
+    e, columns = t(spark, d, "events"), ["value", "user_id"]
+    teacher = outliers.isolation_forest(e, "event_id", columns).select("event_id", "score")
+    student = predictor.distil(e, "event_id", columns, teacher)
+    return student.score(e, "event_id").withColumnRenamed("score", "student").join(teacher, "event_id")

@@ -175,3 +175,10 @@ def test_points_between_toxic_documents(result, table):
 def test_forecasts_hold_the_quality(result):
     rows = result("quality_forecast")
     assert len(rows) == 120 and sum(r.low - 1e-9 <= r.quality <= r.high + 1e-9 for r in rows) >= 0.85 * len(rows)
+
+
+def test_a_tree_follows_the_forest(result, table):
+    rows = result("distilled_scores")
+    assert len(rows) == len(table("events"))
+    x, y = np.array([r.student for r in rows]), np.array([r.score for r in rows])
+    assert np.corrcoef(x, y)[0, 1] > 0.8 and np.abs(x - y).mean() < 0.5 * np.abs(y - y.mean()).mean()
