@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -107,8 +109,19 @@ def cut_spans(texts: pa.Array, spans: pa.Array, in_bytes: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
+def give_back() -> None:
+    """Hand memory that earlier tasks of this worker process have freed back to the system; its allocators would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not the GNU library
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = 1024, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut to at most ``rows`` rows and, but for single longer texts, ``size`` bytes of a text column."""
+    give_back()
     for batch in batches:
         ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
@@ -117,11 +130,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = 1024, siz
             end = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, side="right"))))
             yield batch.slice(at, end - at)
             at = end
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def grouped(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[pa.RecordBatch]:
     """The groups of rows that agree in the first ``by`` columns, numbers without nulls; rows come sorted by them."""
+    give_back()
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
