@@ -72,7 +72,7 @@ class Encoder:
         self.code = "H" if self.type is np.uint16 else "I"
         self.model = self.tokenizer.model
         self.letters = byte_letters()
-        self.first = _Pieces(lambda p: self._piece("", p), limit if self.kind == "dropped" else limit // 4)
+        self.first = _Pieces(lambda p: self._piece("", p), 3 * limit if self.kind == "dropped" else limit // 4)
         self.led = _Pieces(lambda p: self._piece(" ", p), limit)
 
     @staticmethod
