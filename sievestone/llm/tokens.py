@@ -21,6 +21,8 @@ from array import array
 
 import numpy as np
 
+from .common import give_back
+
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 WORD = re.compile(f"[{LETTERS}]+")
 WORD_AND_MARKS = re.compile(rf"([{LETTERS}]+)([!-&(-/:-@\[-`{{-~]+)")
@@ -31,6 +33,7 @@ def encoder(path: str) -> "Encoder":
     """The encoder for a tokenizer file, one for each worker process."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+        give_back()  # what reading the file took
     return _ENCODERS[path]
 
 
