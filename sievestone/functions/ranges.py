@@ -59,8 +59,9 @@ def carried(df: DataFrame, partition: list[str], order: str, column: str, backwa
     """The table with a column's nulls replaced by the last value before in its partition, or the next one after."""
     part, found = fresh(df, "range", "found")
     placed = in_ranges(df, order, part)
-    w = Window.partitionBy(*partition, part).orderBy(order)
-    within = F.first(column, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)) if backward else F.last(column, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    # what comes next is the last of what came before in the other order: a frame that ends at the row grows by one row at a time, one that starts there is read anew for every row
+    w = Window.partitionBy(*partition, part).orderBy(F.desc(order) if backward else F.asc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    within = F.last(column, ignorenulls=True).over(w)
     edge = (F.min_by if backward else F.max_by)(column, F.when(F.col(column).isNotNull(), F.col(order)))
     edges = placed.groupBy(*partition, part).agg(edge.alias(found))
     over = Window.partitionBy(*partition).orderBy(F.desc(part) if backward else F.asc(part)).rowsBetween(Window.unboundedPreceding, -1)
