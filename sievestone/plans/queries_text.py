@@ -39,9 +39,14 @@ def terse(spark, d):
     return pairs(spark, d).withColumn("response", F.split_part(F.col("instruction"), F.lit(" "), F.lit(1)))
 
 
-@query("coherence_issues", f"select * from (select conv_id, turn, {_coherence('lower(trim(instruction))', 'lower(trim(response))')} as issue from ({TERSE})) where issue is not null")
+# all answers as they are and, as those may be flawless, those of one word too
+BOTH = f"select 'given' as answer, conv_id, turn, instruction, response from ({PAIRS}) union all select 'first word', conv_id, turn, instruction, response from ({TERSE})"
+
+
+@query("coherence_issues", f"select * from (select answer, conv_id, turn, {_coherence('lower(trim(instruction))', 'lower(trim(response))')} as issue from ({BOTH})) where issue is not null")
 def coherence_issues(spark, d):
-    return texts.coherence_issues(terse(spark, d), ["conv_id", "turn"])
+    both = [f(spark, d).withColumn("answer", F.lit(name)) for f, name in ((pairs, "given"), (terse, "first word"))]
+    return texts.coherence_issues(both[0].unionByName(both[1]), ["answer", "conv_id", "turn"])
 
 
 @query("format_issues", "with x as (select doc_id, replace(regexp_replace(text, '\\.$', '...'), '. The', '``` The') as text from documents) select doc_id, 'truncated' as issue, 0.7::double as confidence from x where rtrim(text) like '%...' or rtrim(text) like '%…' union all select doc_id, 'format_error', 0.8 from x where ((length(text) - length(replace(text, '```', ''))) // 3) % 2 = 1")
