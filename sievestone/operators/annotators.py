@@ -88,14 +88,17 @@ def resolved(a: DataFrame, strategy: str = "majority", sample: str = "sample_id"
     are any, else of all. ``consensus``: the label of all votes, if it is one.
     Null where two labels share the lead or there is no consensus; null labels
     are no votes; null weights and confidences count as 1. ``support`` is the
-    label's share of what was summed, ``by`` whose votes decided.
+    label's share of what was summed, ``by`` whose votes decided. Votes are
+    rounded to twelve places and summed exactly, so that neither leads nor
+    shares depend on the order of rows.
     """
     votes = a.where(F.col(label).isNotNull())
     one = F.lit(1.0)
     if strategy == "weighted":
         one = F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) * F.coalesce(F.col(confidence).cast("double"), F.lit(1.0))
+    one = one.cast("decimal(28,12)")
     expert = F.coalesce(F.col(role).isin(*experts), F.lit(False)) if strategy == "expert" else F.lit(False)
-    sums = votes.groupBy(sample, label).agg(F.sum(one).alias("all"), F.sum(F.when(expert, one).otherwise(0.0)).alias("own"))
+    sums = votes.groupBy(sample, label).agg(F.sum(one).alias("all"), F.sum(F.when(expert, one).otherwise(F.lit(0).cast("decimal(28,12)"))).alias("own"))
     whole = sums.groupBy(sample).agg(F.sum("all").alias("n"), F.sum("own").alias("n_own"), F.max("all").alias("top"), F.max("own").alias("top_own"))
     j = sums.join(whole, sample)
     decided = F.col("n_own") > 0
