@@ -52,12 +52,11 @@ def standardised(df: DataFrame, key: str, columns: list[str], base: DataFrame) -
 
 def nearest_distances(rows: DataFrame, others: DataFrame, key: str, columns: list[str], base: DataFrame) -> DataFrame:
     """query, distance of every row to the nearest of the others in z-scores; negative keys keep the tables apart."""
-    from .vectors import top_k
+    from .vectors import closest
 
     a = standardised(rows, key, columns, base).select((-F.col("key") - 1).alias("key"), "v")
     b = standardised(others, key, columns, base)
-    near = top_k(a, b, "key", "v", 1, "euclidean")
-    return near.select((-F.col("query") - 1).alias("query"), (1 / F.col("similarity") - 1).alias("distance"))
+    return closest(a, b, "key", "v").select((-F.col("query") - 1).alias("query"), "distance")
 
 
 def memorisation(real: DataFrame, synth: DataFrame, key: str, columns: list[str], near: float = 0.1) -> DataFrame:
