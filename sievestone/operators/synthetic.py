@@ -67,10 +67,10 @@ def memorisation(real: DataFrame, synth: DataFrame, key: str, columns: list[str]
 
 def diversity(synth: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """min(100, 50 times the mean distance to the nearest other row)."""
-    from .vectors import top_k
+    from .vectors import closest
 
     v = standardised(synth, key, columns, synth)
-    return top_k(v, v, "key", "v", 1, "euclidean").agg(F.least(F.lit(100.0), 50 * F.avg(1 / F.col("similarity") - 1)).alias("diversity"))
+    return closest(v, v, "key", "v").agg(F.least(F.lit(100.0), 50 * F.avg("distance")).alias("diversity"))
 
 
 def certificate(scores: DataFrame) -> DataFrame:
