@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.working import written
 from ..operators import annotators, causes, drift, history, outliers, selection, synthetic, vectors
 from ..streaming import live
 from .catalogue import query, t
@@ -266,7 +267,7 @@ def smote(spark, d):
 def local_outlier_factor(spark, d):
     e = t(spark, d, "embeddings")
     near = vectors.top_k(e, e, "vec_id", "embedding", 10).select("query", "key", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("similarity"))).alias("distance"))
-    return outliers.local_outlier_factor(near)
+    return outliers.local_outlier_factor(written(near))  # read four times
 
 
 def daily(spark, d):
