@@ -263,9 +263,7 @@ def vector_upsert(spark, d):
 
 @query("embedding_pairs", LINKED.format(DOUBLED, 0.97), "similarity")
 def embedding_pairs(spark, d):
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    unit = doubled(spark, d).withColumn("n", length).where("n > 0").select("vec_id", F.transform("v", lambda x: x / F.col("n")).alias("v"))
-    return duplicates.near_pairs(unit, "vec_id", 0.97)
+    return vectors.near_pairs(doubled(spark, d), "vec_id", "v", 0.97)
 
 
 @query("pair_similarity", f"select a.vec_id as key1, b.vec_id as key2, {COS} as similarity from embeddings a join embeddings b on b.vec_id = a.vec_id + 1", "similarity")
