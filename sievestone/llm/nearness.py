@@ -15,8 +15,8 @@ to become one. Nothing is capped:
    parts are found exactly, then confirmed.
 
 Buckets of more than ``LIMIT`` members are dealt into blocks. In step 3 only
-members outside a bucket's largest part meet all its members; where even these
-are too many, they are banded anew with other minima before they meet.
+members outside a bucket's largest part meet all its members, block by block,
+however many they are: what is found doesn't depend on a bucket's size.
 """
 
 from __future__ import annotations
@@ -34,7 +34,6 @@ from .common import Scratch, connected_components, grouped, slices, small_side
 LIMIT = 1024
 SMALL = 48  # groups of up to so many rows are compared many at a time
 BITS = 4  # of each minimum that a signature keeps: sixteen minima to a long
-FRESH = 8  # minima to a band where buckets are banded anew
 PAIRS = "a long, b long"
 
 
@@ -316,37 +315,10 @@ def _open_rows(placed: DataFrame) -> DataFrame:
     return placed.join(small_side(several), "key")
 
 
-def _banded_anew(rows: DataFrame, p: Banding) -> DataFrame:
-    """Rows (key, node, component, n, sig) with a key for each band of ``FRESH`` b-bit minima, chosen anew for each old key."""
-    minima = 16 * p.longs
-    bands = minima // FRESH
-    steps = np.array([s for s in range(1, minima) if np.gcd(s, minima) == 1])
-
-    def band(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = finish64(batch.column(0).to_numpy().view(np.uint64))
-            sig = signatures(batch.column(4), p)
-            nibbles = ((sig[:, :, None] >> (np.arange(16, dtype=np.uint64) * np.uint64(BITS))) & np.uint64(15)).reshape(len(sig), -1)
-            first, step = (key % np.uint64(minima)).astype(np.int64), steps[((key >> np.uint64(20)) % np.uint64(len(steps))).astype(np.int64)]
-            at = (first[:, None] + step[:, None] * np.arange(bands * FRESH)) % minima
-            packed = (np.take_along_axis(nibbles, at, axis=1).reshape(len(sig), bands, FRESH) << (np.arange(FRESH, dtype=np.uint64) * np.uint64(BITS))).sum(axis=2)
-            new = finish64(packed + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + key[:, None])
-            rows = batch.take(pa.array(np.repeat(np.arange(len(sig)), bands)))
-            yield pa.RecordBatch.from_arrays([pa.array(new.ravel().view(np.int64)), *rows.columns[1:]], ["key", "node", "component", "n", "sig"])
-
-    return rows.select("key", "node", "component", "n", "sig").mapInArrow(band, "key long, node long, component long, n int, sig array<long>")
-
-
 def _across(members: DataFrame, parts: DataFrame, sigs: DataFrame, texts_for: Callable[[DataFrame], DataFrame], hashes: Callable[[str], np.ndarray], p: Banding, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) that join different parts of a bucket: of the links on hashed sets, a maximum spanning forest over the parts."""
     placed = members.join(small_side(parts), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     rows = scratch.save(_open_rows(placed).join(sigs, "node").select("key", "node", "component", "n", "sig", "largest", "members", "minors"), "open")
-    crowded = rows.where(F.col("minors") > LIMIT)
-    if not crowded.isEmpty():
-        again = scratch.save(_banded_anew(crowded, p), "anew")
-        rows = rows.where(F.col("minors") <= LIMIT).unionByName(_open_rows(again).select(rows.columns))
     block = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
     rows = rows.select("key", "node", "component", "n", "sig", (F.col("component") != F.col("largest")).alias("minor"), *(F.ceil(F.col(c) / LIMIT).cast("int").alias(c) for c in ("members", "minors")))
     whole = rows.where("members = 1 and minors = 1").withColumns({"x": F.lit(0), "y": F.lit(0), "side": F.lit(2)})
@@ -458,5 +430,5 @@ def near_components(sketches: DataFrame, texts_for: Callable[[DataFrame], DataFr
     second = connected_components(more.select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b")), scratch, "parts-2")
     joined = first.join(second.withColumnRenamed("node", "part").withColumnRenamed("component", "whole"), F.col("component") == F.col("part"), "left")
     out = joined.select("node", F.coalesce("whole", "component").alias("component")).unionByName(second.join(first, "node", "left_anti"))
-    scratch.drop("buckets", "twos", "members", "sigs", "open", "anew", "near", "sets")
+    scratch.drop("buckets", "twos", "members", "sigs", "open", "near", "sets")
     return scratch.save(out, "components")
