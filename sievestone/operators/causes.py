@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import ratio
 from ..functions.pvalues import chi2_p, correlation_p, fisher_p, normal_p
 from ..functions.quantiles import quantiles
+from ..functions.working import written
 
 
 def categorical_factors(df: DataFrame, factors: list[str], issue: str, least_rows: int = 30) -> DataFrame:
@@ -85,19 +86,25 @@ def conditions(df: DataFrame, numbers: list[str], categories: list[str], bins: i
     return df.withColumn("conditions", F.array_compact(F.array(*parts)))
 
 
-def slices(df: DataFrame, correct: str, numbers: list[str], categories: list[str], depth: int = 1, least_rows: int = 50, least_share: float = 0.01) -> DataFrame:
+def combined(df: DataFrame, correct: str, numbers: list[str], categories: list[str]) -> DataFrame:
+    """conditions, rows, ok: how many rows have the same conditions in all features; all slices are sums of these."""
+    return conditions(df, numbers, categories).groupBy("conditions").agg(F.count("*").alias("rows"), F.sum(F.col(correct).cast("int")).alias("ok"))
+
+
+def slices(df: DataFrame, correct: str, numbers: list[str], categories: list[str], depth: int = 1, least_rows: int = 50, least_share: float = 0.01, marked: DataFrame | None = None) -> DataFrame:
     """slice, rows, accuracy, gap: every condition, and up to ``depth`` of different features together, with enough rows.
 
-    gap is the accuracy of the whole table less the slice's. All slices of a row
-    are made within it, so there is one aggregation with map-side sums.
+    gap is the accuracy of the whole table less the slice's. Rows of the same
+    conditions are counted first, with map-side sums, and slices made of those
+    counts, ``combined``'s, which may be given as ``marked``.
     """
-    marked = conditions(df, numbers, categories)
+    marked = combined(df, correct, numbers, categories) if marked is None else marked
     width = len(numbers) + len(categories)
     sets = [c for d in range(1, depth + 1) for c in combinations(range(width), d)]
     own = F.array(*[F.when(F.size("conditions") > max(c), F.concat_ws(" & ", *[F.col("conditions")[i] for i in c])) for c in sets])
-    rows = marked.select(F.explode(F.array_compact(own)).alias("slice"), F.col(correct).cast("int").alias("ok"))
+    rows = marked.select(F.explode(F.array_compact(own)).alias("slice"), "rows", "ok")
     whole = df.agg(F.count("*").alias("n"), F.avg(F.col(correct).cast("int")).alias("base"))
-    g = rows.groupBy("slice").agg(F.count("*").alias("rows"), F.sum("ok").alias("ok")).crossJoin(F.broadcast(whole))
+    g = rows.groupBy("slice").agg(F.sum("rows").alias("rows"), F.sum("ok").alias("ok")).crossJoin(F.broadcast(whole))
     g = g.where((F.col("rows") >= least_rows) & (F.col("rows") >= least_share * F.col("n")))
     return g.select("slice", "rows", (F.col("ok") / F.col("rows")).alias("accuracy"), (F.col("base") - F.col("ok") / F.col("rows")).alias("gap"), (F.col("rows") - F.col("ok")).alias("errors"), "n", "base")
 
@@ -110,19 +117,19 @@ def weak_slices(df: DataFrame, correct: str, numbers: list[str], categories: lis
     return s.where(F.col("p_value") <= alpha).select("slice", "rows", "accuracy", "gap", "p_value")
 
 
-def slice_overlaps(df: DataFrame, numbers: list[str], categories: list[str], depth: int, found: DataFrame) -> DataFrame:
+def slice_overlaps(df: DataFrame, numbers: list[str], categories: list[str], depth: int, found: DataFrame, marked: DataFrame | None = None) -> DataFrame:
     """a, b, shared: rows that lie in both of two of the slices ``found``, for a = b a slice's size.
 
-    Pairs are made within each row, of those of its slices that were found, and
-    counted with map-side sums; no list of rows leaves a task.
+    Rows of the same conditions are counted first, which may be given as
+    ``marked``; pairs are made of those of their slices that were found.
     """
     names = F.lit([r["slice"] for r in found.select("slice").collect()])  # the slices to be pruned, a chosen number
-    marked = conditions(df, numbers, categories)
+    marked = conditions(df, numbers, categories).groupBy("conditions").agg(F.count("*").alias("rows")) if marked is None else marked
     sets = [c for d in range(1, depth + 1) for c in combinations(range(len(numbers) + len(categories)), d)]
     own = F.array_compact(F.array(*[F.when(F.size("conditions") > max(c), F.concat_ws(" & ", *[F.col("conditions")[i] for i in c])) for c in sets]))
-    rows = marked.select(F.array_sort(F.array_intersect(own, names)).alias("s"))
+    rows = marked.select(F.array_sort(F.array_intersect(own, names)).alias("s"), "rows")
     pairs = F.flatten(F.transform("s", lambda a, i: F.transform(F.slice("s", i + 1, F.size("s") - i), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    return rows.select(F.inline(pairs)).groupBy("a", "b").agg(F.count("*").alias("shared"))
+    return rows.select(F.inline(pairs), "rows").groupBy("a", "b").agg(F.sum("rows").alias("shared"))
 
 
 def pruned_slices(df: DataFrame, correct: str, numbers: list[str], categories: list[str], depth: int = 2, most: int = 200, least_gap: float = 0.05, overlap: float = 0.9, near: float = 0.02) -> DataFrame:
@@ -131,11 +138,12 @@ def pruned_slices(df: DataFrame, correct: str, numbers: list[str], categories: l
     Greedy over slices, worst first, ties by name; the driver sees a row for
     each slice and for each pair that overlaps.
     """
-    s = slices(df, correct, numbers, categories, depth).where(F.col("gap") >= least_gap).select("slice", "rows", "accuracy", "gap")
+    marked = written(combined(df, correct, numbers, categories))
+    s = slices(df, correct, numbers, categories, depth, marked=marked).where(F.col("gap") >= least_gap).select("slice", "rows", "accuracy", "gap")
     found = s.orderBy(F.desc(F.round("gap", 12)), "slice").limit(most)
     rows = found.collect()
     shared = {}
-    for r in slice_overlaps(df, numbers, categories, depth, df.sparkSession.createDataFrame(rows, found.schema)).where("a <> b").collect() if rows else []:
+    for r in slice_overlaps(df, numbers, categories, depth, df.sparkSession.createDataFrame(rows, found.schema), marked).where("a <> b").collect() if rows else []:
         shared[r["a"], r["b"]] = shared[r["b"], r["a"]] = r["shared"]
     kept = []
     for r in rows:
