@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import add_all, zero_filled
 from ..functions.quantiles import quantiles
+from ..functions.working import written
 
 
 def column_stats(df: DataFrame, columns: list[str], quartiles: bool = True) -> dict[str, dict[str, float]]:
@@ -131,7 +132,7 @@ def isolation_forest(df: DataFrame, key: str, columns: list[str], trees: int = 1
                 walk(tree, x, np.arange(len(x)), out)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(2 ** (-out / max(1, len(own)) / scale))], [key, "score"])
 
-    scored = filled.mapInArrow(score, f"{key} {dict(df.dtypes)[key]}, score double")
+    scored = written(filled.mapInArrow(score, f"{key} {dict(df.dtypes)[key]}, score double"))  # a quantile takes several scans
     cut = quantiles(scored, ["score"], [1 - contamination])["score"][0]
     return scored.withColumn("is_outlier", F.col("score") > F.lit(cut))
 
