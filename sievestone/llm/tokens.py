@@ -26,6 +26,10 @@ from .common import give_back
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 WORD = re.compile(f"[{LETTERS}]+")
 WORD_AND_MARKS = re.compile(rf"([{LETTERS}]+)([!-&(-/:-@\[-`{{-~]+)")
+MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+#: White space by its code, and the part of it that ASCII has.
+SPACES = [c for c in map(chr, range(0x3001)) if c.isspace()]
+ASCII_SPACES = [c for c in SPACES if c.isascii()]
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -44,6 +48,16 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
+def spaced(text: str, allowed: str) -> bool:
+    """Whether a text has no white space but of the kinds allowed; many times faster than a regular expression."""
+    return not any(c in text for c in (ASCII_SPACES if text.isascii() else SPACES) if c not in allowed)
+
+
+def single(text: str) -> bool:
+    """Whether blanks and line feeds are the only white space, none beside another one."""
+    return spaced(text, " \n") and (text.count(" ") + text.count("\n") + 1 == len(text.split()) or not re.search(r"\s\s", text))
+
+
 class _Pieces(dict):
     """Ids of pieces as bytes, in two generations of ``limit`` each: pieces not asked for through a whole one are forgotten."""
 
@@ -73,7 +87,7 @@ class Encoder:
         self.kind = self._kind(json.loads(self.tokenizer.to_str()))
         self.type = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.code = "H" if self.type is np.uint16 else "I"
-        self.model = self.tokenizer.model
+        self.tokens = self.tokenizer.model.tokenize
         self.letters = byte_letters()
         self.first = _Pieces(lambda p: self._piece("", p), limit if self.kind == "dropped" else limit // 4)
         self.led = _Pieces(lambda p: self._piece(" ", p), limit)
@@ -97,9 +111,9 @@ class Encoder:
     def _bytes(self, text: str) -> bytes:
         if self.added and self.added.search(text):
             return self._whole(text)
-        if self.kind == "dropped" and not re.search(r"[^\S \n\t\r]", text):
+        if self.kind == "dropped" and spaced(text, " \n\t\r"):
             return b"".join(map(self.first.__getitem__, (text.lower() if text.isascii() else text).split()))
-        if self.kind == "led" and not re.search(r"\s\s|[^\S \n]", text):
+        if self.kind == "led" and single(text):
             out: list[bytes] = []
             for k, line in enumerate(text.split("\n")):
                 if k:
@@ -123,9 +137,14 @@ class Encoder:
             word = "".join(map(self.letters.__getitem__, word.encode()))
         elif word[0] == " ":
             word = self.letters[32] + word[1:]
-        return array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
+        return array(self.code, [t.id for t in self.tokens(word)]).tobytes()
 
     def _piece(self, lead: str, piece: str) -> bytes:
+        if piece.isascii():  # most pieces, by cheaper means than the expressions below
+            if piece.isalpha():
+                return self._word(lead + piece)
+            if (stem := piece.rstrip(MARKS)).isalpha():
+                return (self.led if lead else self.first)[stem] + self.first[piece[len(stem) :]]
         if WORD.fullmatch(piece):
             return self._word(lead + piece)
         if m := WORD_AND_MARKS.fullmatch(piece):
