@@ -149,11 +149,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, params: Packing
             out.clear()
             return batch
 
-        for batch in slices(batches, 1):
-            prompts = batch.column(2).to_pylist() if prompt_col else [None] * batch.num_rows
-            for doc_id, text, prompt in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), prompts, strict=True):
-                lead = enc.ids(prompt)
-                ids = np.concatenate([lead, enc.ids(text), end]).astype("<u4")
+        for batch in slices(batches, 1, rows=4096, size=1 << 22):
+            leads = enc.many(batch.column(2).to_pylist()) if prompt_col else [end[:0]] * batch.num_rows
+            for doc_id, own, lead in zip(batch.column(0).to_pylist(), enc.many(batch.column(1).to_pylist()), leads, strict=True):
+                ids = np.concatenate([lead, own, end], dtype="<u4")
                 texts[key] = [doc_id, ids, len(ids)]
                 take(packer.add(key, len(ids), len(lead)))
                 key += 1

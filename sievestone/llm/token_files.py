@@ -146,8 +146,8 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col:
         enc = encoder(tokenizer)
         end = np.array([end_id], enc.type).tobytes()
         counts = np.zeros(0, np.int64)
-        for batch in slices(batches, 1):
-            ids = [enc.ids(t).tobytes() + end for t in batch.column(1).to_pylist()]
+        for batch in slices(batches, 1, rows=4096, size=1 << 22):
+            ids = [x.tobytes() + end for x in enc.many(batch.column(1).to_pylist())]
             doc_ids = batch.column(0).to_pylist()
             found = np.bincount(np.frombuffer(b"".join(ids), enc.type), minlength=len(counts))
             found[: len(counts)] += counts

@@ -32,6 +32,17 @@ def test_pieces_give_the_tokenizers_ids(path):
     assert 49407 in encoder(WORD).ids("a <|endoftext|> b") and 50256 in encoder(BYTE).ids("a <|endoftext|> b")
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_a_piece_is_encoded_once_however_few_are_kept(path):
+    e, asked = Encoder(path, limit=4), []
+    tokens = e.tokens
+    e.tokens = lambda word: asked.append(word) or tokens(word)
+    texts = [" ".join(f"word{chr(97 + k)}" + mark for k in range(20)) for mark in ("", ",", ".", "!", "...")] * 3
+    for got, text in zip(e.many([*ODD, *texts]), [*ODD, *texts], strict=True):
+        assert got.tolist() == (FRESH[path].encode(text, add_special_tokens=False).ids if text else [])
+    assert len(asked) == len(set(asked)) and sum("word" in w for w in asked) < 25 and len(e.size) <= 4
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(st.sampled_from(list("aZé ß.,'!\n\t  1<|>İσΣ中́ ")), max_size=40))
 def test_any_text_gives_the_tokenizers_ids(text):
