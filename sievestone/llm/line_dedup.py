@@ -33,6 +33,30 @@ def shingles(line: str, c: int) -> set:
     return {line[i : i + c] for i in range(len(line) - c + 1)} if len(line) >= c else {line} if line else set()
 
 
+class Runs:
+    """``shingles`` of a line as a set with a size and a meet: sorted numbers of twelve bits a character where that tells all apart, else strings."""
+
+    def __init__(self, line: str, c: int):
+        self.line, self.c, self.codes = line, c, None
+        if c <= 5 and len(line) >= c:
+            points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            if int(points.max()) < 1 << 12:
+                n, codes = len(points) - c + 1, np.uint64(0)
+                for i in range(c):
+                    codes = codes << np.uint64(12) | points[i : n + i]
+                self.codes = distinct(codes)
+        self.size = len(shingles(line, c)) if self.codes is None else len(self.codes)
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __and__(self, other: "Runs"):
+        if self.codes is None or other.codes is None:
+            return shingles(self.line, self.c) & shingles(other.line, other.c)
+        both = np.sort(np.concatenate([self.codes, other.codes]))
+        return both[1:][both[1:] == both[:-1]]
+
+
 def shingle_hashes(lines: list[str], c: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct 32-bit hashes of the runs of c characters of many lines, end to end, and how many each line has; a shorter line has one."""
     size = np.fromiter(map(len, lines), np.int64, len(lines))
@@ -43,9 +67,10 @@ def shingle_hashes(lines: list[str], c: int) -> tuple[np.ndarray, np.ndarray]:
     for i in range(c):
         total = (total + points[i : len(points) - c + 1 + i]) * np.uint32(0x9E3779B1)
         total ^= total >> np.uint32(15)
-    runs = size - c + 1
-    at = np.arange(int(runs.sum())) + np.repeat((c - 1) * np.arange(len(lines)), runs)  # runs across two lines are left out
-    found = distinct(np.repeat(np.arange(len(lines), dtype=np.uint64) << np.uint64(32), runs) | finish32(total[at]))
+    runs, within = size - c + 1, np.ones(len(total), bool)
+    for i in range(1, c):  # runs across two lines are left out
+        within[np.cumsum(size)[:-1] - i] = False
+    found = distinct(np.repeat(np.arange(len(lines), dtype=np.uint64) << np.uint64(32), runs) | finish32(total[within]))
     return found.astype(np.uint32), np.bincount((found >> np.uint64(32)).astype(np.int64), minlength=len(lines))
 
 
@@ -130,7 +155,7 @@ def _classes(docs, params, id_col, text_col) -> tuple[DataFrame, Scratch]:
 
         return source.join(wanted, "text_key").select("text", "wanted").mapInArrow(cut, "node long, text string")
 
-    parts = near_components(rows, texts_for, lambda line: shingles(line, c), lambda line: shingle_hashes([line], c)[0], params.banding, scratch)
+    parts = near_components(rows, texts_for, lambda line: Runs(line, c), lambda line: shingle_hashes([line], c)[0], params.banding, scratch)
     linked = small_side(parts.select(F.explode(F.array("node", "component")).alias("node"), "component").distinct())
     near = classes.join(linked, "node")
     joined = near.groupBy("component").agg(F.min("first").alias("best"))

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, connected_components, grouped, slices, small_side
 
 LIMIT = 1024
+WIDE = 2048  # values that are counted at a time
 SMALL = 48  # groups of up to so many rows are compared many at a time
 BITS = 4  # of each minimum that a signature keeps: sixteen minima to a long
 PAIRS = "a long, b long"
@@ -220,7 +221,7 @@ def spanning(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> tuple[list[int
     return out_a, out_b
 
 
-def gathered(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray | None]]:
+def gathered(batches: Iterator[pa.RecordBatch], by: int, most: int = 2000) -> Iterator[tuple[pa.RecordBatch, np.ndarray | None]]:
     """Groups of more than ``SMALL`` rows one by one, with None; smaller ones many to a batch, with each row's group number."""
     held: list[pa.RecordBatch] = []
     sizes: list[int] = []
@@ -230,7 +231,7 @@ def gathered(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[tuple[pa.Re
             continue
         held.append(g)
         sizes.append(g.num_rows)
-        if len(held) >= 2000:
+        if len(held) >= most:
             yield pa.concat_batches(held), np.repeat(np.arange(len(sizes)), sizes)
             held, sizes = [], []
     if held:
@@ -354,8 +355,9 @@ def _across(members: DataFrame, parts: DataFrame, sigs: DataFrame, texts_for: Ca
     rows = found.join(own, "node").select("key", "x", "y", "side", "node", "component", "set")
 
     def link(batches):
-        for g in grouped(batches, 3):
-            yield pair_batch(*linked_parts(g.column(3).to_numpy(), g.column(4).to_numpy(), g.column(5).to_numpy(), [np.frombuffer(s.as_buffer(), np.uint32) for s in g.column(6)], p.percent))
+        for g, group in gathered(batches, 3, most=500):
+            columns = g.column(3).to_numpy(), g.column(4).to_numpy(), g.column(5).to_numpy(), [np.frombuffer(s.as_buffer(), np.uint32) for s in g.column(6)], p.percent
+            yield pair_batch(*(linked_parts(*columns) if group is None else linked_in_small_groups(group, *columns)))
 
     pairs = in_groups(rows, ["key", "x", "y"]).mapInArrow(link, PAIRS).where("a < b").distinct()
     return scratch.save(pairs, "pairs-2")
@@ -367,19 +369,65 @@ def linked_parts(side: np.ndarray, node: np.ndarray, part: np.ndarray, sets: lis
     Rows of side 1 meet those of side 0; rows of side 2 meet each other.
     """
     sizes = np.array([len(s) for s in sets])
-    values, at = np.unique(np.concatenate(sets), return_inverse=True)
-    starts = np.cumsum(sizes) - sizes
-    found: list[tuple] = []
-    for i in np.flatnonzero(side > 0):
-        has = np.zeros(len(values), np.int64)
-        has[at[starts[i] : starts[i] + sizes[i]]] = 1
-        both = np.add.reduceat(has[at], starts)
-        union = sizes[i] + sizes - both
-        for j in np.flatnonzero((part != part[i]) & (side != 1) & (100 * both >= percent * union)):
-            found.append((-both[j] / union[j], int(node[i]), int(node[j]), int(part[i]), int(part[j])))
-    parent: dict[int, int] = {}
+    _, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, held = np.repeat(np.arange(len(sets)), sizes), often[at] > 1
+    row, column = row[held], (np.cumsum(often > 1) - 1)[at[held]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    x, y = np.flatnonzero(side > 0), np.flatnonzero(side != 1)
+    both = np.zeros((len(x), len(y)), np.int64)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, WIDE):  # values that several sets have, ``WIDE`` at a time
+        own = slice(*np.searchsorted(column, [lo, lo + WIDE]))
+        has = np.zeros((len(sets), WIDE), np.float32)
+        has[row[own], column[own] - lo] = 1
+        both += (has[x] @ has[y].T).astype(np.int64)
+    union = sizes[x][:, None] + sizes[y][None, :] - both
+    i, j = np.nonzero((part[x][:, None] != part[y][None, :]) & (100 * both >= percent * union))
+    ratio, i, j = -both[i, j] / union[i, j], x[i], y[j]
+    found = list(zip(ratio.tolist(), node[i].tolist(), node[j].tolist(), part[i].tolist(), part[j].tolist(), strict=True))
+    return _tree(found)
+
+
+def shared(group: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (i < j) of rows of one group whose sets meet, and how many values they share; rows of a group lie together, groups are numbered from 0."""
+    rows = np.bincount(group)
+    first, square = np.cumsum(rows) - rows, np.cumsum(rows**2) - rows**2
+    row = np.repeat(np.arange(len(sets)), np.fromiter(map(len, sets), np.int64, len(sets)))
+    key = (group[row].astype(np.uint64) << np.uint64(38)) | (np.concatenate(sets).astype(np.uint64) << np.uint64(6)) | (row - first[group[row]]).astype(np.uint64)
+    key = np.sort(key)  # of a group, a value and the row's place there, which ``SMALL`` keeps to six bits
+    row = first[(key >> np.uint64(38)).astype(np.int64)] + (key & np.uint64(63)).astype(np.int64)
+    key >>= np.uint64(6)
+    both = np.zeros(int((rows**2).sum()), np.int64)
+    for step in range(1, int(rows.max())):
+        same = np.flatnonzero(key[step:] == key[:-step])
+        if not len(same):
+            break
+        i, j = row[same], row[same + step]
+        g = group[i]
+        both += np.bincount(square[g] + (i - first[g]) * rows[g] + j - first[g], minlength=len(both))
+    at = np.flatnonzero(both)
+    g = np.searchsorted(square, at, side="right") - 1
+    i, j = np.divmod(at - square[g], rows[g])
+    return first[g] + i, first[g] + j, both[at]
+
+
+def linked_in_small_groups(group: np.ndarray, side: np.ndarray, node: np.ndarray, part: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[list[int], list[int]]:
+    """``linked_parts`` of many groups at once."""
+    i, j, both = shared(group, sets)
+    sizes = np.array([len(s) for s in sets])
+    union = sizes[i] + sizes[j] - both
+    holds = (part[i] != part[j]) & (100 * both >= percent * union) & ((side[i] == 2) | (side[i] != side[j]))
+    i, j, both, union = i[holds], j[holds], both[holds], union[holds]
+    x, y = np.where((side[i] == 1) | ((side[i] == 2) & (node[i] < node[j])), (i, j), (j, i))
+    of = group[x].tolist()
+    return _tree(list(zip((-both / union).tolist(), node[x].tolist(), node[y].tolist(), zip(of, part[x].tolist()), zip(of, part[y].tolist()), strict=True)))
+
+
+def _tree(found: list[tuple]) -> tuple[list[int], list[int]]:
+    """Of links (weight, node, node, part, part) those of a minimum spanning forest over the parts."""
+    parent: dict = {}
 
-    def root(i: int) -> int:
+    def root(i):
         while parent.setdefault(i, i) != i:
             parent[i] = parent[parent[i]]
             i = parent[i]
