@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.exprs import cosine, dot, row_hash, row_text, zero_filled
+from ..functions.working import written
 
 
 def hashed(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -66,31 +71,78 @@ def unit_vectors(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return df.select(key, v.alias("v")).select(key, F.when(length > 0, F.transform("v", lambda x: x / length)).otherwise(F.col("v")).alias("v"))
 
 
-def _signs(seed: int):
-    """A component with a sign by its place."""
-    return lambda x, i: F.when((F.xxhash64(i, F.lit(seed)) % 2) == 0, x).otherwise(-x)
+#: Most vectors of a block, and most numbers of one; rows that the axis is chosen by; most cells along it; pairs that a task should look at, and that are sent on at once.
+BLOCK_ROWS, BLOCK_NUMBERS, AXIS_SAMPLE, MOST_CELLS, TASK_PAIRS, SENT_PAIRS = 4096, 1 << 18, 4096, 1024, 1 << 26, 1 << 18
 
 
-def near_pairs(vectors: DataFrame, key: str, threshold: float = 0.9, cell: float | None = None) -> DataFrame:
-    """key1 < key2, similarity of all pairs of unit vectors with cosine >= threshold; exact.
+def near_pairs(vectors: DataFrame, key: str, threshold: float = 0.9, block: int = BLOCK_ROWS) -> DataFrame:
+    """key1 < key2, similarity of all pairs of unit vectors with cosine >= threshold, copies too; exact, whatever the size of a group.
 
-    Unit vectors that near lie within sqrt(2 - 2 threshold) of each other in
-    every projection, so rows meet only in equal or neighbouring cells of the
-    widest fixed projections; no pair is missed and none is met twice.
+    Unit vectors that near lie within sqrt(2 - 2 threshold) of each other along
+    every axis. The axis that tells a bounded sample apart best is cut into
+    cells that wide, and a cell into blocks of bounded size; a block meets those
+    of its own cell and of the next, so no pair is missed and none is met twice.
+    A task holds two blocks at a time, and of what is found a bounded part.
+    Rows of one key are no pair. Null keys, and vectors null, of zeros or with
+    components that are no finite numbers, take no part.
     """
-    width = cell or (2 - 2 * threshold) ** 0.5 + 1e-9
-    parts = []
-    for seed in (1, 2, 3):  # sign patterns, scaled by 1 / sqrt(length): projections of length at most 1
-        signed = F.aggregate(F.transform("v", _signs(seed)), F.lit(0.0), lambda s, x: s + x)
-        parts.append(F.floor(signed / F.sqrt(F.size("v")) / width))
-    cells = vectors.select(key, "v", F.array(*parts).alias("cell"))
-    around = [F.array(*[F.lit(d).cast("long") for d in (x, y, z)]) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)]
-    spread = cells.select(key, "v", F.explode(F.array(*around)).alias("step"), "cell")
-    spread = spread.select(key, "v", F.zip_with("cell", "step", lambda x, y: x + y).alias("cell"))
-    a, b = cells.alias("a"), spread.alias("b")
-    similarity = dot(F.col("a.v"), F.col("b.v"))
-    met = a.join(b, F.expr(f"a.cell = b.cell and a.{key} < b.{key}")).select(F.col(f"a.{key}").alias("key1"), F.col(f"b.{key}").alias("key2"), similarity.alias("similarity"))
-    return met.where(F.col("similarity") >= threshold)
+    spark = vectors.sparkSession
+    rows = vectors.select(F.col(key).alias("k"), F.col("v").cast("array<double>").alias("v"))
+    rows = rows.where("k is not null and exists(v, x -> x <> 0) and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
+    kind = rows.schema["k"].dataType
+    drawn = np.array([r["v"] for r in rows.orderBy(F.xxhash64("k", "v")).limit(AXIS_SAMPLE).select("v").collect()])
+    if not len(drawn):
+        return rows.select(F.col("k").alias("key1"), F.col("k").alias("key2"), F.lit(0.0).alias("similarity"))
+    axis = np.linalg.svd(drawn - drawn.mean(axis=0), full_matrices=False)[2][0]
+    width = max((max(0.0, 2 - 2 * threshold) + 1e-12) ** 0.5, 2 / MOST_CELLS)
+    along = dot(F.col("v"), F.array(*[F.lit(float(x)) for x in axis]))
+    placed = written(rows.withColumn("cell", F.floor(along / width)))
+    sizes = dict(sorted(tuple(r) for r in placed.groupBy("cell").count().collect()))  # a number for each cell
+    block = max(1, min(block, BLOCK_NUMBERS // max(1, drawn.shape[1])))
+    parts = {c: -(-n // block) for c, n in sizes.items()}
+    first = dict(zip(parts, np.cumsum([0, *parts.values()]).tolist(), strict=False))
+    before = lambda c: first.get(c - 1, first[c])
+    cells = spark.createDataFrame([(c, parts[c], first[c], before(c), first[c] + parts[c] + parts.get(c + 1, 0) - 1) for c in sizes], "cell long, parts int, first int, low int, high int")
+    numbered = placed.join(F.broadcast(cells), "cell").withColumn("block", F.col("first") + F.pmod(F.xxhash64("k", "v"), F.col("parts")).cast("int"))  # a row for each cell
+    looked_at = sum(n * n // 2 + n * sizes.get(c + 1, 0) for c, n in sizes.items())
+    tasks = int(min(max(16, looked_at // TASK_PAIRS), sum(parts[c] * (parts[c] + parts.get(c + 1, 0)) for c in parts)))
+    blocks = written(numbered.groupBy("block").agg(F.first("low").alias("low"), F.first("high").alias("high"), F.collect_list(F.struct("k", "v")).alias("e")))
+    one = blocks.select(F.col("block").alias("x"), F.explode(F.expr("sequence(block, high)")).alias("y"), F.col("e").alias("one")).repartition(tasks, "x", "y")
+    two = blocks.select(F.explode(F.expr("sequence(low, block)")).alias("x"), F.col("block").alias("y"), F.col("e").alias("two")).repartition(tasks, "x", "y")
+
+    def meet(batches):
+        held, have = [], 0
+        numbers = lambda rows: rows.flatten()[1].flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+        for batch in batches:
+            for at in range(batch.num_rows):
+                r = batch.slice(at, 1)
+                a, b = r.column("one").flatten(), r.column("two").flatten()
+                keys, others, same = a.flatten()[0], b.flatten()[0], r.column("x")[0] == r.column("y")[0]
+                u, v = numbers(a), numbers(b)
+                for lo in range(0, len(u), 64):
+                    s = u[lo : lo + 64] @ v.T
+                    i, j = np.nonzero(s >= min(threshold, 1 - 2.0**-44))
+                    if same:
+                        i, j = i[i + lo < j], j[i + lo < j]
+                    s = s[i, j]
+                    i += lo
+                    if threshold > 1 - 2.0**-44:  # rounding can keep copies apart
+                        own = (s >= threshold) | (u[i] == v[j]).all(axis=1)
+                        i, j, s = i[own], j[own], s[own]
+                    if not len(i):
+                        continue
+                    p, q = keys.take(pa.array(i)), others.take(pa.array(j))
+                    out = pa.RecordBatch.from_arrays([pc.min_element_wise(p, q), pc.max_element_wise(p, q), pa.array(s)], ["key1", "key2", "similarity"])
+                    held.append(out.filter(pc.not_equal(p, q)))
+                    have += held[-1].num_rows
+                    if have >= SENT_PAIRS:
+                        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                        held, have = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    schema = StructType([StructField("key1", kind), StructField("key2", kind), StructField("similarity", DoubleType())])
+    return one.hint("merge").join(two, ["x", "y"]).select("x", "y", "one", "two").mapInArrow(meet, schema)
 
 
 def components(pairs: DataFrame, folder: str, most: int = 60) -> DataFrame:
