@@ -119,12 +119,13 @@ class Analysis:
         return "\n".join(f"{k}: {v}" for k, v in self.score().first().asDict().items())
 
 
-def analyze(df: DataFrame, key: str, label: str | None = None, features: list[str] | None = None, exclude: list[str] | None = None, outlier_method: str = "iqr", probabilities: DataFrame | None = None, label_errors: bool = True, near: float | None = None) -> Analysis:
+def analyze(df: DataFrame, key: str, label: str | None = None, features: list[str] | None = None, exclude: list[str] | None = None, outlier_method: str = "iqr", probabilities: DataFrame | None = None, label_errors: bool = True, near: float | None = None, near_copies: bool = False) -> Analysis:
     """Detect label, duplicate, outlier, imbalance and bias issues; failures are told and not hidden.
 
     With ``near``, pairs of different rows whose numbers, brought to 0..1, have
     a cosine of that or more are near duplicates; copies of a row are not
-    listed again.
+    listed again, but with ``near_copies``: then all pairs of rows are, copies
+    of a row among them.
 
     Label errors are those of the confident joint over ``probabilities`` (the
     key and ``probs``, an array in the sorted order of the labels), or, without
@@ -144,8 +145,9 @@ def analyze(df: DataFrame, key: str, label: str | None = None, features: list[st
 
     detect("duplicates", lambda: duplicates.pointers(data.data, key, data.features))
     if near is not None and numbers:
-        each = duplicates.first_of_each(data.data, key, data.features)
-        detect("near_duplicates", lambda: duplicates.near_pairs(duplicates.unit_vectors(each, key, numbers), key, near))
+        each = data.data if near_copies else duplicates.first_of_each(data.data, key, data.features)
+        units = lambda: duplicates.unit_vectors(each, key, numbers).withColumn("v", F.concat("v", F.array((F.lit(near_copies) & ~F.exists("v", lambda x: x != 0)).cast("double"))))  # noqa: E731  # copies of zeros are like each other alone
+        detect("near_duplicates", lambda: duplicates.near_pairs(units(), key, near))
     for name in registry.names("detector"):
         detect(name, lambda name=name: registry.get("detector", name)(data.data, key, numbers))
     if numbers:
